@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from tracewell.workloads import sequence_queries, step_queries  # noqa: F401
+from tracewell.workloads import report_queries, sequence_queries, step_queries  # noqa: F401
 from tracewell.workloads.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
