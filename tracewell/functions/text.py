@@ -109,8 +109,12 @@ def extract_grams(col: str | Column, n: int) -> Column:
 
     def of_segment(seg: Column) -> Column:
         chars = F.split(seg, "")
-        count = F.size(chars) - n + 1
-        sliding = F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(chars, i, n), ""))
+        sliding = chars
+        for k in range(1, n):
+            count = F.size(chars) - k
+            sliding = F.zip_with(
+                F.slice(sliding, F.lit(1), count), F.slice(chars, F.lit(1 + k), count), lambda a, b: F.concat(a, b)
+            )
         return (
             F.when(F.length(seg) < n, F.array().cast("array<string>"))
             .when(seg.rlike(r"^[\x00-\x7F]+$"), F.array(seg))

@@ -12,21 +12,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Gram lengths; a needle uses the longest one it can fill.
+#: Gram lengths, each double the one before; a needle uses the longest one it can fill.
 TIERS = (1, 2, 4, 8)
 
 
-def _grams(text: Column, size: int) -> Column:
-    chars = F.split(text, "")
-    count = F.size(chars) - size + 1
+def _paired(grams: Column, shift: int) -> Column:
+    """Grams of double length from neighbouring grams ``shift`` apart."""
+    count = F.size(grams) - shift
     return F.when(
         count >= 1,
-        F.array_distinct(
-            F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(chars, i, size), ""))
-        ),
+        F.zip_with(F.slice(grams, F.lit(1), count), F.slice(grams, F.lit(1 + shift), count), lambda a, b: F.concat(a, b)),
     ).otherwise(F.array().cast("array<string>"))
 
 
+def _with_grams(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
+    """Columns ``__g1``, ``__g2``, ``__g4``, ``__g8`` of overlapping grams, each built from the one before."""
+    out = df.select(*keep, F.split(text, "").alias("__g1"))
+    for size in TIERS[1:]:
+        out = out.select("*", _paired(F.col(f"__g{size // 2}"), size // 2).alias(f"__g{size}"))
+    return out
+
+
 def contains_pairs(
     texts: DataFrame,
     needles: DataFrame,
@@ -35,29 +41,22 @@ def contains_pairs(
     needle_id: str,
     needle: str,
     group: Sequence[str] = (),
-    tiers: Sequence[int] = TIERS,
 ) -> DataFrame:
     """Distinct (group, text_id, needle_id) where the text contains the needle.
 
     ``group`` columns must be equal on both sides.  Empty needles never match.
     """
     group = list(group)
-    tiers = sorted(tiers)
     length = F.length(needle)
-    tier = None
-    for t in reversed(tiers):
-        tier = F.when(length >= t, t) if tier is None else tier.when(length >= t, t)
-    wanted = needles.filter(length >= tiers[0]).select(
-        *group, needle_id, F.col(needle).alias("__needle"), tier.alias("__tier")
+    wanted = needles.filter(length >= 1).select(*group, needle_id, F.col(needle).alias("__needle"))
+    by_tier = F.when(F.length("__needle") >= 8, F.col("__g8")).when(F.length("__needle") >= 4, F.col("__g4"))
+    by_tier = by_tier.when(F.length("__needle") >= 2, F.col("__g2")).otherwise(F.col("__g1"))
+    needle_rows = _with_grams(wanted, "__needle", [*group, needle_id, "__needle"]).select(
+        *group, needle_id, "__needle", F.explode(F.array_distinct(by_tier)).alias("__gram")
     )
-    needle_grams = None
-    for t in tiers:
-        case = F.when(F.col("__tier") == t, _grams(F.col("__needle"), t))
-        needle_grams = case if needle_grams is None else needle_grams.when(F.col("__tier") == t, _grams(F.col("__needle"), t))
-    needle_rows = wanted.select(*group, needle_id, "__needle", F.explode(needle_grams).alias("__gram"))
-    text_grams = F.explode(F.concat(*[_grams(F.col(text), t) for t in tiers])).alias("__gram")
+    text_grams = F.explode(F.array_distinct(F.concat(*[F.col(f"__g{t}") for t in TIERS]))).alias("__gram")
     useful = needle_rows.select("__gram").distinct()
-    text_rows = texts.select(*group, text_id, text_grams).join(useful, "__gram", "left_semi")
+    text_rows = _with_grams(texts, text, [*group, text_id]).select(*group, text_id, text_grams).join(useful, "__gram", "left_semi")
     frequency = text_rows.groupBy("__gram").agg(F.count(F.lit(1)).alias("__df"))
     probes = (
         needle_rows.join(frequency, "__gram", "left")
