@@ -96,7 +96,7 @@ def judgment_conflicts(triage: DataFrame, overrides: DataFrame, noise: DataFrame
         .join(topics.select(F.col("topic_id").alias("target")), "target", "left_anti")
         .select("sid", F.lit("unknown topic").alias("problem"))
     )
-    return ghosts.unionByName(twice).unionByName(unknown)
+    return ghosts.unionByName(twice).unionByName(unknown).distinct()
 
 
 def plan_problems(
