@@ -91,8 +91,13 @@ def _pairs(chars: Column) -> Column:
 
 
 def bigrams(col: str | Column) -> Column:
-    """Overlapping character pairs of the whitespace-free text (with repeats)."""
-    return _pairs(F.split(squash(F.coalesce(_c(col), F.lit(""))), ""))
+    """All character pairs of the whitespace-free text: the pairs from the first character, then from the second."""
+    clean = squash(F.coalesce(_c(col), F.lit("")))
+    pair = F.lit("(?s)..")
+    return F.concat(
+        F.regexp_extract_all(clean, pair, F.lit(0)),
+        F.regexp_extract_all(F.substring(clean, F.lit(2), F.length(clean)), pair, F.lit(0)),
+    )
 
 
 def jaccard(a: str | Column, b: str | Column) -> Column:
@@ -117,7 +122,7 @@ def extract_grams(col: str | Column, n: int) -> Column:
             )
         return (
             F.when(F.length(seg) < n, F.array().cast("array<string>"))
-            .when(seg.rlike(r"^[\x00-\x7F]+$"), F.array(seg))
+            .when(F.length(seg) == F.octet_length(seg), F.array(seg))  # one byte per character: ASCII
             .otherwise(sliding)
         )
 

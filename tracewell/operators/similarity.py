@@ -64,15 +64,23 @@ def no_text_sessions(sessions: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def _classes(items: DataFrame, group: Sequence[str], arrays: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Items with their class, and one row per class."""
-    keyed = similar.with_class(items, group, arrays)
-    first = keyed.groupBy(*group, "class_key").agg(
-        F.min("sid").alias("cls"), *[F.first(a).alias(a) for a in arrays]
-    )
-    members = keyed.select("sid", "created_at", *group, "class_key").join(
-        first.select("class_key", "cls"), "class_key"
+    """Items with their class, and one row per class; grams become 64-bit hashes.
+
+    Texts are turned into gram sets once; both results are read from that.
+    """
+    hashed = items.select(
+        "sid",
+        F.coalesce("created_at", F.lit("")).alias("created_at"),
+        *group,
+        *[F.transform(a, lambda g: F.xxhash64(g)).alias(a) for a in arrays],
     )
-    return members.drop("class_key"), first.drop("class_key").withColumn("n", F.size("grams"))
+    keyed = materialize(similar.with_class(hashed, group, arrays))
+    for a in arrays:
+        keyed = keyed.filter(F.size(a) > 0)
+    first = keyed.groupBy(*group, "class_key").agg(F.min_by(F.struct("sid", *arrays), "sid").alias("c"))
+    classes = materialize(first.select(*group, "class_key", F.col("c.sid").alias("cls"), *[F.col(f"c.{a}").alias(a) for a in arrays]))
+    members = keyed.select("sid", "created_at", *group, "class_key").join(classes.select("class_key", "cls"), "class_key")
+    return materialize(members.drop("class_key")), classes.drop("class_key").withColumn("n", F.size("grams"))
 
 
 def duplicate_clusters(
@@ -87,11 +95,7 @@ def duplicate_clusters(
     """
     group = list(group)
     arrays = ["grams", "head_grams"] if parity else ["grams"]
-    usable = items.filter(F.size("grams") > 0)
-    if parity:
-        usable = usable.filter(F.size("head_grams") > 0)
-    members, classes = _classes(usable.select("sid", F.coalesce("created_at", F.lit("")).alias("created_at"), *group, *arrays), group, arrays)
-    members, classes = materialize(members), materialize(classes)
+    members, classes = _classes(items, group, arrays)
     extra = _passes_prefilter if parity else None
     comps = similar.class_clusters(classes, threshold, group, extra)
     labelled = members.join(comps, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
@@ -129,9 +133,7 @@ def similar_pairs(items: DataFrame, threshold: float = BAND_THRESHOLD, group: Se
     with the number of holders: copies are counted, not paired.
     """
     group = list(group)
-    usable = items.filter(F.size("grams") > 0).select("sid", F.coalesce("created_at", F.lit("")).alias("created_at"), *group, "grams")
-    members, classes = _classes(usable, group, ["grams"])
-    members, classes = materialize(members), materialize(classes)
+    members, classes = _classes(items, group, ["grams"])
     copies = members.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"))
     pairs = similar.class_pairs(classes, threshold, group)
     return (
@@ -206,6 +208,9 @@ def candidate_pairs(features: DataFrame, weights: dict[str, float] | None = None
     one gram.  Features missing on either side drop out of the weights.
     """
     weights = {**WEIGHTS, **(weights or {})}
+    features = materialize(
+        features.select("sid", *[F.transform(c, lambda g: F.xxhash64(g)).alias(c) for c in ("title_grams", "first_grams", "tools")])
+    )
     rows = features.select("sid", F.explode(F.array_union("title_grams", "first_grams")).alias("gram"))
     postings = (
         rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= 2) & (F.col("n") <= MAX_POSTING))

@@ -1,6 +1,6 @@
 """Exact set-similarity clusters and pairs.
 
-Equal sets are collapsed to one class first, so a mass of copies costs one
+Grams are 64-bit hashes.  Equal sets are collapsed to one class first, so a mass of copies costs one
 comparison.  Classes are compared by prefix filtering: two sets with Jaccard
 >= t share a gram among the rarest ``n - ceil(t n) + 1`` of each.  Clusters do
 not need all pairs: every class is first compared with one leader per prefix
@@ -21,6 +21,8 @@ from tracewell.session import materialize
 
 Verify = Callable[[Column, Column], Column]
 _EPS = 1e-9
+#: Words of the bitmap carried with every prefix row.
+WORDS = 16
 
 
 def with_class(sets: DataFrame, group: Sequence[str], arrays: Sequence[str]) -> DataFrame:
@@ -30,28 +32,47 @@ def with_class(sets: DataFrame, group: Sequence[str], arrays: Sequence[str]) ->
     return sets.withColumn("class_key", F.sha2(F.concat_ws("\x1e", *parts), 256))
 
 
+def _sketch() -> list[Column]:
+    """Bitmap of a set's grams as 64-bit words (aggregates over gram rows)."""
+    place = f"pmod(xxhash64(gram), {64 * WORDS})"
+    return [
+        F.expr(f"bit_or(CASE WHEN {place} DIV 64 = {w} THEN shiftleft(1L, CAST({place} % 64 AS INT)) ELSE 0L END)").alias(f"b{w}")
+        for w in range(WORDS)
+    ]
+
+
 def _prefix_rows(classes: DataFrame, group: Sequence[str], threshold: float) -> DataFrame:
-    """(group, gram, cls, n, pos): the rarest grams of every class, pos by rarity."""
+    """(group, gram, cls, n, pos, b0..): the rarest grams of every class, pos by rarity, with the set's bitmap."""
     group = list(group)
     rows = classes.select(*group, "cls", "n", F.explode("grams").alias("gram"))
     frequency = rows.groupBy(*group, "gram").agg(F.count(F.lit(1)).alias("df"))
     ordered = (
         rows.join(frequency, [*group, "gram"])
         .groupBy(*group, "cls", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("ranked"))
+        .agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("ranked"), *_sketch())
     )
     keep = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(_EPS)) + 1).cast("int")
-    return ordered.select(*group, "cls", "n", F.posexplode(F.slice("ranked", F.lit(1), keep)).alias("pos", "r")).select(
-        *group, F.col("r.gram").alias("gram"), "cls", "n", "pos"
+    bits = [f"b{w}" for w in range(WORDS)]
+    return ordered.select(*group, "cls", "n", *bits, F.posexplode(F.slice("ranked", F.lit(1), keep)).alias("pos", "r")).select(
+        *group, F.col("r.gram").alias("gram"), "cls", "n", "pos", *bits
     )
 
 
 def _may_match(threshold: float) -> Column:
-    """Size and position bounds for rows x and y that share a gram."""
+    """Size, position and bitmap bounds for rows x and y that share a gram.
+
+    Every bit that differs needs a gram held by one side only, so the bitmap
+    distance never exceeds the symmetric difference of the sets.
+    """
     nx, ny, px, py = F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")
     need = F.ceil((nx + ny) * F.lit(threshold / (1 + threshold)) - F.lit(_EPS))
     reach = F.least(px, py) + 1 + F.least(nx - px - 1, ny - py - 1)
-    return (F.least(nx, ny) >= F.greatest(nx, ny) * F.lit(threshold) - F.lit(_EPS)) & (reach >= need)
+    apart = None
+    for w in range(WORDS):
+        d = F.bit_count(F.col(f"x.b{w}").bitwiseXOR(F.col(f"y.b{w}")))
+        apart = d if apart is None else apart + d
+    sizes = F.least(nx, ny) >= F.greatest(nx, ny) * F.lit(threshold) - F.lit(_EPS)
+    return sizes & (reach >= need) & (apart <= nx + ny - 2 * need)
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, threshold: float, extra: Verify | None) -> DataFrame:
@@ -97,13 +118,12 @@ def class_clusters(
     prefix = materialize(_prefix_rows(classes, group, threshold))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1 / threshold))).alias("band")
     banded = prefix.select(*prefix.columns, band)
-    leaders = banded.groupBy(*group, "gram", "band").agg(
-        F.min(F.struct("cls", "n", "pos")).alias("lead")
-    )
+    bits = [f"b{w}" for w in range(WORDS)]
+    leaders = banded.groupBy(*group, "gram", "band").agg(F.min(F.struct("cls", "n", "pos", *bits)).alias("lead"))
     led = (
         banded.alias("x")
         .join(
-            leaders.select(*group, "gram", "band", "lead.cls", "lead.n", "lead.pos").alias("y"),
+            leaders.select(*group, "gram", "band", "lead.*").alias("y"),
             [F.col(f"x.{c}") == F.col(f"y.{c}") for c in [*group, "gram", "band"]]
             + [F.col("x.cls") != F.col("y.cls"), _may_match(threshold)],
         )
@@ -125,6 +145,8 @@ def class_clusters(
         .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
         .distinct()
     )
-    second = _verify(crossing, classes, threshold, extra).select("a", "b")
+    second = materialize(_verify(crossing, classes, threshold, extra).select("a", "b"))
+    if second.limit(1).count() == 0:
+        return labels.withColumnRenamed("node", "cls")
     edges = first.unionByName(second)
     return connected_components(edges).withColumnRenamed("node", "cls")

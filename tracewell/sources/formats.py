@@ -123,7 +123,7 @@ def archive_records(archive: DataFrame, root: str | None = None, skip: DataFrame
 _NODE = "struct<parent:string,children:array<string>,message:string>"
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _root_path(current: pd.Series, ids: pd.Series, parents: pd.Series) -> pd.Series:
     """Node ids from the root to the current node; stops at a repeated node."""
 
@@ -196,7 +196,7 @@ def parse_linear_chat(docs: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("struct<thread:array<string>,branch_points:int>")
+@F.pandas_udf(T.StructType([T.StructField("thread", T.ArrayType(T.StringType())), T.StructField("branch_points", T.IntegerType())]))
 def _latest_thread(ids: pd.Series, children: pd.Series, stamps: pd.Series) -> pd.DataFrame:
     """Root-to-leaf walk; at a branch the child with the latest stamp in its subtree, then the larger number."""
 
@@ -309,7 +309,11 @@ def parse_flat_chat(docs: DataFrame) -> DataFrame:
 # --- patch logs ------------------------------------------------------------------------
 
 
-@F.pandas_udf("struct<state:string,applied:int,failed:int>")
+@F.pandas_udf(
+    T.StructType(
+        [T.StructField("state", T.StringType()), T.StructField("applied", T.IntegerType()), T.StructField("failed", T.IntegerType())]
+    )
+)
 def _replay(logs: pd.Series) -> pd.DataFrame:
     """Replay one log per row: kind 0 sets the document, 1 sets a path, 2 extends an array at a path."""
 

@@ -477,29 +477,25 @@ def previews(spark, d):
     return out.select("sid", "message_count", "preview")
 
 
-_LISTED = """l AS (SELECT concat('k', o_custkey) AS sid, concat('s', o_custkey % 9) AS source, max(CAST(CAST(o_orderdate AS DATE) AS VARCHAR)) AS at FROM orders WHERE o_custkey % 9 <> 4 GROUP BY ALL),
-st AS (SELECT concat('k', c_custkey) AS sid, concat('s', c_custkey % 9) AS source, CASE WHEN c_acctbal>0 THEN '1997-01-01' ELSE (SELECT at FROM l WHERE l.sid=concat('k', c_custkey)) END AS at FROM customer)"""
+_LISTED = """l AS (SELECT concat('k', c_custkey) AS sid, c_mktsegment AS source, '1997-01-01' AS stamp FROM customer WHERE c_mktsegment<>'FURNITURE' AND c_acctbal>0),
+st AS (SELECT concat('k', c_custkey) AS sid, c_mktsegment AS source, CASE WHEN c_nationkey<12 THEN '1997-01-01' ELSE '1996-01-01' END AS stamp FROM customer WHERE c_acctbal<5000)"""
 
 
 @query(
     "A19_listing_states",
-    f"""WITH {_LISTED} SELECT coalesce(l.sid, st.sid) AS sid, coalesce(l.source, st.source) AS source, CASE WHEN st.sid IS NULL THEN 'new' WHEN l.sid IS NOT NULL AND l.at IS DISTINCT FROM st.at THEN 'updated'
- WHEN l.sid IS NOT NULL THEN 'unchanged' WHEN st.source='s2' THEN 'unscanned' WHEN st.source='s4' THEN 'protected' ELSE 'gone' END AS state FROM l FULL JOIN st ON l.sid=st.sid""",
+    f"""WITH {_LISTED} SELECT coalesce(l.sid, st.sid) AS sid, coalesce(l.source, st.source) AS source, CASE WHEN st.sid IS NULL THEN 'new' WHEN l.sid IS NOT NULL AND l.stamp<>st.stamp THEN 'updated'
+ WHEN l.sid IS NOT NULL THEN 'unchanged' WHEN st.source='MACHINERY' THEN 'unscanned' WHEN st.source='FURNITURE' THEN 'protected' ELSE 'gone' END AS state FROM l FULL JOIN st ON l.sid=st.sid""",
 )
 def listing_states(spark, d):
-    key = lambda c: (F.concat(F.lit("k"), c).alias("sid"), F.concat(F.lit("s"), F.col(c) % 9).alias("source"))
-    orders = schemas.read_table(spark, d, "orders")
-    listed = (
-        orders.select(*key("o_custkey"), F.to_date("o_orderdate").cast("string").alias("day"))
-        .filter(F.col("source") != "s4")
-        .groupBy("sid", "source")
-        .agg(F.max("day").alias("updated_at"))
+    customers = schemas.read_table(spark, d, "customer").withColumn("sid", F.concat(F.lit("k"), "c_custkey"))
+    source = F.col("c_mktsegment").alias("source")
+    listed = customers.filter((F.col("c_mktsegment") != "FURNITURE") & (F.col("c_acctbal") > 0)).select(
+        "sid", source, F.lit("1997-01-01").alias("updated_at")
     )
-    customers = schemas.read_table(spark, d, "customer").select(*key("c_custkey"), "c_acctbal")
-    stored = customers.join(listed.select("sid", F.col("updated_at").alias("same")), "sid", "left").select(
-        "sid", "source", F.when(F.col("c_acctbal") > 0, "1997-01-01").otherwise(F.col("same")).alias("updated_at")
+    stored = customers.filter(F.col("c_acctbal") < 5000).select(
+        "sid", source, F.when(F.col("c_nationkey") < 12, "1997-01-01").otherwise("1996-01-01").alias("updated_at")
     )
-    ok = customers.select("source").filter(F.col("source") != "s2").distinct()
+    ok = customers.filter(F.col("c_mktsegment") != "MACHINERY").select(source).distinct()
     return I.classify_listing(listed, stored, ok)
 
 
