@@ -32,10 +32,10 @@ class Running:
     value: Column
 
 
-def seq_block(seq: str | Column = "seq", rows: int = BLOCK_ROWS) -> Column:
+def seq_block(seq: str | Column = "seq", rows: int | None = None) -> Column:
     """Block number for a dense 0-based sequence column."""
     col = F.col(seq) if isinstance(seq, str) else seq
-    return F.floor(col / F.lit(rows)).cast("long")
+    return F.floor(col / F.lit(rows or BLOCK_ROWS)).cast("long")
 
 
 def with_adaptive_block(
