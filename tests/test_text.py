@@ -16,7 +16,7 @@ def test_grams_of_mixed_text(spark):
 
 
 def test_cjk_rewrite(spark):
-    assert _one(spark, "查询 apple错误", text.cjk_bigram_rewrite("t")) == "查询 apple错误"
+    assert _one(spark, "查询 apple错误", text.cjk_bigram_rewrite("t")) == "查询 apple 错误"
     assert _one(spark, "数据库错误", text.cjk_bigram_rewrite("t")) == "数据 据库 库错 错误"
     assert _one(spark, "好", text.cjk_bigram_rewrite("t")) == "好"
 

@@ -12,7 +12,7 @@ from tracewell.functions import text
 from tracewell.operators import sequence as SQ
 from tracewell.operators import steps as ST
 from tracewell.plans.contains import contains_pairs
-from tracewell.plans.scan import Running, running_scan, seq_block
+from tracewell.session import materialize
 
 
 def topic_hints(intro: DataFrame, topics: DataFrame) -> DataFrame:
@@ -284,6 +284,7 @@ def evaluate_rules(
     """
     if window_days < 1:
         raise ValueError("window_days must be at least 1")
+    errors = materialize(errors.select("pattern", "sid", "ts", "resolved"))
     adopted = ledger.filter((F.col("status") == "adopted") & ~F.col("key").startswith(topic_prefix))
     stamp = _parse_stamp("adopted_at")
     fallback = F.lit(since).cast("string") if since else F.lit(None).cast("string")

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.session import materialize
+
 #: Gram lengths, each double the one before; a needle uses the longest one it can fill.
 TIERS = (1, 2, 4, 8)
 
@@ -25,11 +27,12 @@ def _paired(grams: Column, shift: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def _with_grams(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
-    """Columns ``__g1``, ``__g2``, ``__g4``, ``__g8`` of overlapping grams, each built from the one before."""
+def _with_grams(df: DataFrame, text: str, keep: Sequence[str], longest: int) -> DataFrame:
+    """Columns ``__g1``, ``__g2``, ... of overlapping grams, each built from the one before."""
     out = df.select(*keep, F.split(text, "").alias("__g1"))
     for size in TIERS[1:]:
-        out = out.select("*", _paired(F.col(f"__g{size // 2}"), size // 2).alias(f"__g{size}"))
+        if size <= longest:
+            out = out.select("*", _paired(F.col(f"__g{size // 2}"), size // 2).alias(f"__g{size}"))
     return out
 
 
@@ -48,15 +51,22 @@ def contains_pairs(
     """
     group = list(group)
     length = F.length(needle)
-    wanted = needles.filter(length >= 1).select(*group, needle_id, F.col(needle).alias("__needle"))
-    by_tier = F.when(F.length("__needle") >= 8, F.col("__g8")).when(F.length("__needle") >= 4, F.col("__g4"))
-    by_tier = by_tier.when(F.length("__needle") >= 2, F.col("__g2")).otherwise(F.col("__g1"))
-    needle_rows = _with_grams(wanted, "__needle", [*group, needle_id, "__needle"]).select(
+    tier = F.lit(TIERS[0])
+    for t in TIERS[1:]:
+        tier = F.when(length >= t, t).otherwise(tier)
+    # read several times below
+    wanted = materialize(needles.filter(length >= 1).select(*group, needle_id, F.col(needle).alias("__needle"), tier.alias("__tier")))
+    # at most one value per tier comes back: texts are cut only to the gram lengths in use
+    used = sorted(r[0] for r in wanted.select("__tier").distinct().collect()) or [TIERS[0]]
+    by_tier = F.col(f"__g{used[0]}")
+    for t in used[1:]:
+        by_tier = F.when(F.col("__tier") == t, F.col(f"__g{t}")).otherwise(by_tier)
+    needle_rows = _with_grams(wanted, "__needle", [*group, needle_id, "__needle", "__tier"], used[-1]).select(
         *group, needle_id, "__needle", F.explode(F.array_distinct(by_tier)).alias("__gram")
     )
-    text_grams = F.explode(F.array_distinct(F.concat(*[F.col(f"__g{t}") for t in TIERS]))).alias("__gram")
+    text_grams = F.explode(F.array_distinct(F.concat(*[F.col(f"__g{t}") for t in used]))).alias("__gram")
     useful = needle_rows.select("__gram").distinct()
-    text_rows = _with_grams(texts, text, [*group, text_id]).select(*group, text_id, text_grams).join(useful, "__gram", "left_semi")
+    text_rows = _with_grams(texts, text, [*group, text_id], used[-1]).select(*group, text_id, text_grams).join(useful, "__gram", "left_semi")
     frequency = text_rows.groupBy("__gram").agg(F.count(F.lit(1)).alias("__df"))
     probes = (
         needle_rows.join(frequency, "__gram", "left")
