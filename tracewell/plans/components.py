@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from tracewell.session import materialize
 
-MAX_ROUNDS = 100
 
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge list; component is the smallest node id.
 
     Each round takes the smallest label among neighbours (pre-aggregated, so a
@@ -21,7 +19,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
     both = materialize(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("label")))
-    for _ in range(max_rounds):
+    while True:
         offered = (
             both.join(labels.select(F.col("node").alias("v"), "label"), "v")
             .groupBy(F.col("u").alias("node"))
@@ -39,4 +37,3 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         labels = stepped.select("node", "label")
         if moved == 0:
             return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
