@@ -45,19 +45,26 @@ def words_column(text: str | Column = "text") -> Column:
 class WindowSet:
     """Windows of the benchmark items, by length: rolling hashes and the word sequences with their items."""
 
-    def __init__(self, items: list[tuple[object, str]], window: int = WINDOW_WORDS):
-        self.vocabulary: dict[bytes, int] = {}
-        self.windows: dict[int, dict[bytes, set[str]]] = {}
+    def __init__(self, vocabulary: dict[bytes, int], windows: dict[int, dict[bytes, set[str]]], hashes: dict[int, np.ndarray]):
+        self.vocabulary, self.windows, self.hashes = vocabulary, windows, hashes
+
+    @property
+    def data(self) -> tuple:
+        return self.vocabulary, self.windows, self.hashes
+
+    @classmethod
+    def of(cls, items: list[tuple[object, str]], window: int = WINDOW_WORDS) -> WindowSet:
+        self = cls({}, {}, {})
         for item_id, text in items:
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in text_words(text)], dtype=np.int32)
             width = min(window, len(ids))
             known = self.windows.setdefault(width, {}) if width else {}
             for i in range(len(ids) - width + 1 if width else 0):
                 known.setdefault(ids[i : i + width].tobytes(), set()).add(str(item_id))
-        self.hashes = {}
         for width, known in self.windows.items():
             rows = np.frombuffer(b"".join(known), dtype=np.int32).reshape(-1, width)
             self.hashes[width] = np.unique(self._hash(rows))
+        return self
 
     @staticmethod
     def _hash(rows: np.ndarray) -> np.ndarray:
@@ -96,14 +103,15 @@ def _named(items: set[str]) -> str:
 
 
 def _broadcast_scan(docs: DataFrame, windows: WindowSet) -> DataFrame:
-    shipped = docs.sparkSession.sparkContext.broadcast(windows)
+    shipped = docs.sparkSession.sparkContext.broadcast(windows.data)
 
     @F.pandas_udf("n_words long, n_hit long, n_items long, items_sha256 string")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        windows = WindowSet(*shipped.value)
         for texts in batches:
             rows = []
             for text in texts:
-                n, hit, items = shipped.value.scan(text)
+                n, hit, items = windows.scan(text)
                 rows.append((n, int(hit.sum()), len(items), _named(items)))
             yield pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256"])
 
@@ -158,7 +166,7 @@ def contamination(
     items = benchmark.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.sum(F.size(words_column())).alias("n")).first().n or 0
     if size <= max_benchmark_words:
-        scanned = _broadcast_scan(docs, WindowSet([tuple(r) for r in items.collect()], window))
+        scanned = _broadcast_scan(docs, WindowSet.of([tuple(r) for r in items.collect()], window))
     else:
         scanned = _join_scan(docs, items, window)
     return scanned.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))
@@ -180,12 +188,13 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WOR
     size = items.agg(F.sum(F.size(words_column())).alias("n")).first().n or 0
     if size > max_benchmark_words:
         raise ValueError(f"benchmark of {size} words; spans are removed up to {max_benchmark_words}")
-    shipped = docs.sparkSession.sparkContext.broadcast(WindowSet([tuple(r) for r in items.collect()], window))
+    shipped = docs.sparkSession.sparkContext.broadcast(WindowSet.of([tuple(r) for r in items.collect()], window).data)
 
     @F.pandas_udf("string")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        windows = WindowSet(*shipped.value)
         for texts in batches:
-            yield pd.Series([None if t is None else without_hits(t, shipped.value) for t in texts], dtype=object)
+            yield pd.Series([None if t is None else without_hits(t, windows) for t in texts], dtype=object)
 
     return docs.withColumn("text", cut("text")).select(docs.columns)
 

@@ -7,12 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import decontaminate, exact_dedup, mixing, quality, simhash
+from tracewell.llm import chat, decontaminate, exact_dedup, licenses, mixing, pii, quality, secret_scan, simhash, warc
 from tracewell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Key of the registered query; users pass their own.
+PSEUDONYM_KEY = "registered query, not a secret"
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licence_scan(table(spark, sf_dir, "documents"))
+
+
+def op2_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
+OP2_SQL = chat.oracle()
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     name = lambda c: F.coalesce(f"document.{c}", F.lit("")).alias(c)
@@ -22,6 +37,20 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = mixing.oracle()
 
 
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+OP4_SQL = """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+  o AS (SELECT payload_digest, payload_bytes, max(page_id) AS original FROM p WHERE payload_bytes >= 1000 GROUP BY ALL HAVING count(*) > 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> original THEN original END AS refers_to FROM p LEFT JOIN o USING (payload_digest, payload_bytes)"""
+
+
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,6 +83,10 @@ OP8_SQL = r"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x2
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM d JOIN g USING (body)"""
 
 
+def op9_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -61,11 +94,14 @@ def op10_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op3_source_mixing, op6_decontamination, op7_quality_ranking, op8_exact_dedup, op10_simhash_variants,
+        op1_license_scan, op2_chat_perspectives, op3_source_mixing, op4_warc_revisits, op5_pii_pseudonyms,
+        op6_decontamination, op7_quality_ranking, op8_exact_dedup, op9_secret_entropy, op10_simhash_variants,
     )
 }
 ORACLES: dict[str, str] = {
+    "op2_chat_perspectives": OP2_SQL,
     "op3_source_mixing": OP3_SQL,
+    "op4_warc_revisits": OP4_SQL,
     "op6_decontamination": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
