@@ -24,7 +24,7 @@ LEVELS = ("domain", "lang", "source")
 BUDGET_SHARE = 0.75
 MAX_EPOCHS = 2
 SEED = 17
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 #: Weights of nodes, by path; nodes not listed have weight 1.
 WEIGHTS = {
     "web": 45, "code": 25, "books": 20, "forum": 10,
@@ -86,8 +86,7 @@ def leaf_budgets(
             .withColumn("weight", F.coalesce("weight", F.lit(1))).filter("weight > 0").drop("node")
         )
         children = nodes.join(above, parents) if parents else nodes.crossJoin(above)  # one row above the first level
-        split = stored(_split(children, parents, name), f"mix-{name}")
-        above = split.withColumnRenamed("budget", "parent_budget")
+        above = _split(children, parents, name).withColumnRenamed("budget", "parent_budget")
     return above.withColumnRenamed("parent_budget", "budget")
 
 
