@@ -6,19 +6,23 @@ is indexed under every segment with one bit blanked: 64 keys.  Fingerprints that
 link share a key; an equality join on the key and a comparison of all 64 bits
 finds them.
 
-Only distinct fingerprints are indexed.  In a bucket every member is first
-compared with one leader, which joins dense families with linear work;
-afterwards only members outside the bucket's largest component are compared
-with the rest of it.  No link between different fingerprints' components is
-lost, and no bucket is capped.
+Only distinct fingerprints are indexed.  The rows of a key are brought together
+once, and a task emits links that connect what is linked there, not all pairs.
+Keys that more than ``HEAVY`` fingerprints share are known beforehand from
+counts of whole segments; their rows stay spread over the cluster: each is
+compared with one leader of its key, and then only those outside the key's
+largest component are joined with the rest of it.  Both ways lose no link
+between components and cap nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +34,9 @@ BITS = 64
 SHINGLE_WORDS = 4
 MAX_DISTANCE = 4
 SEED = 42
+#: A key is heavy if more fingerprints than this may share it; up to SMALL rows are compared without a walk.
+HEAVY = 20_000
+SMALL = 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: bytes.split() without argument cuts at exactly these bytes: 0x20 and 0x09 to 0x0D.
 
@@ -76,40 +83,113 @@ def segments(distance: int = MAX_DISTANCE, bits: int = BITS) -> list[tuple[int,
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def _segment(column: str, offset: int, width: int) -> Column:
+    return F.shiftrightunsigned(column, offset).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+
+
+def _blanked(value: Column, offset: int, width: int) -> list[Column]:
+    """Keys of a segment's value: the blanked bit's place above the other bits."""
+    return [
+        F.lit((offset + bit) << width).cast("long").bitwiseOR(value.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << bit)).cast("long")))
+        for bit in range(width)
+    ]
+
+
 def deletion_variants(column: str, distance: int = MAX_DISTANCE) -> Column:
-    """Array of keys: hash of the blanked bit's place and of its segment with that bit at zero."""
-    keys = []
-    for offset, width in segments(distance):
-        part = F.shiftrightunsigned(column, offset).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-        for bit in range(width):
-            rest = part.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << bit)).cast("long"))
-            keys.append(F.xxhash64(F.lit(offset + bit), rest))
-    return F.array(*keys)
+    """Array with a key for each segment and each of its bits blanked."""
+    return F.array(*[k for o, w in segments(distance) for k in _blanked(_segment(column, o, w), o, w)])
 
 
 def _near(a: str, b: str, distance: int) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
 
 
-def fingerprint_components(prints: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
-    """(fingerprint, component) of those fingerprints that link to another one; ``prints`` holds each once."""
-    variants = prints.select("fingerprint", F.explode(deletion_variants("fingerprint", distance)).alias("key"))
-    buckets = variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fingerprint").alias("leader")).filter("n > 1")
-    shared = stored(variants.join(buckets.select("key", "leader"), "key"), "simhash-shared")
+def heavy_keys(prints: DataFrame, distance: int = MAX_DISTANCE, heavy: int = HEAVY) -> DataFrame:
+    """(key) of every key that more than ``heavy`` fingerprints may share; all others are shared by fewer.
 
-    led = shared.filter((F.col("fingerprint") != F.col("leader")) & _near("fingerprint", "leader", distance))
+    A key blanks one bit of a segment, so it unites two of the segment's values.
+    """
+    keys = []
+    for offset, width in segments(distance):
+        counted = prints.groupBy(_segment("fingerprint", offset, width).alias("value")).agg(F.count("*").alias("n"))
+        common = counted.filter(F.col("n") > heavy // 2)
+        keys.append(common.select(F.explode(F.array(*_blanked(F.col("value"), offset, width))).alias("key")))
+    return reduce(DataFrame.unionByName, keys).distinct()
+
+
+def bucket_links(keys: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what is linked within each run of equal keys; all of them in runs of up to SMALL rows."""
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    sizes = np.diff(np.append(starts, len(keys)))
+    a, b = [], []
+    small = np.repeat(sizes <= SMALL, sizes)
+    for step in range(1, min(SMALL, int(sizes.max(initial=0)))):
+        same = np.flatnonzero((keys[step:] == keys[:-step]) & small[step:])
+        if not len(same):
+            break
+        near = same[np.bitwise_count(prints[same] ^ prints[same + step]) <= distance]
+        a.append(prints[near])
+        b.append(prints[near + step])
+    for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
+        left = prints[start : start + size]
+        while len(left):  # a breadth-first walk: what it reaches is compared no more
+            front, left = left[:1], left[1:]
+            while len(front) and len(left):
+                near = np.bitwise_count(left ^ front[0]) <= distance
+                a.append(np.full(int(near.sum()), front[0]))
+                b.append(left[near])
+                front, left = np.concatenate((front[1:], left[near])), left[~near]
+    none = np.empty(0, dtype=np.uint64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def _linked_in_buckets(variants: DataFrame, distance: int) -> DataFrame:
+    """(a, b) links among the rows (key, fingerprint) of every key."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_keys, held = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+
+        def out(n: int) -> pa.RecordBatch:
+            a, b = bucket_links(held_keys[:n], held[:n], distance)
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+        for batch in batches:
+            held_keys = np.concatenate((held_keys, batch.column(0).to_numpy()))
+            held = np.concatenate((held, batch.column(1).to_numpy().view(np.uint64)))
+            ended = int(np.searchsorted(held_keys, held_keys[-1])) if len(held_keys) else 0  # the last run may go on
+            if ended:
+                yield out(ended)
+                held_keys, held = held_keys[ended:], held[ended:]
+        if len(held_keys):
+            yield out(len(held_keys))
+
+    return variants.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long").distinct()
+
+
+def fingerprint_components(prints: DataFrame, distance: int = MAX_DISTANCE, heavy: int = HEAVY) -> DataFrame:
+    """(fingerprint, component) of those fingerprints that link to another one; ``prints`` holds each once."""
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = prints.repartition(parts, "fingerprint")  # each row becomes one for every bit
+    variants = spread.select(F.explode(deletion_variants("fingerprint", distance)).alias("key"), "fingerprint")
+    crowded = stored(heavy_keys(prints, distance, heavy), "simhash-heavy")
+    if crowded.isEmpty():
+        return connected_components(_linked_in_buckets(variants, distance)).withColumnRenamed("node", "fingerprint")
+
+    links = _linked_in_buckets(variants.join(crowded, "key", "left_anti"), distance)
+    shared = stored(variants.join(crowded, "key", "left_semi"), "simhash-shared")
+    leaders = shared.groupBy("key").agg(F.min("fingerprint").alias("leader"))
+    led = shared.join(leaders, "key").filter((F.col("fingerprint") != F.col("leader")) & _near("fingerprint", "leader", distance))
     first = stored(
-        connected_components(led.select(F.col("fingerprint").alias("a"), F.col("leader").alias("b")).distinct())
+        connected_components(links.unionByName(led.select(F.col("fingerprint").alias("a"), F.col("leader").alias("b"))).distinct())
         .withColumnRenamed("node", "fingerprint"),
-        "simhash-led",
+        "simhash-first",
     )
     members = stored(
-        shared.select("key", "fingerprint").join(first, "fingerprint", "left")
-        .select("key", "fingerprint", F.coalesce("component", "fingerprint").alias("part")),
+        shared.join(first, "fingerprint", "left").select("key", "fingerprint", F.coalesce("component", "fingerprint").alias("part")),
         "simhash-members",
     )
-    parts = members.groupBy("key", "part").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    sizes = members.groupBy("key", "part").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("k")).filter("k > 1").drop("k")
     apart = stored(members.join(mixed, "key"), "simhash-apart")
     a, b = apart.filter("part != main").alias("a"), apart.alias("b")
     crossing = (
@@ -132,7 +212,9 @@ def fingerprint_components(prints: DataFrame, distance: int = MAX_DISTANCE) -> D
     )
 
 
-def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE) -> DataFrame:
+def near_groups(
+    docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE, heavy: int = HEAVY
+) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
     Needs ``doc_id`` and ``text``.  A null text and a text without words have
@@ -142,7 +224,7 @@ def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX
     """
     rows = stored(with_fingerprints(docs, words), "simhash-rows")
     prints = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
-    linked = fingerprint_components(prints.select("fingerprint"), distance)
+    linked = fingerprint_components(prints.select("fingerprint"), distance, heavy)
     placed = prints.join(linked, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
     ids = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = placed.join(ids, "component").select("fingerprint", "component_id")
