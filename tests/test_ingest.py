@@ -118,12 +118,13 @@ def test_patch_replay_counts_failures(spark):
             json.dumps({"kind": 1, "k": ["a", "b", "c"], "v": 2}),
             json.dumps({"kind": 2, "k": ["list"], "v": [1, 2]}),
             json.dumps({"kind": 2, "k": ["list"], "v": 3}),
+            json.dumps({"kind": 1, "k": ["list", 4, "x"], "v": 5}),
             "nope",
         ]
     )
-    row = FM.replay_logs(spark.createDataFrame([("s", log)], "session_id string, log string")).first()
-    assert (row.applied, row.failed) == (4, 2)
-    assert json.loads(row.state) == {"a": {"b": {"c": 2}}, "list": [1, 2, 3]}
+    row = FM.replay_logs(FM.log_lines(spark.createDataFrame([("s", log)], "session_id string, log string"))).first()
+    assert (row.applied, row.failed, row.superseded) == (5, 1, 1)
+    assert json.loads(row.state) == {"a": {"b": {"c": 2}}, "list": [1, 2, 3, {}, {"x": 5}]}
 
 
 def test_run_entry_rules(spark):

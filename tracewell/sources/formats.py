@@ -197,41 +197,32 @@ def parse_linear_chat(docs: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(T.StructType([T.StructField("thread", T.ArrayType(T.StringType())), T.StructField("branch_points", T.IntegerType())]))
-def _latest_thread(ids: pd.Series, children: pd.Series, stamps: pd.Series) -> pd.DataFrame:
-    """Root-to-leaf walk; at a branch the child with the latest stamp in its subtree, then the larger number."""
-
-    def walk(keys, kids, times):
-        down = {k: [c for c in (ch if ch is not None else [])] for k, ch in zip(keys, kids)}
-        down = {k: [c for c in ch if c in down] for k, ch in down.items()}
-        best = {k: (t or "") for k, t in zip(keys, times)}
-        order, stack, seen = [], ["root"], set()
-        while stack:
-            node = stack.pop()
-            if node in seen or node not in down:
-                continue
-            seen.add(node)
-            order.append(node)
-            stack.extend(down[node])
-        for node in reversed(order):
-            best[node] = max([best[node], *[best[c] for c in down[node]]])
-
-        def rank(child):
-            return (best[child], 0, int(child)) if child.lstrip("-").isdigit() else (best[child], 1, 0)
-
-        thread, node, branches, used = [], "root", 0, {"root"}
-        while down.get(node):
-            options = down[node]
-            if len(options) > 1:
-                branches += 1
-            node = max(reversed(options), key=rank) if len(options) > 1 else options[-1]
-            if node in used:
+def _latest_thread(ids: pd.Series, children: pd.Series, stamps: pd.Series, places: pd.Series) -> pd.DataFrame:
+    """Root-to-leaf walk; at a branch the child with the latest stamp in its subtree, then the higher place, then the last."""
+
+    def walk(keys, kids, times, order):
+        known = set(keys)
+        links = {k: [c for c in (ch if ch is not None else []) if c in known] for k, ch in zip(keys, kids)}
+        place = dict(zip(keys, order))
+        latest = {k: t or "" for k, t in zip(keys, times)}
+        visited = dict.fromkeys(["root"])
+        frontier = ["root"]
+        while frontier:
+            frontier = [c for k in frontier for c in links.get(k, []) if c not in visited and visited.setdefault(c) is None]
+        for key in reversed(visited):  # children come after parents, level by level
+            latest[key] = max([latest.get(key, ""), *(latest[c] for c in links.get(key, []))])
+
+        thread, branches, node = [], 0, "root"
+        while options := links.get(node):
+            branches += len(options) > 1
+            node = max(enumerate(options), key=lambda o: (latest[o[1]], place[o[1]], o[0]))[1]
+            if node == "root" or node in thread:
                 break
-            used.add(node)
             thread.append(node)
         return thread, branches
 
-    out = [walk(list(i), c, s) if i is not None else ([], 0) for i, c, s in zip(ids, children, stamps)]
-    return pd.DataFrame({"thread": [t for t, _ in out], "branch_points": [b for _, b in out]})
+    rows = [walk(list(i), c, s, p) if i is not None else ([], 0) for i, c, s, p in zip(ids, children, stamps, places)]
+    return pd.DataFrame(rows, columns=["thread", "branch_points"])
 
 
 def tree_threads(docs: DataFrame) -> DataFrame:
@@ -239,10 +230,12 @@ def tree_threads(docs: DataFrame) -> DataFrame:
     schema = f"struct<id:string,mapping:map<string,{_NODE}>>"
     parsed = docs.select(F.from_json("doc", schema).alias("c")).filter(F.map_contains_key("c.mapping", "root"))
     nodes = F.map_values("c.mapping")
+    keys = F.map_keys("c.mapping")
     found = _latest_thread(
-        F.map_keys("c.mapping"),
+        keys,
         F.transform(nodes, lambda n: n["children"]),
         F.transform(nodes, lambda n: F.get_json_object(n["message"], "$.inserted_at")),
+        F.transform(keys, lambda k: F.coalesce(k.try_cast("long"), F.lit(2**63 - 1))),  # names after all numbers
     )
     return parsed.select(F.col("c.id").alias("session_id"), F.col("c.mapping").alias("mapping"), found.alias("w")).select(
         "session_id", "mapping", "w.thread", "w.branch_points"
@@ -309,69 +302,87 @@ def parse_flat_chat(docs: DataFrame) -> DataFrame:
 # --- patch logs ------------------------------------------------------------------------
 
 
-@F.pandas_udf(
-    T.StructType(
-        [T.StructField("state", T.StringType()), T.StructField("applied", T.IntegerType()), T.StructField("failed", T.IntegerType())]
-    )
-)
+def _part(holder, key, empty: str, kinds: tuple[type, ...]):
+    """What ``holder`` has at ``key``; lists grow up to it, and a map's entry of another kind is replaced."""
+    if isinstance(holder, list):
+        holder.extend(json.loads(empty) for _ in range(int(key) + 1 - len(holder)))
+        return holder[int(key)]
+    if not isinstance(holder.get(key), kinds):
+        holder[key] = json.loads(empty)
+    return holder[key]
+
+
+def _patched(document, path: list, value, extend: bool) -> None:
+    """Set ``value`` at ``path`` of a document, or append it (or its elements) to the list there."""
+    *parents, leaf = path
+    for key in parents:
+        document = _part(document, key, "{}", (dict, list))
+    if extend:
+        _part(document, leaf, "[]", (list,)).extend(value if isinstance(value, list) else [value])
+    elif isinstance(document, list):
+        _part(document, leaf, "null", ())
+        document[int(leaf)] = value
+    elif isinstance(document, dict):
+        document[leaf] = value
+    else:
+        raise TypeError("no place for a value")
+
+
+@F.pandas_udf(T.StructType([T.StructField("state", T.StringType()), T.StructField("applied", T.IntegerType()), T.StructField("failed", T.IntegerType())]))
 def _replay(logs: pd.Series) -> pd.DataFrame:
-    """Replay one log per row: kind 0 sets the document, 1 sets a path, 2 extends an array at a path."""
-
-    def step_into(node, key, fresh):
-        if isinstance(node, list):
-            index = int(key)
-            while len(node) <= index:
-                node.append(fresh())
-            return node, index
-        if isinstance(node, dict):
-            return node, key
-        raise TypeError(type(node).__name__)
-
-    def replay(log):
-        state, applied, failed = None, 0, 0
-        for line in log.split("\n"):
-            if not line.strip():
-                continue
+    """Fold the patches of one session, which start with its last snapshot: kind 1 sets, kind 2 extends."""
+
+    def fold(lines):
+        state, done = None, 0
+        for line in lines:
             try:
-                op = json.loads(line)
-                if op.get("kind") == 0:
-                    state = op["v"] if isinstance(op.get("v"), dict) else {}
-                    applied += 1
-                    continue
-                path = op["k"]
-                if not path or state is None:
-                    raise ValueError("no path or no document")
-                node = state
-                for key in path[:-1]:
-                    holder, at = step_into(node, key, dict)
-                    if isinstance(holder, dict) and not isinstance(holder.get(at), (dict, list)):
-                        holder[at] = {}
-                    node = holder[at]
-                if op.get("kind") == 2:
-                    holder, at = step_into(node, path[-1], list)
-                    if isinstance(holder, dict) and not isinstance(holder.get(at), list):
-                        holder[at] = []
-                    value = op.get("v")
-                    holder[at].extend(value if isinstance(value, list) else [value])
+                patch = json.loads(line)
+                if patch.get("kind") == 0:
+                    state = patch["v"] if isinstance(patch.get("v"), dict) else {}
+                elif state is None:
+                    raise ValueError("no snapshot")
                 else:
-                    holder, at = step_into(node, path[-1], lambda: None)
-                    holder[at] = op.get("v")
-                applied += 1
+                    _patched(state, patch["k"], patch.get("v"), patch.get("kind") == 2)
+                done += 1
             except (ValueError, TypeError, KeyError, IndexError, AttributeError):
-                failed += 1
-        return (json.dumps(state, ensure_ascii=False) if state is not None else None, applied, failed)
+                continue
+        return None if state is None else json.dumps(state, ensure_ascii=False), done, len(lines) - done
 
-    return pd.DataFrame([replay(x or "") for x in logs], columns=["state", "applied", "failed"])
+    return pd.DataFrame([fold(x) for x in logs], columns=["state", "applied", "failed"])
 
 
 def read_patch_logs(spark: SparkSession, path: str) -> DataFrame:
-    """(session_id, log): one whole log file per row, since a replay is sequential by nature."""
-    rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    return rows.select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.[^./]+$", 1).alias("session_id"), F.col("value").alias("log"))
+    """(session_id, line_no, value) of every line."""
+    stem = F.regexp_extract("file", r"([^/]+)\.[^./]+$", 1)
+    return read_lines(spark, path).select(stem.alias("session_id"), "line_no", "value")
+
+
+def log_lines(logs: DataFrame) -> DataFrame:
+    """(session_id, line_no, value) from whole logs (session_id, log)."""
+    return logs.select("session_id", F.posexplode(F.split(F.coalesce("log", F.lit("")), "\n")).alias("line_no", "value"))
 
 
-def replay_logs(logs: DataFrame) -> DataFrame:
-    return logs.select("session_id", _replay("log").alias("r")).select("session_id", "r.*")
+def replay_logs(lines: DataFrame) -> DataFrame:
+    """(session_id, state, applied, failed, superseded) of every session with lines.
+
+    A snapshot (kind 0) makes all lines before it pointless: these are counted
+    as ``superseded`` and dropped first, so only the rest of a log meets in one
+    row.
+    """
+    given = lines.filter(text.strip(F.coalesce("value", F.lit(""))) != "")
+    snapshot = F.when(F.get_json_object("value", "$.kind") == "0", F.col("line_no"))
+    last = given.groupBy("session_id").agg(F.max(snapshot).alias("last"))
+    placed = given.join(last, "session_id").withColumn("live", F.col("last").isNull() | (F.col("line_no") >= F.col("last")))
+    logs = placed.groupBy("session_id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("live"), F.struct("line_no", "value")))).alias("lines"),
+        F.count_if(~F.col("live")).alias("superseded"),
+    )
+    found = logs.select("session_id", "superseded", _replay(F.transform("lines", lambda x: x["value"])).alias("r"))
+    zero = F.lit(0)
+    return lines.select("session_id").distinct().join(found, "session_id", "left").select(
+        "session_id", "r.state", F.coalesce("r.applied", zero).alias("applied"), F.coalesce("r.failed", zero).alias("failed"),
+        F.coalesce("superseded", zero).alias("superseded"),
+    )
 
 
 def parse_patch_state(states: DataFrame) -> DataFrame:

@@ -25,11 +25,16 @@ def _sessions(spark, d):
 
 
 # Chains follow the topics: a node per user turn of a member, and one per other session of the letter.
+#: Word lists and card rules of these workloads, taken from the given tables.
+RELATION_WORDS = ("again",)
+STOP_WORDS = ("pour", "dans", "para", "sich")
+PLACEHOLDERS = (("symbol run", r"[%#&$]{3}"), ("table row", r"^[^ |]+ [|]"))
+
 CHAINS = f"""{D.INTRO},
 ut AS (SELECT sid, CAST(row_number() OVER (PARTITION BY sid ORDER BY seq) AS INTEGER) AS turn, raw FROM messages WHERE role='user'),
 cm AS (SELECT replace(topic_id, 't-', 'c-') AS chain_id, sid FROM tmembers),
 nodes AS (SELECT chain_id, turn AS stage_no, sid, CASE WHEN length(raw)>700 THEN turn+9 ELSE turn END AS turn,
-   CASE WHEN length(raw)>300 THEN 'zzzz qqqq' WHEN length(raw)>250 THEN 'same text zzzz' ELSE left(raw, 30) END AS note FROM cm JOIN ut USING (sid)
+   CASE WHEN length(raw)>300 THEN 'zzzz qqqq' WHEN length(raw)>250 THEN 'qqqq zzzz again' ELSE left(raw, 30) END AS note FROM cm JOIN ut USING (sid)
   UNION ALL SELECT concat('c-', letter), 1, sid, 1, 'other' FROM titled WHERE user_turns<3 AND letter<>'d')"""
 
 
@@ -45,7 +50,7 @@ def chain_nodes(spark, d):
         F.col("turn").alias("stage_no"),
         "sid",
         F.when(size > 700, F.col("turn") + 9).otherwise(F.col("turn")).alias("turn"),
-        F.when(size > 300, "zzzz qqqq").when(size > 250, "same text zzzz").otherwise(text.head("raw", 30)).alias("note"),
+        F.when(size > 300, "zzzz qqqq").when(size > 250, "qqqq zzzz again").otherwise(text.head("raw", 30)).alias("note"),
     )
     others = D.titled(spark, d).filter((F.col("user_turns") < 3) & (F.col("letter") != "d")).select(
         F.concat(F.lit("c-"), "letter").alias("chain_id"), F.lit(1).alias("stage_no"), "sid", F.lit(1).alias("turn"), F.lit("other").alias("note")
@@ -305,14 +310,14 @@ def quote_summary(spark, d):
 
 
 _ANCHORS = f"""{CHAINS}, aj AS (SELECT n.chain_id, n.stage_no, n.sid, n.turn, n.note, concat(coalesce(u.raw,''), '|', c.title) AS hay FROM nodes n LEFT JOIN ut u ON u.sid=n.sid AND u.turn=n.turn JOIN csessions c ON c.sid=n.sid),
-aw AS (SELECT *, list_filter(list_distinct(regexp_extract_all(lower(note), '[A-Za-z][A-Za-z0-9_\\-]{{3,}}')), lambda w: w NOT IN ('this','that','with','from','have','what','when','your','text','file')) AS words FROM aj),
+aw AS (SELECT *, list_filter(list_distinct(regexp_extract_all(lower(note), '[A-Za-z][A-Za-z0-9_\\-]{{3,}}')), lambda w: w NOT IN ('pour','dans','para','sich')) AS words FROM aj),
 ao AS (SELECT *, list_sort(list_filter(words, lambda w: contains(lower(hay), w))) AS hits, regexp_matches(hay, '[A-Za-z][A-Za-z0-9_\\-]{{3,}}') AS judge FROM aw),
 av AS (SELECT chain_id, CAST(stage_no AS INTEGER) AS stage_no, sid, CAST(turn AS INTEGER) AS turn, array_to_string(hits, ',') AS overlap, NOT judge AS unjudgeable,
-  note LIKE '%same text%' AS relational, len(words)>0 AND len(hits)=0 AND judge AND NOT note LIKE '%same text%' AS suspicious FROM ao)"""
+  note LIKE '%again%' AS relational, len(words)>0 AND len(hits)=0 AND judge AND NOT note LIKE '%again%' AS suspicious FROM ao)"""
 
 
 def _anchor_audit(spark, d):
-    return A.anchor_audit(chain_nodes(spark, d), _sessions(spark, d), _messages(spark, d))
+    return A.anchor_audit(chain_nodes(spark, d), _sessions(spark, d), _messages(spark, d), RELATION_WORDS, STOP_WORDS)
 
 
 @query("L6_anchor_audit", f"WITH {_ANCHORS} SELECT * FROM av")
@@ -415,11 +420,11 @@ def stage_calls(spark, d):
 UNION ALL SELECT id, 'error', 'neither evidence nor summary' FROM cards WHERE trim(evidence)='' AND trim(summary)=''
 UNION ALL SELECT id, 'error', 'unknown type' FROM cards WHERE type NOT IN ('insight','pitfall','workflow')
 UNION ALL SELECT id, 'error', 'confidence out of range' FROM cards WHERE confidence<0 OR confidence>1
-UNION ALL SELECT id, 'error', 'placeholder: unfilled text' FROM cards WHERE contains(evidence, '<paste') OR contains(title, '<paste')
-UNION ALL SELECT id, 'error', 'placeholder: unfilled field' FROM cards WHERE contains(evidence, '<todo') OR contains(title, '<todo')""",
+UNION ALL SELECT id, 'error', 'placeholder: symbol run' FROM cards WHERE regexp_matches(evidence, '[%#&$]{{3}}')
+UNION ALL SELECT id, 'error', 'placeholder: table row' FROM cards WHERE regexp_matches(evidence, '^[^ |]+ [|]') OR regexp_matches(title, '^[^ |]+ [|]') OR regexp_matches(summary, '^[^ |]+ [|]')""",
 )
 def card_violations(spark, d):
-    return A.card_violations(D.cards(spark, d))
+    return A.card_violations(D.cards(spark, d), PLACEHOLDERS)
 
 
 # Cards from messages: quoted evidence with one invented line for replies.
@@ -482,7 +487,8 @@ _SUMMARY = f"""{D.INTRO}, {D.CARDS}, f AS (SELECT id, 'error' AS level, concat('
  UNION ALL SELECT id, 'error', 'unknown type' FROM cards WHERE type NOT IN ('insight','pitfall','workflow')
  UNION ALL SELECT id, 'error', 'confidence out of range' FROM cards WHERE confidence<0 OR confidence>1
  UNION ALL SELECT id, 'error', 'missing field title' FROM cards WHERE title=''
- UNION ALL SELECT id, 'error', 'placeholder' FROM cards WHERE contains(evidence, '<paste') OR contains(evidence, '<todo')),
+ UNION ALL SELECT id, 'error', 'symbol run' FROM cards WHERE regexp_matches(evidence, '[%#&$]{{3}}')
+ UNION ALL SELECT id, 'error', 'table row' FROM cards WHERE regexp_matches(evidence, '^[^ |]+ [|]') OR regexp_matches(title, '^[^ |]+ [|]') OR regexp_matches(summary, '^[^ |]+ [|]')),
 g AS (SELECT c.id, count(*) FILTER (WHERE level='error') AS errors, count(*) FILTER (WHERE level='warning' AND type<>'pitfall') AS warnings,
  count(*) FILTER (WHERE level='warning' AND type='pitfall') AS accepted FROM cards c LEFT JOIN f USING (id) GROUP BY c.id),
 cs AS (SELECT *, CASE WHEN errors>0 THEN 'error' WHEN warnings>0 THEN 'warn' ELSE 'ok' END AS state FROM g)"""
@@ -496,7 +502,7 @@ def _card_summary(spark, d):
         .join(cards.filter(F.col("type") == "pitfall").select("id"), "id", "left_semi")
         .select("id", text.warning_key("message").alias("warn_key"))
     )
-    return A.card_summary(cards, A.card_violations(cards).unionByName(checks), verdicts)
+    return A.card_summary(cards, A.card_violations(cards, PLACEHOLDERS).unionByName(checks), verdicts)
 
 
 @query("L12_card_summary", f"WITH {_SUMMARY} SELECT id, errors, warnings, accepted, state FROM cs")

@@ -138,7 +138,7 @@ def patch_log(spark, d):
         "role", F.lit('"}},{"value":"second '), "role", F.lit('"}]}'),
     )
     log = F.concat_ws("\n", first, F.to_json(ask), fix, F.lit("not json"), reply)
-    states = FM.replay_logs(_conv(spark, d).select(F.col("key").alias("session_id"), log.alias("log")))
+    states = FM.replay_logs(FM.log_lines(_conv(spark, d).select(F.col("key").alias("session_id"), log.alias("log"))))
     return FM.parse_patch_state(states).select("session_id", "seq", "role", "text")
 
 
