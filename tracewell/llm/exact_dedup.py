@@ -45,7 +45,7 @@ def _slot(max_depth: int) -> Column:
 
 
 def directory(keys: DataFrame, capacity: int = BUCKET_CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(slot, depth, bucket) of every occupied slot, from distinct ``hash_key`` rows; ``bucket`` is its first slot."""
+    """(slot, depth, bucket) of every slot below an occupied bucket, from distinct ``hash_key`` rows; ``bucket`` is its first slot."""
     fine = keys.groupBy(_slot(max_depth).alias("slot")).agg(F.count("*").alias("n"))
     prefixes = fine.select(
         "slot", "n", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth")
@@ -54,9 +54,10 @@ def directory(keys: DataFrame, capacity: int = BUCKET_CAPACITY, max_depth: int =
         prefixes.groupBy("depth", "prefix")
         .agg(F.sum("n").alias("held"))
         .filter((F.col("held") <= capacity) | (F.col("depth") == max_depth))
-        .select("depth", "prefix")
     )
-    settled = prefixes.join(fitting, ["depth", "prefix"]).groupBy("slot").agg(F.min("depth").alias("depth"))
+    first = F.expr(f"shiftleft(prefix, {max_depth} - depth)")
+    last = F.expr(f"shiftleft(prefix + 1, {max_depth} - depth) - 1")
+    settled = fitting.select("depth", F.explode(F.sequence(first, last)).alias("slot")).groupBy("slot").agg(F.min("depth").alias("depth"))
     return settled.withColumn("bucket", F.expr(f"shiftleft(shiftright(slot, {max_depth} - depth), {max_depth} - depth)"))
 
 
