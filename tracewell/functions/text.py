@@ -40,8 +40,9 @@ def squash(col: str | Column) -> Column:
     return F.regexp_replace(_c(col), SPACE, "")
 
 
-def head(col: str | Column, n: int) -> Column:
-    return F.substring(_c(col), 1, n)
+def head(col: str | Column, n: int | None) -> Column:
+    """The first ``n`` characters; all of them without ``n``."""
+    return _c(col) if n is None else F.substring(_c(col), 1, n)
 
 
 def normalize_newlines(col: str | Column) -> Column:

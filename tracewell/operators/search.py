@@ -95,9 +95,9 @@ def search(
     )
 
 
-def search_sids(hits: DataFrame, cap: int = 2000) -> DataFrame:
-    """Sessions among the first ``cap`` hits, for the session filter."""
-    return hits.filter(F.col("rank") <= cap).select("sid").distinct()
+def search_sids(hits: DataFrame, cap: int | None = None) -> DataFrame:
+    """Sessions among the hits, or among the first ``cap``, for the session filter."""
+    return (hits if cap is None else hits.filter(F.col("rank") <= cap)).select("sid").distinct()
 
 
 def snippet(raw: str, query: str, width: int = 60):

@@ -22,10 +22,9 @@ BAND_THRESHOLD = 0.80
 DISCOVER_CHARS = 2000
 DISCOVER_J = 0.75
 SIZE_RATIO = 0.70
-#: Feature weights, similarity limit and posting limit of topic candidates.
+#: Feature weights and similarity limit of topic candidates.
 WEIGHTS = {"title": 0.5, "first": 0.3, "tools": 0.2}
 MIN_SIM = 0.35
-MAX_POSTING = 200
 
 
 def session_grams(messages: DataFrame, limit: int | None = None, name: str = "grams") -> DataFrame:
@@ -201,27 +200,50 @@ def candidate_features(
     )
 
 
-def candidate_pairs(features: DataFrame, weights: dict[str, float] | None = None, min_sim: float = MIN_SIM) -> DataFrame:
-    """Pairs sharing a gram held by at most MAX_POSTING sessions, at or above the similarity.
+def _rarest(features: DataFrame, column: str, min_sim: float) -> DataFrame:
+    """(sid, gram) of the grams through which a pair can reach the similarity.
 
-    The posting limit is part of the definition; it also bounds the pairs of
-    one gram.  Features missing on either side drop out of the weights.
+    Without tools the similarity is a mean of the title's and the opening's, so
+    one of the two reaches ``min_sim``: sets that do share one of the rarest
+    ``n - ceil(min_sim n) + 1`` grams of each.  With tools, all grams count.
+    """
+    rows = features.select("sid", (F.size("tools") > 0).alias("all"), F.size(column).alias("n"), F.explode(column).alias("gram"))
+    counted = rows.join(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("held")), "gram")
+    rank = F.row_number().over(Window.partitionBy("sid").orderBy("held", "gram"))
+    keep = F.col("n") - F.ceil(F.col("n") * F.lit(min_sim) - F.lit(1e-9)) + 1
+    return counted.withColumn("rank", rank).filter(F.col("all") | (F.col("rank") <= keep)).select("sid", "gram")
+
+
+def candidate_pairs(
+    features: DataFrame, weights: dict[str, float] | None = None, min_sim: float = MIN_SIM, max_posting: int | None = None
+) -> DataFrame:
+    """Pairs sharing a gram of title or opening, at or above the similarity.
+
+    ``max_posting`` leaves out grams that more sessions hold; there is no limit
+    by default.  Features missing on either side drop out of the weights.
     """
     weights = {**WEIGHTS, **(weights or {})}
     features = materialize(
         features.select("sid", *[F.transform(c, lambda g: F.xxhash64(g)).alias(c) for c in ("title_grams", "first_grams", "tools")])
     )
-    rows = features.select("sid", F.explode(F.array_union("title_grams", "first_grams")).alias("gram"))
-    postings = (
-        rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= 2) & (F.col("n") <= MAX_POSTING))
-    )
-    useful = rows.join(postings.select("gram"), "gram", "left_semi")
-    pairs = (
-        useful.alias("x")
-        .join(useful.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.sid") < F.col("y.sid")))
-        .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
-        .distinct()
-    )
+    if max_posting is None:
+        title, first = (_rarest(features, c, min_sim) for c in ("title_grams", "first_grams"))
+        mixed = features.filter(F.size("tools") > 0).limit(1).count() > 0  # then grams also meet across features
+        useful = materialize(title.unionByName(first).distinct()) if mixed else None
+        sides = [useful] if mixed else [materialize(title), materialize(first)]
+    else:
+        rows = features.select("sid", F.explode(F.array_union("title_grams", "first_grams")).alias("gram"))
+        common = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= 2) & (F.col("n") <= max_posting))
+        sides = [rows.join(common.select("gram"), "gram", "left_semi")]
+    pairs = None
+    for side in sides:
+        met = (
+            side.alias("x")
+            .join(side.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.sid") < F.col("y.sid")))
+            .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
+            .distinct()
+        )
+        pairs = met if pairs is None else pairs.unionByName(met).distinct()
     payload = F.struct("title_grams", "first_grams", "tools")
     joined = pairs.join(features.select(F.col("sid").alias("a"), payload.alias("fa")), "a").join(
         features.select(F.col("sid").alias("b"), payload.alias("fb")), "b"
@@ -238,7 +260,7 @@ def candidate_pairs(features: DataFrame, weights: dict[str, float] | None = None
     return joined.select("a", "b", sim.alias("sim")).filter(F.col("sim") >= min_sim)
 
 
-def seed_clusters(pairs: DataFrame, min_size: int = 2, max_rounds: int = 200) -> DataFrame:
+def seed_clusters(pairs: DataFrame, min_size: int = 2) -> DataFrame:
     """Greedy seed clusters: (seed, sid, sim), seeds by degree descending, then sid.
 
     A session is a seed when no earlier seed is its neighbour, so seeds are
@@ -259,7 +281,7 @@ def seed_clusters(pairs: DataFrame, min_size: int = 2, max_rounds: int = 200) ->
         .select("u", "v", "ru", "rv")
     )
     state = materialize(nodes.select("node", F.lit(0).alias("state")))  # 0 undecided, 1 seed, 2 taken
-    for _ in range(max_rounds):
+    while True:
         open_nodes = state.filter(F.col("state") == 0).select("node")
         live = ranked.join(open_nodes.select(F.col("node").alias("u")), "u", "left_semi").join(
             open_nodes.select(F.col("node").alias("v")), "v", "left_semi"
@@ -280,8 +302,6 @@ def seed_clusters(pairs: DataFrame, min_size: int = 2, max_rounds: int = 200) ->
         )
         if state.filter(F.col("state") == 0).limit(1).count() == 0:
             break
-    else:
-        raise RuntimeError("seed clusters did not settle")
     seeds = state.filter(F.col("state") == 1).select("node")
     seed_rank = nodes.join(seeds, "node", "left_semi").select(F.col("node").alias("v"), F.col("rank").alias("rv"))
     followers = (
@@ -319,7 +339,7 @@ def template_groups(stats: DataFrame, samples: DataFrame, templates: Sequence[R.
     template number of the joined templates.
     """
     by_sample = (
-        samples.select("pattern", F.explode(R.template_hits(text.head("error", 200), templates)).alias("t"))
+        samples.select("pattern", F.explode(R.template_hits(F.col("error"), templates)).alias("t"))
         .groupBy("pattern")
         .agg(F.collect_set("t").alias("more"))  # at most one entry per template
     )
@@ -345,7 +365,7 @@ def template_groups(stats: DataFrame, samples: DataFrame, templates: Sequence[R.
 
 def group_titles(stats: DataFrame, groups: DataFrame, samples: DataFrame, templates: Sequence[R.Template] = R.DEFAULT_TEMPLATES) -> DataFrame:
     """Per merged group: title and owner of its largest template, totals over the union once."""
-    by_sample = samples.select("pattern", F.explode(R.template_hits(text.head("error", 200), templates)).alias("t"))
+    by_sample = samples.select("pattern", F.explode(R.template_hits(F.col("error"), templates)).alias("t"))
     by_pattern = stats.select("pattern", F.explode(R.template_hits(F.col("pattern"), templates)).alias("t"))
     sizes = (
         by_pattern.unionByName(by_sample)

@@ -399,7 +399,7 @@ def parse_patch_state(states: DataFrame) -> DataFrame:
     def note(i: Column) -> Column:
         said = F.coalesce(F.get_json_object(i["invocationMessage"], "$.value"), F.when(~i["invocationMessage"].startswith("{"), i["invocationMessage"]), F.lit(""))
         tool = F.when(F.coalesce(i["toolId"], F.lit("")) != "", i["toolId"]).otherwise(text.head(said, 60))
-        raw = F.to_json(F.struct(F.lit("tool_call").alias("kind"), tool.alias("tool"), text.head(said, 200).alias("detail")))
+        raw = F.to_json(F.struct(F.lit("tool_call").alias("kind"), tool.alias("tool"), said.alias("detail")))
         thinking = (i["kind"] == "thinking") & (text.strip(F.coalesce(i["value"], F.lit(""))) != "")
         called = (i["kind"] == "toolInvocationSerialized") & (tool != "")
         return F.struct(
@@ -461,9 +461,9 @@ def parse_transcript(lines: DataFrame) -> DataFrame:
     def msg(role: Column | str, body: Column, raw: Column = none) -> Column:
         return F.struct((F.lit(role) if isinstance(role, str) else role).alias("role"), body.alias("text"), raw.alias("raw"))
 
-    call_raw = F.to_json(F.struct(F.lit("tool_call").alias("kind"), F.col("called").alias("tool"), text.head(args, 400).alias("detail")))
+    call_raw = F.to_json(F.struct(F.lit("tool_call").alias("kind"), F.col("called").alias("tool"), args.alias("detail")))
     result_raw = F.to_json(
-        F.struct(F.lit("tool_result").alias("kind"), tool.alias("tool"), status.alias("status"), F.when(failed, preview).alias("error"))
+        F.struct(F.lit("tool_result").alias("kind"), tool.alias("tool"), status.alias("status"), F.when(failed, output).alias("error"))
     )
     is_type = F.col("type")
     parts = (
@@ -524,10 +524,10 @@ def parse_event_log(lines: DataFrame) -> DataFrame:
     )
     tool = F.coalesce("call_tool", F.lit("unknown"))
     status = F.when(failed, "error").otherwise("completed")
-    call_raw = F.to_json(F.struct(F.lit("tool_call").alias("kind"), F.col("called").alias("tool"), text.head(args, 400).alias("detail")))
+    call_raw = F.to_json(F.struct(F.lit("tool_call").alias("kind"), F.col("called").alias("tool"), args.alias("detail")))
     result_raw = F.to_json(
         F.struct(
-            F.lit("tool_result").alias("kind"), tool.alias("tool"), status.alias("status"), F.when(failed, F.coalesce(detail, preview)).alias("error")
+            F.lit("tool_result").alias("kind"), tool.alias("tool"), status.alias("status"), F.when(failed, F.coalesce(detail, result)).alias("error")
         )
     )
     kind = F.col("type")

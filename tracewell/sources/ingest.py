@@ -10,17 +10,12 @@ from pyspark.sql import functions as F
 from tracewell.functions import text
 from tracewell.plans.scan import Running, running_scan, seq_block
 
-#: How much of an error and of a call's input a step keeps.
-ERROR_CHARS = 200
-DETAIL_CHARS = 400
-
-
 def _js(col: str | Column, path: str) -> Column:
     return F.get_json_object(F.col(col) if isinstance(col, str) else col, path)
 
 
-def step_of(raw: str = "raw") -> Column:
-    """Tool step told by a message's raw JSON, null when it is none."""
+def step_of(raw: str = "raw", error_chars: int | None = None, detail_chars: int | None = None) -> Column:
+    """Tool step told by a message's raw JSON, null when it is none; error and input are kept whole unless limited."""
     kind = F.coalesce(F.nullif(_js(raw, "$.kind"), F.lit("")), _js(raw, "$.entry_type"))
     tool = F.coalesce(*[F.nullif(_js(raw, p), F.lit("")) for p in ("$.tool", "$.data.toolName", "$.data.tool")])
     none = F.lit(None).cast("string")
@@ -29,8 +24,8 @@ def step_of(raw: str = "raw") -> Column:
     nested = F.coalesce(
         F.nullif(_js(raw, "$.data.error.code"), F.lit("")), F.nullif(_js(raw, "$.data.error.message"), F.lit("")), plain_error
     )
-    error = text.head(F.coalesce(_js(raw, "$.error"), F.nullif(nested, F.lit(""))), ERROR_CHARS)
-    call_detail = F.coalesce(_js(raw, "$.detail"), text.head(_js(raw, "$.data.input"), DETAIL_CHARS))
+    error = text.head(F.coalesce(_js(raw, "$.error"), F.nullif(nested, F.lit(""))), error_chars)
+    call_detail = F.coalesce(_js(raw, "$.detail"), text.head(_js(raw, "$.data.input"), detail_chars))
     is_call = kind == "tool_call"
     step = F.struct(
         tool.alias("tool"),

@@ -393,7 +393,7 @@ kept AS (SELECT sid, title, regexp_replace(title, '\\s+', '', 'g') AS t, left(re
 tg AS (SELECT DISTINCT sid, unnest([t[i:i+1] FOR i IN range(1, length(t))]) AS gram FROM kept),
 fg AS (SELECT DISTINCT sid, unnest([f[i:i+1] FOR i IN range(1, length(f))]) AS gram FROM kept),
 al AS (SELECT sid, gram FROM tg UNION SELECT sid, gram FROM fg),
-pst AS (SELECT gram FROM al GROUP BY gram HAVING count(*) BETWEEN 2 AND 200),
+pst AS (SELECT gram FROM al GROUP BY gram HAVING count(*)>=2),
 ok AS (SELECT al.* FROM al SEMI JOIN pst USING (gram)),
 pr AS (SELECT DISTINCT x.sid AS a, y.sid AS b FROM ok x JOIN ok y ON x.gram=y.gram AND x.sid<y.sid),
 tn AS (SELECT sid, count(*) AS n FROM tg GROUP BY sid), fn AS (SELECT sid, count(*) AS n FROM fg GROUP BY sid),
