@@ -588,9 +588,9 @@ def backfill_adopted_at(ledger: DataFrame) -> DataFrame:
 
 
 def upsert_verdicts(current: DataFrame, updates: DataFrame, keys: Sequence[str] = ("face", "subject", "key")) -> DataFrame:
-    """Verdict per key: the latest wins (updates after current rows on equal stamps)."""
+    """Verdict per key: the latest wins (updates after current rows on equal stamps, then the larger values)."""
     columns = [c for c in current.columns]
     both = current.withColumn("__late", F.lit(0)).unionByName(updates.select(*columns).withColumn("__late", F.lit(1)))
     rest = [c for c in columns if c not in keys]
-    latest = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("reviewed_at", "__late")).alias("r"))
+    latest = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("reviewed_at", "__late", *rest)).alias("r"))
     return latest.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])

@@ -36,8 +36,12 @@ def write_postings(messages: DataFrame, path: str, buckets: int = 64) -> None:
 
 def query_terms(spark: SparkSession, queries: Sequence[str]) -> DataFrame:
     """(qid, clause, term_pos, term, n_terms): words OR-ed, the grams of one word as a phrase."""
-    rows = spark.createDataFrame([(i, q) for i, q in enumerate(queries)], "qid int, query string")
-    words = rows.select("qid", F.posexplode(F.split(text.fold(F.regexp_replace("query", '"', " ")), " ")).alias("clause", "word"))
+    return terms_of(spark.createDataFrame([(i, q) for i, q in enumerate(queries)], "qid int, query string"))
+
+
+def terms_of(queries: DataFrame) -> DataFrame:
+    """The same for a table of queries (qid, query)."""
+    words = queries.select("qid", F.posexplode(F.split(text.fold(F.regexp_replace("query", '"', " ")), " ")).alias("clause", "word"))
     tokens = words.select("qid", "clause", text.search_tokens("word").alias("tokens"))
     return tokens.select(
         "qid", "clause", F.size("tokens").alias("n_terms"), F.posexplode("tokens").alias("term_pos", "term")

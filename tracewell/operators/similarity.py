@@ -119,6 +119,11 @@ def duplicate_clusters(
     return placed.select(*group, "rep", "sid", j.alias("jaccard"))
 
 
+def duplicate_candidates(items: DataFrame, known: DataFrame, threshold: float = DUP_THRESHOLD) -> DataFrame:
+    """Duplicate clusters among the sessions that are not ``known`` (sid)."""
+    return duplicate_clusters(items.join(known.select("sid").distinct(), "sid", "left_anti"), threshold)
+
+
 def _passes_prefilter(a: Column, b: Column) -> Column:
     na, nb = F.size(a["head_grams"]), F.size(b["head_grams"])
     both = F.size(F.array_intersect(a["head_grams"], b["head_grams"]))

@@ -28,13 +28,20 @@ def build_session(cores: int | str = 8, app: str = "tracewell") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster; a scratch one only where none is set."""
+    """Shared checkpoint folder named by the cluster.
+
+    Only a local master, whose tasks all run in this process, may do without: it
+    gets a scratch folder.  Elsewhere executors could not see such a folder, so
+    a missing setting is an error.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     path = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF)
     if not path:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     context.setCheckpointDir(path)
     return context.getCheckpointDir()

@@ -215,14 +215,14 @@ def bundle_histogram(spark, d):
 # --- chains ------------------------------------------------------------------------
 
 
-_BODY = "concat('see {', sid, ', turn ', seq, '} and (turn ', seq+1, '~', seq+2, ')', chr(10), '(turn 9) 「', left(raw, 8), '」')"
+_BODY = "concat('see {', sid, ', turn ', seq, '} and (turn ', seq+1, '~', seq+2, ')', chr(10), '(turn 9) 「', raw, '」')"
 
 
 def _docs(spark, d):
     seq = F.col("seq")
     body = F.concat(
         F.lit("see {"), "sid", F.lit(", turn "), seq, F.lit("} and (turn "), seq + 1, F.lit("~"), seq + 2,
-        F.lit(")\n(turn 9) 「"), text.head("raw", 8), F.lit("」"),
+        F.lit(")\n(turn 9) 「"), F.col("raw"), F.lit("」"),
     )
     return _messages(spark, d).select(F.concat_ws("#", "sid", "seq").alias("chain_id"), body.alias("body"))
 

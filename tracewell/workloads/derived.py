@@ -89,7 +89,7 @@ def ledger_log(spark, d):
 ALL_SESSIONS = """allsess AS (
   SELECT sid, source, session_id, title, created_at, updated_at, model FROM sessions
   UNION ALL SELECT sid, source, session_id, title, NULL, NULL, NULL FROM csessions),
-emembers AS (SELECT concat('e-', source, '-', coalesce(model,'none')) AS topic_id, sid FROM sessions WHERE updated_at>='2024-01-29')"""
+emembers AS (SELECT concat('e-', source, '-', coalesce(model,'none')) AS topic_id, sid FROM sessions)"""
 
 
 def all_sessions(spark, d):
@@ -97,7 +97,7 @@ def all_sessions(spark, d):
 
 
 def dated_members(spark, d):
-    return schemas.sessions_from_events(spark, d).filter(F.col("updated_at") >= "2024-01-29").select(
+    return schemas.sessions_from_events(spark, d).select(
         F.concat(F.lit("e-"), "source", F.lit("-"), F.coalesce("model", F.lit("none"))).alias("topic_id"), "sid"
     )
 

@@ -302,14 +302,13 @@ def topic_overview(spark, d):
 
 @query(
     "E23_title_chain",
-    f"""WITH {D.INTRO}, x AS (SELECT concat('w-', length(title)) AS topic_id, split_part(title,' ',1) AS title, sid, '' AS created FROM titled)
+    f"""WITH {D.INTRO}, x AS (SELECT concat('w-', length(title)) AS topic_id, title, sid, '' AS created FROM titled)
 SELECT topic_id, title, min(created) AS first_seen, min(sid) AS sid FROM x GROUP BY topic_id, title""",
 )
 def title_chain(spark, d):
     titled = D.titled(spark, d)
-    sessions = titled.withColumn("title", F.substring_index("title", " ", 1))
     members = titled.select(F.concat(F.lit("w-"), F.length("title")).alias("topic_id"), "sid")
-    return R.title_chain(members, sessions)
+    return R.title_chain(members, titled)
 
 
 @query(

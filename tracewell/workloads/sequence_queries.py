@@ -321,12 +321,15 @@ def context_pack(spark, d):
 
 @query(
     "F14_transcript_pack",
-    f"""WITH {STEPS}, r AS (SELECT sid, seq, concat('[', sid, '#', seq, '] ', tool, ' ', phase, ' ', coalesce(status,''), ' ', coalesce(error,'')) AS line FROM steps),
-c AS (SELECT *, sum(length(line)+1) OVER (PARTITION BY sid ORDER BY seq ROWS UNBOUNDED PRECEDING) AS upto FROM r)
-SELECT sid, 'step' AS part, seq, line FROM c WHERE upto<=600""",
+    f"""WITH {STEPS}, {MESSAGES}, s AS (SELECT replace(sid, 'u:', 'conv:') AS sid, seq, tool, phase, status, error FROM steps),
+r AS (SELECT sid, 0 AS p, 'message' AS part, seq, concat('[', sid, '#m', seq, '] ', role, ': ', coalesce(raw,'')) AS line FROM messages
+  UNION ALL SELECT sid, 1, 'step', seq, concat('[', sid, '#', seq, '] ', tool, ' ', phase, ' ', coalesce(status,''), ' ', coalesce(error,'')) FROM s),
+c AS (SELECT *, sum(length(line)+1) OVER (PARTITION BY sid ORDER BY p, seq ROWS UNBOUNDED PRECEDING) AS upto FROM r)
+SELECT sid, part, seq, line FROM c WHERE upto<=6000""",
 )
 def transcript_pack(spark, d):
-    return Q.transcript_pack(_messages(spark, d), store.steps(spark, d), 600).filter(F.col("part") == "step")
+    steps = store.steps(spark, d).withColumn("sid", F.regexp_replace("sid", "^u:", "conv:"))
+    return Q.transcript_pack(_messages(spark, d), steps, 6000)
 
 
 @query(

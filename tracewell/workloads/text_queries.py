@@ -50,15 +50,14 @@ def postings(spark, d):
 
 @query(
     "H3_query_terms",
-    r"""WITH q AS (SELECT DISTINCT arg_min(text, turn) AS query FROM conversations WHERE role='user' GROUP BY conv_id),
-w AS (SELECT query, unnest(regexp_extract_all(replace(query,'"',' '), '\S+')) AS word FROM q)
-SELECT query, unnest(regexp_extract_all(lower(word), '[\p{L}\p{N}\p{M}]+')) AS term FROM w""",
+    r"""WITH q AS (SELECT conv_id, regexp_extract_all(replace(arg_min(text, turn), '"', ' '), '\S+') AS ws FROM conversations WHERE role='user' GROUP BY conv_id),
+w AS (SELECT conv_id, i-1 AS clause, regexp_extract_all(lower(ws[i]), '[\p{L}\p{N}\p{M}]+') AS ts FROM (SELECT conv_id, ws, unnest(range(1, len(ws)+1)) AS i FROM q))
+SELECT conv_id AS qid, CAST(clause AS INTEGER) AS clause, CAST(len(ts) AS INTEGER) AS n_terms, CAST(j-1 AS INTEGER) AS term_pos, ts[j] AS term
+FROM (SELECT *, unnest(range(1, len(ts)+1)) AS j FROM w)""",
 )
 def query_terms(spark, d):
     first = schemas.read_table(spark, d, "conversations").filter(F.col("role") == "user")
-    texts = first.groupBy("conv_id").agg(F.min_by("text", "turn").alias("query")).select("query").distinct()
-    words = texts.select("query", F.explode(F.split(text.fold(F.regexp_replace("query", '"', " ")), " ")).alias("word"))
-    return words.select("query", F.explode(text.search_tokens("word")).alias("term"))
+    return H.terms_of(first.groupBy(F.col("conv_id").alias("qid")).agg(F.min_by("text", "turn").alias("query")))
 
 
 _VALUES = ", ".join(f"({i}, '{q}')" for i, q in enumerate(_QUERIES))
@@ -132,13 +131,13 @@ def bigrams(spark, d):
 
 @query(
     "I6_normalize_and_month",
-    """SELECT doc_id, replace(concat(left(text,20), chr(13), chr(10)), chr(13)||chr(10), chr(10)) AS lines,
+    """SELECT doc_id, replace(concat(text, chr(13), chr(10)), chr(13)||chr(10), chr(10)) AS lines,
 trim(regexp_replace(text, '\\s+', ' ', 'g')) AS folded FROM documents""".replace("\\\\", "\\"),
 )
 def normalize_and_month(spark, d):
     return schemas.read_table(spark, d, "documents").select(
         "doc_id",
-        text.normalize_newlines(F.concat(text.head("text", 20), F.lit("\r\n"))).alias("lines"),
+        text.normalize_newlines(F.concat("text", F.lit("\r\n"))).alias("lines"),
         text.fold("text").alias("folded"),
     )
 
@@ -182,10 +181,10 @@ def ascii_quotes(spark, d):
 
 @query(
     "I9_corner_quotes",
-    """SELECT doc_id, substr(left(text, 60), 1) AS quote FROM documents WHERE length(left(text,60))>=6 AND left(text,60) NOT LIKE '%」%'""",
+    """SELECT doc_id, text AS quote FROM documents WHERE length(text)>=6 AND text NOT LIKE '%」%'""",
 )
 def corner_quotes(spark, d):
-    body = F.concat(F.lit("see 「"), text.head("text", 60), F.lit("」 and 「a」"))
+    body = F.concat(F.lit("see 「"), "text", F.lit("」 and 「a」"))
     return schemas.read_table(spark, d, "documents").select("doc_id", F.explode(text.quote_spans(body)).alias("quote"))
 
 
@@ -274,21 +273,40 @@ def _doc_items(spark, d):
     return docs.select(sid, F.lit("").alias("created_at"), F.array_distinct(text.bigrams("text")).alias("grams"))
 
 
+def _source_items(spark, d):
+    sources = schemas.read_table(spark, d, "documents").select(F.format_string("doc:%07d", "doc_id").alias("sid"), "source")
+    return _doc_items(spark, d).join(sources, "sid")
+
+
+_DOC_GRAMS = """t AS (SELECT printf('doc:%07d', doc_id) AS sid, source, regexp_replace(text, '\\s+', '', 'g') AS t FROM documents),
+g AS (SELECT DISTINCT sid, unnest([t[i:i+1] FOR i IN range(1, length(t))]) AS gram FROM t),
+n AS (SELECT sid, count(*) AS n FROM g GROUP BY sid)"""
+#: Documents whose text has this many characters at most are known already.
+_KNOWN_CHARS = 120
+_IN_SOURCE = """tg AS (SELECT source, g.sid, gram FROM g JOIN t USING (sid)),
+pairs AS (SELECT x.source, x.sid AS a, y.sid AS b, count(*) AS c FROM tg x JOIN tg y ON x.source=y.source AND x.gram=y.gram AND x.sid<y.sid GROUP BY ALL),
+jac AS (SELECT source, a, b, c/(x.n+y.n-c) AS j FROM pairs JOIN n x ON x.sid=a JOIN n y ON y.sid=b)"""
+
+
 @query(
     "J1_session_duplicates",
-    f"""WITH RECURSIVE {MESSAGES}, {_GRAM_ROWS}, {_CLUSTERS.format(g="g", extra="")}
+    f"""WITH RECURSIVE messages AS (SELECT concat('conv:', conv_id // 2, '-', turn) AS sid, conv_id AS seq, role, text AS raw FROM conversations
+  UNION ALL SELECT concat('conv:again-', conv_id // 2, '-', turn), conv_id, role, text FROM conversations),
+{_GRAM_ROWS}, {_CLUSTERS.format(g="g", extra="")}
 SELECT rep, comp.sid, round(j, 3) AS jaccard FROM comp LEFT JOIN jac ON a=rep AND b=comp.sid AND j>=0.9-1e-12 WHERE comp.sid<>rep""",
 )
 def session_duplicates(spark, d):
-    return J.duplicate_clusters(_conv_items(spark, d))
+    """Every session of two messages is there twice, under another name."""
+    rows = schemas.read_table(spark, d, "conversations")
+    half = F.floor(F.col("conv_id") / 2).cast("long")
+    sid = F.explode(F.array(F.concat(F.lit("conv:"), half, F.lit("-"), "turn"), F.concat(F.lit("conv:again-"), half, F.lit("-"), "turn")))
+    messages = rows.select(sid.alias("sid"), F.col("conv_id").alias("seq"), "role", F.col("text").alias("raw"))
+    return J.duplicate_clusters(J.session_grams(messages).withColumn("created_at", F.lit("")))
 
 
 @query(
     "J1_document_duplicates",
-    f"""WITH RECURSIVE t AS (SELECT printf('doc:%07d', doc_id) AS sid, regexp_replace(text, '\\s+', '', 'g') AS t FROM documents),
-g AS (SELECT DISTINCT sid, unnest([t[i:i+1] FOR i IN range(1, length(t))]) AS gram FROM t),
-n AS (SELECT sid, count(*) AS n FROM g GROUP BY sid),
-{_CLUSTERS.format(g="g", extra="")}
+    f"""WITH RECURSIVE {_DOC_GRAMS}, {_CLUSTERS.format(g="g", extra="")}
 SELECT rep, comp.sid, round(j, 3) AS jaccard FROM comp LEFT JOIN jac ON a=rep AND b=comp.sid AND j>=0.9-1e-12 WHERE comp.sid<>rep""",
 )
 def document_duplicates(spark, d):
@@ -297,53 +315,38 @@ def document_duplicates(spark, d):
 
 @query(
     "J2_duplicate_candidates",
-    f"""WITH RECURSIVE {MESSAGES}, {_GRAM_ROWS}, {_CLUSTERS.format(g="g", extra="AND ok")}
-SELECT rep, comp.sid, round(j, 3) AS jaccard FROM comp LEFT JOIN jac ON a=rep AND b=comp.sid AND j>=0.9-1e-12 AND ok WHERE comp.sid<>rep""".replace(
-        "jac AS (SELECT a, b, c/(x.n+y.n-c) AS j FROM pairs JOIN n x ON x.sid=a JOIN n y ON y.sid=b),",
-        """h AS (SELECT sid, regexp_replace(left(string_agg(raw, '' ORDER BY seq), 2000), '\\s+', '', 'g') AS t FROM messages WHERE role='user' GROUP BY sid),
-hg AS (SELECT DISTINCT sid, unnest([t[i:i+1] FOR i IN range(1, length(t))]) AS gram FROM h),
-hn AS (SELECT sid, count(*) AS n FROM hg GROUP BY sid),
-hp AS (SELECT a.sid AS a, b.sid AS b, count(*) AS c FROM hg a JOIN hg b ON a.gram=b.gram AND a.sid<b.sid GROUP BY ALL),
-hj AS (SELECT a, b, c/(x.n+y.n-c)>=0.75 AND least(x.n,y.n)>=greatest(x.n,y.n)*0.7 AS ok FROM hp JOIN hn x ON x.sid=a JOIN hn y ON y.sid=b),
-jac AS (SELECT pairs.a, pairs.b, c/(x.n+y.n-c) AS j, coalesce(ok,false) AS ok FROM pairs JOIN n x ON x.sid=pairs.a JOIN n y ON y.sid=pairs.b
-  LEFT JOIN hj ON hj.a=pairs.a AND hj.b=pairs.b),""",
-    ),
+    f"""WITH RECURSIVE {_DOC_GRAMS}, og AS (SELECT g.* FROM g JOIN t USING (sid) WHERE length(t)>{_KNOWN_CHARS}), {_CLUSTERS.format(g="og", extra="")}
+SELECT rep, comp.sid, round(j, 3) AS jaccard FROM comp LEFT JOIN jac ON a=rep AND b=comp.sid AND j>=0.9-1e-12 WHERE comp.sid<>rep""",
 )
 def duplicate_candidates(spark, d):
-    heads = J.session_grams(_messages(spark, d), J.DISCOVER_CHARS, "head_grams")
-    items = _conv_items(spark, d).join(heads, "sid", "left").withColumn(
-        "head_grams", F.coalesce("head_grams", F.array().cast("array<string>"))
-    )
-    return J.duplicate_clusters(items, parity=True)
+    known = schemas.read_table(spark, d, "documents").filter(F.length(text.squash("text")) <= _KNOWN_CHARS)
+    return J.duplicate_candidates(_doc_items(spark, d), known.select(F.format_string("doc:%07d", "doc_id").alias("sid")))
 
 
 @query(
     "J1_topic_pairs",
-    f"""WITH {D.INTRO}, {_GRAM_ROWS}, tg AS (SELECT topic_id, g.sid, gram FROM g JOIN tmembers USING (sid)),
-pairs AS (SELECT x.topic_id, x.sid AS a, y.sid AS b, count(*) AS c FROM tg x JOIN tg y ON x.topic_id=y.topic_id AND x.gram=y.gram AND x.sid<y.sid GROUP BY ALL),
-jac AS (SELECT a, b, c/(x.n+y.n-c) AS j FROM pairs JOIN n x ON x.sid=a JOIN n y ON y.sid=b)
-SELECT a, b, round(j,3) AS jaccard, CASE WHEN j>=0.9 THEN 'duplicate' ELSE 'band' END AS kind FROM jac WHERE j>=0.8-1e-12""",
+    f"""WITH {_DOC_GRAMS}, {_IN_SOURCE},
+k AS (SELECT source, sid, sha256(string_agg(gram, '|' ORDER BY gram)) AS k FROM tg GROUP BY ALL),
+c AS (SELECT source, k, min(sid) AS cls, count(*) AS copies FROM k GROUP BY ALL)
+SELECT a, b, x.copies AS a_copies, y.copies AS b_copies, round(j,3) AS jaccard, CASE WHEN j>=0.9 THEN 'duplicate' ELSE 'band' END AS kind
+FROM jac JOIN c x ON x.source=jac.source AND x.cls=a JOIN c y ON y.source=jac.source AND y.cls=b WHERE j>=0.8-1e-12""",
 )
 def topic_pairs(spark, d):
-    items = _conv_items(spark, d).join(D.topic_members(spark, d).select("topic_id", "sid"), "sid")
-    return J.similar_pairs(items, group=["topic_id"]).select("a", "b", "jaccard", "kind")
+    return J.similar_pairs(_source_items(spark, d), group=["source"])
 
 
 @query(
     "L13_topic_dedupe",
-    f"""WITH RECURSIVE {D.INTRO}, {_GRAM_ROWS}, tg AS (SELECT topic_id, g.sid, gram FROM g JOIN tmembers USING (sid)),
-pairs AS (SELECT x.sid AS a, y.sid AS b, count(*) AS c FROM tg x JOIN tg y ON x.topic_id=y.topic_id AND x.gram=y.gram AND x.sid<y.sid GROUP BY ALL),
-jac AS (SELECT a, b, c/(x.n+y.n-c) AS j FROM pairs JOIN n x ON x.sid=a JOIN n y ON y.sid=b),
+    f"""WITH RECURSIVE {_DOC_GRAMS}, {_IN_SOURCE},
 edge AS (SELECT a AS u, b AS v FROM jac WHERE j>=0.9-1e-12 UNION SELECT b, a FROM jac WHERE j>=0.9-1e-12),
 reach AS (SELECT u, v FROM edge UNION SELECT r.u, e.v FROM reach r JOIN edge e ON e.u=r.v),
 comp AS (SELECT u AS sid, least(u, min(v)) AS rep FROM reach GROUP BY u)
-SELECT m.topic_id, count(*) AS members, count(*) FILTER (WHERE c.sid<>c.rep) AS duplicates, count(*) - count(*) FILTER (WHERE c.sid<>c.rep) AS reps
-FROM tmembers m LEFT JOIN comp c USING (sid) GROUP BY m.topic_id""",
+SELECT source, count(*) AS members, count(*) FILTER (WHERE c.sid<>c.rep) AS duplicates, count(*) - count(*) FILTER (WHERE c.sid<>c.rep) AS reps
+FROM t LEFT JOIN comp c USING (sid) GROUP BY source""",
 )
 def topic_dedupe(spark, d):
-    members = D.topic_members(spark, d).select("topic_id", "sid")
-    clusters = J.duplicate_clusters(_conv_items(spark, d).join(members, "sid"), group=["topic_id"])
-    return J.dedupe_summary(members, clusters, ["topic_id"])
+    items = _source_items(spark, d)
+    return J.dedupe_summary(items.select("source", "sid"), J.duplicate_clusters(items, group=["source"]), ["source"])
 
 
 @query(
@@ -359,13 +362,12 @@ def zero_user_sessions(spark, d):
 
 @query(
     "J4_filtered_clusters",
-    """WITH RECURSIVE """
-    + f"""{MESSAGES}, {_GRAM_ROWS}, {_CLUSTERS.format(g="g", extra="")},
+    f"""WITH RECURSIVE {_DOC_GRAMS}, {_CLUSTERS.format(g="g", extra="")},
 m AS (SELECT rep, comp.sid, round(j,3) AS jaccard FROM comp LEFT JOIN jac ON a=rep AND b=comp.sid AND j>=0.9-1e-12 WHERE comp.sid<>rep)
 SELECT rep, sid, jaccard FROM m WHERE jaccard IS NULL OR jaccard>=0.95""",
 )
 def filtered_clusters(spark, d):
-    return J.filter_clusters(J.duplicate_clusters(_conv_items(spark, d)), 0.95)
+    return J.filter_clusters(J.duplicate_clusters(_doc_items(spark, d)), 0.95)
 
 
 @query(
@@ -444,13 +446,15 @@ def topic_hint(spark, d):
 
 @query(
     "D9_patterns_known_by_cards",
-    f"""WITH {D.CARDS}, k AS (SELECT DISTINCT lower(left(text, 12)) AS key FROM benchmark)
-SELECT key, id FROM k JOIN cards ON contains(trim(regexp_replace(lower(evidence), '\\s+', ' ', 'g')), key)""",
+    f"""WITH {D.CARDS}, k AS (SELECT item_id, text AS key FROM benchmark),
+c AS (SELECT trim(regexp_replace(lower(concat(title, chr(10), evidence, chr(10), summary)), '\\s+', ' ', 'g')) AS body FROM cards)
+SELECT item_id, key, EXISTS (SELECT 1 FROM c WHERE contains(body, trim(regexp_replace(lower(key), '\\s+', ' ', 'g')))) AS known_card FROM k""",
 )
 def patterns_known(spark, d):
-    cards = D.cards(spark, d).select("id", text.loose_key("evidence").alias("body"))
-    keys = schemas.read_table(spark, d, "benchmark").select(F.lower(text.head("text", 12)).alias("key")).distinct()
-    return contains_pairs(cards, keys.withColumn("needle", F.col("key")), "id", "body", "key", "needle")
+    from tracewell.operators import classify as K
+
+    keys = schemas.read_table(spark, d, "benchmark").select("item_id", F.col("text").alias("key"))
+    return K.known_by_cards(keys, D.cards(spark, d), "key")
 
 
 @query(
