@@ -318,24 +318,22 @@ def text_scope(
 def keyword_stats(messages: DataFrame, ns: Sequence[int] = (2, 3), stopwords: Iterable[str] = ()) -> DataFrame:
     """freq and doc_freq (messages holding the gram) per n.
 
-    Each message emits its grams for freq and its distinct grams for doc_freq
-    in one explode, so a single pre-aggregated shuffle does both.
+    A message's grams are sorted, so that the first of equal ones counts for
+    doc_freq: one row per gram, and one pre-aggregated shuffle for both.
     """
     stop = sorted(set(stopwords))
     sizes = sorted({int(x) for x in ns})
-    grams = messages.select(*[text.extract_grams("raw", n).alias(f"__g{n}") for n in sizes])
+    grams = messages.select(*[F.array_sort(text.extract_grams("raw", n)).alias(f"__g{n}") for n in sizes])
 
-    def tagged(array: Column, n: int, freq: int, doc: int) -> Column:
-        return F.transform(
-            array, lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(freq).alias("f"), F.lit(doc).alias("d"))
-        )
+    def tagged(n: int) -> Column:
+        held = F.col(f"__g{n}")
+        first = lambda g, i: F.when((i == 0) | (F.get(held, i - 1) != g), 1).otherwise(0)
+        return F.transform(held, lambda g, i: F.struct(F.lit(n).alias("n"), g.alias("gram"), first(g, i).alias("d")))
 
-    parts = [tagged(F.col(f"__g{n}"), n, 1, 0) for n in sizes]
-    parts += [tagged(F.array_distinct(f"__g{n}"), n, 0, 1) for n in sizes]
-    rows = grams.select(F.explode(F.concat(*parts)).alias("r")).select("r.*")
+    rows = grams.select(F.explode(F.concat(*map(tagged, sizes))).alias("r")).select("r.*")
     if stop:
         rows = rows.filter(~F.col("gram").isin(stop))
-    return rows.groupBy("n", "gram").agg(F.sum("f").alias("freq"), F.sum("d").alias("doc_freq"))
+    return rows.groupBy("n", "gram").agg(F.count(F.lit(1)).alias("freq"), F.sum("d").alias("doc_freq"))
 
 
 def keyword_order() -> list:

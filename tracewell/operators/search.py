@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import text
@@ -14,6 +15,8 @@ from tracewell.operators import steps as ST
 K1 = 1.2
 B = 0.75
 MIN_IDF = 1e-6
+#: Postings of one bucket of a stored index, about.
+BUCKET_ROWS = 20_000_000
 
 
 def postings(messages: DataFrame, keys: Sequence[str] = ("sid", "seq")) -> DataFrame:
@@ -21,17 +24,56 @@ def postings(messages: DataFrame, keys: Sequence[str] = ("sid", "seq")) -> DataF
     return messages.select(*keys, F.posexplode(text.search_tokens("raw")).alias("pos", "term"))
 
 
-def write_postings(messages: DataFrame, path: str, buckets: int = 64) -> None:
-    """Postings as Parquet partitioned by a hash bucket of the term, sorted by term inside files.
+@dataclass(frozen=True)
+class Index:
+    """A stored index: postings by bucket of their term, message lengths, and the corpus row."""
 
-    A query reads only its terms' buckets and row groups.
-    """
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    rows = postings(messages).withColumn("bucket", bucket)
-    # spread a bucket over several tasks: one term may hold a large part of all rows
-    rows.repartition("bucket", F.pmod(F.xxhash64("sid"), F.lit(8))).sortWithinPartitions("bucket", "term", "sid", "seq", "pos").write.partitionBy(
-        "bucket"
-    ).parquet(path)
+    postings: DataFrame
+    lengths: DataFrame
+    corpus: DataFrame
+    buckets: int
+
+    def of_terms(self, terms: Sequence[str]) -> DataFrame:
+        """Postings of these terms; only their buckets are read."""
+        spark = self.postings.sparkSession
+        named = spark.createDataFrame([(t,) for t in terms] or [("",)], "term string")
+        wanted = sorted({r.bucket for r in named.select(_bucket(self.buckets).alias("bucket")).collect()})
+        return self.postings.filter(F.col("bucket").isin(wanted) & F.col("term").isin(list(terms))).drop("bucket")
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
+def _lengths(messages: DataFrame) -> DataFrame:
+    return messages.select("sid", "seq", F.size(text.search_tokens("raw")).alias("len"))
+
+
+def _corpus(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
+
+
+def write_index(messages: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS) -> Index:
+    """Store postings, lengths and corpus row below ``path``; the number of buckets follows from the data."""
+    lengths = f"{path}/lengths"
+    _lengths(messages).write.parquet(lengths)
+    stored = messages.sparkSession.read.parquet(lengths)
+    total = stored.agg(F.sum("len").alias("n")).first().n or 0
+    buckets = max(1, -(-total // bucket_rows))
+    _corpus(stored).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/corpus")
+    # a bucket is spread by session: one term may hold a large part of all rows
+    rows = postings(messages).withColumn("bucket", _bucket(buckets))
+    spread = rows.repartition("bucket", F.pmod(F.xxhash64("sid"), F.lit(8)))
+    spread.sortWithinPartitions("bucket", "term", "sid", "seq", "pos").write.partitionBy("bucket").parquet(f"{path}/postings")
+    return read_index(messages.sparkSession, path)
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    corpus = spark.read.parquet(f"{path}/corpus")
+    return Index(
+        spark.read.schema("sid string, seq int, term string, pos int, bucket int").parquet(f"{path}/postings"),
+        spark.read.parquet(f"{path}/lengths"), corpus.drop("buckets"), corpus.first().buckets,
+    )
 
 
 def query_terms(spark: SparkSession, queries: Sequence[str]) -> DataFrame:
@@ -68,19 +110,23 @@ def search(
     queries: Sequence[str],
     limit: int = 20,
     source: str | None = None,
-    index: DataFrame | None = None,
+    index: Index | None = None,
 ) -> DataFrame:
     """Ranked hits of every query: qid, rank, sid, seq, source, title, role, ts, snippet, score.
 
-    Okapi BM25 with k1 = 1.2 and b = 0.75; ties by (sid, seq).  ``index`` may
-    be stored postings; else they are computed from the messages.
+    Okapi BM25 with k1 = 1.2 and b = 0.75; ties by (sid, seq).  With a
+    stored ``index`` only the query terms' buckets are read; else all messages
+    are tokenised.
     """
     spark = messages.sparkSession
-    index = postings(messages) if index is None else index
     terms = query_terms(spark, queries)
-    hits = _clause_hits(index, terms)
-    lengths = messages.select("sid", "seq", F.size(text.search_tokens("raw")).alias("len"))
-    corpus = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))  # one row
+    if index is None:
+        found, lengths = postings(messages), _lengths(messages)
+        corpus = _corpus(lengths)  # one row
+    else:
+        listed = sorted({r.term for r in terms.select("term").collect()})  # words of the caller's own list
+        found, lengths, corpus = index.of_terms(listed), index.lengths, index.corpus
+    hits = _clause_hits(found, terms)
     frequency = hits.groupBy("qid", "clause").agg(F.count(F.lit(1)).alias("df"))  # one row per clause
     weighed = hits.join(F.broadcast(frequency), ["qid", "clause"]).join(F.broadcast(corpus))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(MIN_IDF))

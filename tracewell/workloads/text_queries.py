@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import functions as F
 
 from tracewell import schemas, store
@@ -11,7 +14,7 @@ from tracewell.operators import search as H
 from tracewell.operators import similarity as J
 from tracewell.operators import steps as O
 from tracewell.plans.components import connected_components
-from tracewell.plans.contains import contains_pairs
+from tracewell.session import ensure_checkpoint_dir
 from tracewell.workloads import derived as D
 from tracewell.workloads.base import CONV_SESSIONS, ERRORS, MESSAGES, STEPS, query
 
@@ -84,6 +87,31 @@ def search(spark, d):
     return hits.select("qid", "rank", "sid", "seq", "source", "title", F.round("score", 6).alias("score"))
 
 
+#: Words of two terms are phrases.
+_PHRASES = ("of-the", "de.la", "the,of")
+_PHRASE_ROWS = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(re.split("[-.,]", p) for p in _PHRASES))
+
+
+@query(
+    "H4_indexed_phrases",
+    _BM25.replace(f"q(qid, query) AS (VALUES {_VALUES}),", f"q(qid, a, b) AS (VALUES {_PHRASE_ROWS}),")
+    .replace("qt AS (SELECT qid, unnest(string_split(query, ' ')) AS term FROM q),", "")
+    .replace(
+        "hits AS (SELECT qid, t.term, sid, seq, count(*) AS tf FROM terms t JOIN qt ON qt.term=t.term GROUP BY ALL),",
+        """hits AS (SELECT qid, a AS term, x.sid, x.seq, count(*) AS tf FROM q JOIN terms x ON x.term=a
+  JOIN terms y ON y.term=b AND y.sid=x.sid AND y.seq=x.seq AND y.pos=x.pos+1 GROUP BY ALL),""",
+    )
+    + """ SELECT CAST(qid AS INTEGER) AS qid, CAST(rn AS INTEGER) AS rank, r.sid, seq, source, title, round(score,6) AS score
+FROM r JOIN csessions c ON c.sid=r.sid WHERE rn<=20""",
+)
+def indexed_phrases(spark, d):
+    """Phrase queries on a stored index; small buckets, so that there are several."""
+    messages = _messages(spark, d)
+    index = H.write_index(messages, f"{ensure_checkpoint_dir(spark)}/tables/index-{uuid.uuid4().hex}", bucket_rows=5000)
+    hits = H.search(messages, _sessions(spark, d), _PHRASES, index=index)
+    return hits.select("qid", "rank", "sid", "seq", "source", "title", F.round("score", 6).alias("score"))
+
+
 @query(
     "H5_snippet",
     f"""WITH {MESSAGES}, p AS (SELECT sid, seq, raw, CASE WHEN instr(lower(raw),'th')>0 THEN instr(lower(raw),'th')
