@@ -348,6 +348,28 @@ def stage_windows(chain_nodes: DataFrame) -> DataFrame:
     return stages.select("*", span["start"].alias("start_day"), span["end"].alias("end_day"))
 
 
+def _stage_days(windows: DataFrame, margin_days: int) -> DataFrame:
+    """(chain_id, day, day_stage): the first stage of a chain that covers a day."""
+    spans = windows.filter(F.col("start_day").isNotNull() & (F.col("start_day") <= F.date_add("end_day", margin_days)))
+    days = F.explode(F.sequence("start_day", F.date_add("end_day", margin_days)))
+    return (
+        spans.select("chain_id", "stage_no", days.alias("d"))
+        .groupBy("chain_id", F.col("d").cast("string").alias("day"))
+        .agg(F.min("stage_no").alias("day_stage"))
+    )
+
+
+def _with_day(invocations: DataFrame) -> DataFrame:
+    return invocations.withColumn("day", F.nullif(text.head(F.coalesce("ts", F.lit("")), 10), F.lit("")))
+
+
+def _after(windows: DataFrame, placed: DataFrame) -> DataFrame:
+    """Adds the stage's name and whether the call's day lies behind its end."""
+    ends = windows.select("chain_id", "stage_no", "stage", "end_day")
+    late = F.coalesce(F.col("day") > F.col("end_day").cast("string"), F.lit(False))
+    return placed.join(ends, ["chain_id", "stage_no"], "left").withColumn("late", late)
+
+
 def stage_calls(
     invocations: DataFrame,
     chain_members: DataFrame,
@@ -355,72 +377,58 @@ def stage_calls(
     messages: DataFrame,
     margin_days: int = 0,
 ) -> DataFrame:
-    """Skill calls placed in chain stages: by node, then by member span, then by day.
+    """Skill calls of a chain's members placed in its stages: by node, else by day.
 
     Day placement joins on exploded calendar days of the stage spans, so it is
     an equi-join; the first stage per (chain, day) is chosen before joining.
+    Calls of other sessions are counted by ``other_stage_calls``.
     """
     turns = turn_asof(invocations, messages).select("sid", "seq", "turn")
-    calls = invocations.join(turns, ["sid", "seq"], "left").withColumn(
-        "day", F.nullif(text.head(F.coalesce("ts", F.lit("")), 10), F.lit(""))
-    )
+    calls = _with_day(invocations.join(turns, ["sid", "seq"], "left"))
     windows = stage_windows(chain_nodes)
     node_hit = (
         chain_nodes.select("chain_id", "stage_no", "sid", "turn")
         .groupBy("chain_id", "sid", "turn")
         .agg(F.min("stage_no").alias("node_stage"))
     )
-    day_stage = (
-        windows.filter(F.col("start_day").isNotNull() & (F.col("start_day") <= F.date_add("end_day", margin_days)))
-        .select(
-            "chain_id",
-            "stage_no",
-            F.explode(F.sequence("start_day", F.date_add("end_day", margin_days))).alias("d"),
-        )
-        .groupBy("chain_id", F.col("d").cast("string").alias("day"))
-        .agg(F.min("stage_no").alias("day_stage"))
-    )
     members = chain_members.select("chain_id", "sid").distinct()
-    member_calls = (
+    placed = (
         calls.join(members, "sid")
         .join(node_hit, ["chain_id", "sid", "turn"], "left")
-        .join(day_stage, ["chain_id", "day"], "left")
-        .withColumn("is_member", F.lit(True))
-    )
-    member_key = members.withColumn("__m", F.lit(True))
-    other_calls = (
-        calls.join(day_stage, "day")
-        .join(member_key, ["chain_id", "sid"], "left_anti")
-        .withColumn("is_member", F.lit(False))
-        .withColumn("node_stage", F.lit(None).cast("int"))
-    )
-    placed = member_calls.select(*_STAGE_COLS).unionByName(other_calls.select(*_STAGE_COLS))
-    stage_no = F.coalesce("node_stage", "day_stage")
-    kind = (
-        F.when(F.col("node_stage").isNotNull(), "member")
-        .when(F.col("day_stage").isNotNull() & F.col("is_member"), "member_span")
-        .when(F.col("day_stage").isNotNull(), "temporal")
-        .otherwise("unassigned")
-    )
-    named = placed.withColumn("stage_no", stage_no).withColumn("kind", kind)
-    ends = windows.select("chain_id", "stage_no", "stage", "end_day")
-    joined = named.join(ends, ["chain_id", "stage_no"], "left")
-    after = F.coalesce(F.col("day") > F.col("end_day").cast("string"), F.lit(False))
-    return joined.select(
-        "chain_id",
-        "sid",
-        "seq",
-        F.when(F.col("kind").isin("member", "member_span"), F.col("turn")).alias("turn"),
-        "skill",
-        "stage_no",
-        "stage",
-        F.when(after & (F.col("kind") != "unassigned"), F.concat("kind", F.lit("_after")))
-        .otherwise(F.col("kind"))
-        .alias("kind"),
+        .join(_stage_days(windows, margin_days), ["chain_id", "day"], "left")
+        .withColumn("stage_no", F.coalesce("node_stage", "day_stage"))
+    )
+    kind = F.when(F.col("node_stage").isNotNull(), "member").when(F.col("day_stage").isNotNull(), "member_span").otherwise("unassigned")
+    named = _after(windows, placed.withColumn("kind", kind))
+    given = F.col("kind") != "unassigned"
+    return named.select(
+        "chain_id", "sid", "seq", F.when(given, F.col("turn")).alias("turn"), "skill", "stage_no", "stage",
+        F.when(F.col("late") & given, F.concat("kind", F.lit("_after"))).otherwise(F.col("kind")).alias("kind"),
     )
 
 
-_STAGE_COLS = ("chain_id", "sid", "seq", "turn", "skill", "day", "node_stage", "day_stage", "is_member")
+def other_stage_calls(
+    invocations: DataFrame, chain_members: DataFrame, chain_nodes: DataFrame, margin_days: int = 0
+) -> DataFrame:
+    """(chain_id, stage_no, skill, kind, n_calls): calls of other sessions on the days of a chain's stages.
+
+    All calls are counted per day and skill before they meet the chains, and the
+    members' own are taken off, so no call is repeated for every chain.
+    """
+    calls = _with_day(invocations).filter(F.col("day").isNotNull())
+    windows = stage_windows(chain_nodes)
+    every = calls.groupBy("day", "skill").agg(F.count(F.lit(1)).alias("n"))
+    own = (
+        calls.join(chain_members.select("chain_id", "sid").distinct(), "sid")
+        .groupBy("chain_id", "day", "skill").agg(F.count(F.lit(1)).alias("own"))
+    )
+    counted = (
+        every.join(_stage_days(windows, margin_days), "day").join(own, ["chain_id", "day", "skill"], "left")
+        .withColumn("n", F.col("n") - F.coalesce("own", F.lit(0))).filter("n > 0").withColumnRenamed("day_stage", "stage_no")
+    )
+    named = _after(windows, counted)
+    kind = F.when(F.col("late"), "temporal_after").otherwise("temporal")
+    return named.groupBy("chain_id", "stage_no", "skill", kind.alias("kind")).agg(F.sum("n").alias("n_calls"))
 
 
 # --- picks and budgets ---------------------------------------------------------------

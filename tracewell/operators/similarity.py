@@ -416,30 +416,31 @@ def related_triggers(cards: DataFrame) -> DataFrame:
     )
 
 
-def confusable_cards(cards: DataFrame) -> DataFrame:
-    """Per card and trigger: the related triggers and how many other cards hold them.
+def confusable_triggers(cards: DataFrame) -> DataFrame:
+    """Related triggers with the number of cards that hold each: (trigger, other_trigger, cards, other_cards).
 
-    A trigger shared by many cards gives one row per card, not one per card
-    pair; the pairs follow by looking the related trigger up.
+    One row per pair of words, whatever the number of cards; a word that several
+    cards share is related to itself.  The cards follow by looking a word up.
     """
     words = _trigger_words(cards)
-    holders = words.groupBy(F.col("word").alias("other")).agg(F.count(F.lit(1)).alias("holders"))
-    own = words.select("id", F.col("word").alias("other"), F.lit(1).alias("mine"))
+    holders = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     rows = (
-        words.join(related_triggers(cards), "word")
-        .join(holders, "other")
-        .join(own, ["id", "other"], "left")
-        .withColumn("other_cards", F.col("holders") - F.coalesce("mine", F.lit(0)))
+        related_triggers(cards)
+        .join(holders.select("word", F.col("n").alias("cards")), "word")
+        .join(holders.select(F.col("word").alias("other"), F.col("n").alias("other_cards")), "other")
+    )
+    return rows.filter((F.col("word") != F.col("other")) | (F.col("cards") > 1)).select(
+        F.col("word").alias("trigger"), F.col("other").alias("other_trigger"), "cards", "other_cards"
     )
-    return rows.filter(F.col("other_cards") > 0).select("id", F.col("word").alias("trigger"), F.col("other").alias("other_trigger"), "other_cards")
 
 
 def duplicate_cards(cards: DataFrame, errors: DataFrame) -> DataFrame:
-    """Error patterns already described by a card: (key, id) with the sessions showing the pattern."""
+    """Error patterns already described by cards: (key, sessions, n_cards, first_card)."""
     keys = errors.select("sid", text.loose_key("pattern").alias("key")).filter(F.col("key") != "")
     seen = keys.groupBy("key", "sid").agg(F.lit(1).alias("one")).groupBy("key").agg(F.sum("one").alias("sessions"))
     body = text.loose_key(F.concat_ws("\n", "title", "evidence", "summary"))
     texts = cards.select("id", body.alias("body"))
     needles = seen.select("key", F.col("key").alias("needle"))
     found = contains_pairs(texts, needles, "id", "body", "key", "needle")
-    return found.join(seen, "key").select("key", "id", "sessions")
+    holding = found.groupBy("key").agg(F.count(F.lit(1)).alias("n_cards"), F.min("id").alias("first_card"))
+    return holding.join(seen, "key").select("key", "sessions", "n_cards", "first_card")

@@ -394,9 +394,24 @@ kd AS (SELECT *, coalesce(ns, ds) AS st, CASE WHEN ns IS NOT NULL THEN 'member'
 @query(
     "D6_stage_calls",
     f"""WITH {_STAGES} SELECT kd.chain_id, sid, seq, CASE WHEN k0 IN ('member','member_span') THEN turn END AS turn, skill, CAST(st AS INTEGER) AS stage_no,
-CASE WHEN k0<>'unassigned' AND CAST(ts[1:10] AS DATE)>w.e THEN concat(k0, '_after') ELSE k0 END AS kind FROM kd LEFT JOIN w ON w.chain_id=kd.chain_id AND w.stage_no=kd.st""",
+CASE WHEN k0<>'unassigned' AND CAST(ts[1:10] AS DATE)>w.e THEN concat(k0, '_after') ELSE k0 END AS kind FROM kd LEFT JOIN w ON w.chain_id=kd.chain_id AND w.stage_no=kd.st WHERE mem""",
 )
 def stage_calls(spark, d):
+    invocations, members, nodes, turns = _stage_tables(spark, d)
+    return Q.stage_calls(invocations, members, nodes, turns, margin_days=1).drop("stage")
+
+
+@query(
+    "D6_other_stage_calls",
+    f"""WITH {_STAGES} SELECT kd.chain_id, CAST(st AS INTEGER) AS stage_no, skill, CASE WHEN CAST(ts[1:10] AS DATE)>w.e THEN 'temporal_after' ELSE 'temporal' END AS kind,
+count(*) AS n_calls FROM kd LEFT JOIN w ON w.chain_id=kd.chain_id AND w.stage_no=kd.st WHERE NOT mem GROUP BY ALL""",
+)
+def other_stage_calls(spark, d):
+    invocations, members, nodes, _ = _stage_tables(spark, d)
+    return Q.other_stage_calls(invocations, members, nodes, margin_days=1)
+
+
+def _stage_tables(spark, d):
     steps, sessions = store.steps(spark, d), schemas.sessions_from_events(spark, d)
     invocations = Q.skill_invocations(steps, sessions)
     turns = steps.filter((F.col("phase") == "result") & (F.col("status") == "completed")).select(
@@ -408,7 +423,7 @@ def stage_calls(spark, d):
     nodes = members.join(Q.numbered_user_turns(turns), "sid").filter(F.col("turn") <= 3).select(
         "chain_id", F.col("turn").alias("stage_no"), F.concat(F.lit("stage "), "turn").alias("stage"), span.alias("span"), "sid", "turn"
     )
-    return Q.stage_calls(invocations, members, nodes, turns, margin_days=1).drop("stage")
+    return invocations, members, nodes, turns
 
 
 # --- cards -----------------------------------------------------------------------------

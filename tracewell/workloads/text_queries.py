@@ -508,23 +508,20 @@ def _triggered(spark, d):
 
 
 @query(
-    "J8_confusable_cards",
-    f"""WITH {_TRIGGERS}, v AS (SELECT DISTINCT word FROM tr),
-rel AS (SELECT x.word, y.word AS other FROM v x JOIN v y ON contains(x.word, y.word) OR contains(y.word, x.word)),
-h AS (SELECT word AS other, count(*) AS holders FROM tr GROUP BY word),
-r AS (SELECT t.id, t.word AS trigger, other AS other_trigger, holders - (SELECT count(*) FROM tr o WHERE o.id=t.id AND o.word=rel.other) AS other_cards
-  FROM tr t JOIN rel ON rel.word=t.word JOIN h USING (other))
-SELECT id, trigger, other_trigger, CAST(other_cards AS BIGINT) AS other_cards FROM r WHERE other_cards>0""",
+    "J8_confusable_triggers",
+    f"""WITH {_TRIGGERS}, h AS (SELECT word, count(*) AS n FROM tr GROUP BY word)
+SELECT x.word AS trigger, y.word AS other_trigger, x.n AS cards, y.n AS other_cards FROM h x JOIN h y ON contains(x.word, y.word) OR contains(y.word, x.word)
+WHERE x.word<>y.word OR x.n>1""",
 )
-def confusable_cards(spark, d):
-    return J.confusable_cards(_triggered(spark, d))
+def confusable_triggers(spark, d):
+    return J.confusable_triggers(_triggered(spark, d))
 
 
 @query(
     "J9_duplicate_cards",
     f"""WITH {ERRORS}, k AS (SELECT lower(pattern) AS key, count(DISTINCT sid) AS sessions FROM errs GROUP BY 1),
 c AS (SELECT concat('card-', sid, '-', seq) AS id, lower(concat('seen ', pattern, ' again')) AS body FROM errs WHERE bucket='closing')
-SELECT key, id, sessions FROM k JOIN c ON contains(body, key)""",
+SELECT key, sessions, count(*) AS n_cards, min(id) AS first_card FROM k JOIN c ON contains(body, key) GROUP BY key, sessions""",
 )
 def duplicate_cards(spark, d):
     errors = O.collect_errors(store.steps(spark, d), schemas.sessions_from_events(spark, d))
