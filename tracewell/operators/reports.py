@@ -323,7 +323,7 @@ def keyword_stats(messages: DataFrame, ns: Sequence[int] = (2, 3), stopwords: It
     """
     stop = sorted(set(stopwords))
     sizes = sorted({int(x) for x in ns})
-    grams = messages.select(*[F.array_sort(text.extract_grams("raw", n)).alias(f"__g{n}") for n in sizes])
+    grams = messages.select(*[F.sort_array(text.extract_grams("raw", n)).alias(f"__g{n}") for n in sizes])
 
     def tagged(n: int) -> Column:
         held = F.col(f"__g{n}")
