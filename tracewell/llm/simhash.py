@@ -169,7 +169,7 @@ def _linked_in_buckets(variants: DataFrame, distance: int) -> DataFrame:
 def fingerprint_components(prints: DataFrame, distance: int = MAX_DISTANCE, heavy: int = HEAVY) -> DataFrame:
     """(fingerprint, component) of those fingerprints that link to another one; ``prints`` holds each once."""
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = prints.repartition(parts, "fingerprint")  # each row becomes one for every bit
+    spread = prints.repartition(parts)  # each row becomes one for every bit, so small partitions are not merged
     variants = spread.select(F.explode(deletion_variants("fingerprint", distance)).alias("key"), "fingerprint")
     crowded = stored(heavy_keys(prints, distance, heavy), "simhash-heavy")
     if crowded.isEmpty():
