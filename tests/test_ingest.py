@@ -47,7 +47,7 @@ def test_archive_with_bad_files(spark, tmp_path):
         (0, "user", "你好 好世 世界", "你好世界"), (1, "user", "hi", " hi "), (2, "note", "call", "call"),
     ]
     assert [(r.seq, r.phase, r.status, len(r.error or "")) for r in steps.orderBy("seq").collect()] == [
-        (0, "call", None, 0), (1, "result", "error", 200),
+        (0, "call", None, 0), (1, "result", "error", 300),
     ]
 
 

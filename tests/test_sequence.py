@@ -77,7 +77,8 @@ def test_diagnostics_numbers(spark):
     steps = _steps(spark, rows)
     counts = {r.tool: (r.calls, r.error) for r in O.tool_counts(steps).collect()}
     assert counts == {"read_file": (4, 1), "write_file": (2, 1), "bash": (1, 1)}
-    errors = O.collect_errors(steps, spark.createDataFrame([], schemas.SESSIONS)).collect()
+    families = (("tool_interface", ("old_string",)),)
+    errors = O.collect_errors(steps, spark.createDataFrame([], schemas.SESSIONS), families=families).collect()
     assert sorted(e["class"] for e in errors) == ["context", "env", "tool_interface"]
     assert sorted(e.bucket for e in errors) == ["closing", "opening", "opening"]
     assert sum(not e.resolved for e in errors) == 2

@@ -227,6 +227,7 @@ def collect_errors(
     sessions: DataFrame,
     cutoff: str | None = None,
     rules: Sequence[R.Rule] = R.DEFAULT_RULES,
+    families: Sequence[tuple[str, Sequence[str]]] = (),
 ) -> DataFrame:
     """One row per step with status ``error``: class, pattern, place, outcome, skill, source, model."""
     failed = F.coalesce(F.col("status") == "error", F.lit(False))
@@ -249,7 +250,7 @@ def collect_errors(
         "error",
         "source",
         F.coalesce(F.nullif("model", F.lit("")), F.lit(UNKNOWN_MODEL)).alias("model"),
-        R.error_class(F.col("error"), rules).alias("class"),
+        R.error_class(F.col("error"), rules, families).alias("class"),
         text.normalize_error("error").alias("pattern"),
         F.when(ratio <= 1 / 3, "opening").when(ratio <= 2 / 3, "middle").otherwise("closing").alias("bucket"),
         F.coalesce(F.col("last_call") > F.col("seq"), F.lit(False)).alias("resolved"),
