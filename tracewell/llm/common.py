@@ -31,6 +31,18 @@ def plain_text(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def hash_sample(df: DataFrame, key: str, count: int) -> DataFrame:
+    """At most ``count`` rows, those with the lowest hash of ``key``.
+
+    Rows are thinned by their hash to about twice as many first, so tasks send
+    the driver a bounded number of rows in all, however many tasks there are.
+    """
+    share = min(1.0, 2 * count / max(df.count(), 1))
+    place = F.xxhash64(key)
+    thin = df if share == 1.0 else df.filter(F.pmod(place, F.lit(1 << 40)) < int(share * (1 << 40)))
+    return thin.orderBy(F.pmod(place, F.lit(1 << 40)), key).limit(count)
+
+
 def keep_documents(docs: DataFrame, decisions: DataFrame, kept: str) -> DataFrame:
     """The rows of ``docs`` whose id has a true ``kept`` in ``decisions`` (doc_id, kept), with all columns.
 

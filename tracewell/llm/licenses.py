@@ -3,9 +3,9 @@
 Every paragraph (line) of a text is classified by a sparse logistic regression
 over word 1- and 2-grams into licence families or 'unknown'.  It is trained here
 on the templates below, seeded variants of them, and ordinary paragraphs of the
-corpus (a bounded sample) as the unknown class.  A family is only reported from
-the probability on that hardly any ordinary paragraph reaches (calibrated on
-held-out ones).  A prediction is confirmed if the paragraph holds a template of
+corpus (a bounded sample) as the unknown class.  A family is only reported if
+the probability of not being unknown is one that hardly any ordinary paragraph
+reaches (calibrated on held-out ones).  A prediction is confirmed if the paragraph holds a template of
 its family, or the template holds the paragraph, by at least ``CONFIRM`` of the
 five-word shingles.
 
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import plain_text
+from tracewell.llm.common import hash_sample, plain_text
 
 UNKNOWN = "unknown"
 SHINGLE = 5
@@ -30,6 +30,7 @@ CONFIRM = 0.8
 SAMPLE = 4000
 #: Share of held-out ordinary paragraphs that may exceed the accepted probability.
 FALSE_ALARMS = 0.0005
+NEAR_MISSES = 3000
 SEED = 11
 #: Short notices as their licences ask for them.
 TEMPLATES = {
@@ -116,6 +117,22 @@ def _variants(words: list[str], rng: np.random.Generator, count: int) -> Iterato
         yield kept[start : start + cut]
 
 
+def _near_misses(rng: np.random.Generator, count: int) -> Iterator[list[str]]:
+    """Ordinary text in words of the templates, so that a few common words don't decide: any of them, or a short piece among others."""
+    texts = [paragraph_words(t) for ts in TEMPLATES.values() for t in ts]
+    pool = [w for words in texts for w in words]
+    for i in range(count):
+        if i % 3 == 0:
+            yield list(rng.choice(pool, int(rng.integers(1, 6))))
+            continue
+        words = texts[int(rng.integers(len(texts)))]
+        size = int(rng.integers(1, 4 if len(words) >= 10 else 3))
+        start = int(rng.integers(0, len(words) - size + 1))
+        others = [f"other{k}" for k in range(int(rng.integers(0, 9)))]
+        at = int(rng.integers(0, len(others) + 1))
+        yield others[:at] + words[start : start + size] + others[at:]
+
+
 class LicenceModel:
     """Vocabulary, weights and accepted probability; scores paragraphs."""
 
@@ -152,7 +169,7 @@ class LicenceModel:
             return UNKNOWN, 1.0, 0.0
         p = self.probabilities(words)
         best = int(p[1:].argmax())
-        if p[best + 1] < self.accept or p[best + 1] <= p[0]:
+        if 1 - p[0] < self.accept:
             return UNKNOWN, float(p[0]), 0.0
         return self.families[best], float(p[best + 1]), self.similarity(words, self.families[best])
 
@@ -191,9 +208,7 @@ def train(ordinary: list[str], seed: int = SEED) -> LicenceModel:
     vocabulary = {g: i for i, g in enumerate(sorted({g for f in TEMPLATES.values() for t in f for g in ngrams(paragraph_words(t))}))}
     unlike = LicenceModel(vocabulary, np.zeros((len(vocabulary), 1)), np.zeros(1), families, 0.5)
     negative = [w for w in map(paragraph_words, ordinary) if w and max(unlike.similarity(w, f) for f in families) < 0.5]
-    # ordinary prose in words of the templates keeps single common words from deciding
-    pool = [w for ws in TEMPLATES.values() for t in ws for w in paragraph_words(t)]
-    negative += [list(rng.choice(pool, int(rng.integers(2, 6)))) for _ in range(200)]
+    negative += list(_near_misses(rng, NEAR_MISSES))
     order = rng.permutation(len(negative))
     held, used = [negative[i] for i in order[::5]], [negative[i] for k, i in enumerate(order) if k % 5]
     texts = positive + [(0, w) for w in used]
@@ -202,17 +217,17 @@ def train(ordinary: list[str], seed: int = SEED) -> LicenceModel:
     weights, bias = _softmax_regression(rows, norms, np.array([k for k, _ in texts]), len(vocabulary), len(families) + 1)
     model = LicenceModel(vocabulary, weights, bias, families, 0.5)
     if held:
-        reached = np.array([model.probabilities(w)[1:].max() for w in held])
-        model.accept = float(min(0.95, max(0.5, np.quantile(reached, 1 - FALSE_ALARMS))))
+        reached = np.array([1 - model.probabilities(w)[0] for w in held])
+        model.accept = float(min(0.99, max(0.5, np.quantile(reached, 1 - FALSE_ALARMS))))
     return model
 
 
 def sample_paragraphs(docs: DataFrame, count: int = SAMPLE) -> list[str]:
-    """At most ``count`` documents' first long line, chosen by a hash of the text; the bounded training sample."""
+    """The first long line of at most ``count`` documents, chosen by a hash of the id; the bounded training sample."""
     longer = F.filter(F.split(plain_text(), "\n"), lambda x: F.length(x) > 20)
-    rows = docs.select(F.xxhash64("text").alias("h"), F.substring(F.try_element_at(longer, F.lit(1)), 1, 2000).alias("line"))
-    chosen = rows.filter("line IS NOT NULL").orderBy("h", "line").limit(count)
-    return [r.line for r in chosen.collect()]
+    chosen = hash_sample(docs.select("doc_id", "text"), "doc_id", count)
+    line = F.substring(F.try_element_at(longer, F.lit(1)), 1, 2000)
+    return sorted(r.line for r in chosen.select(line.alias("line")).collect() if r.line is not None)
 
 
 def licence_scan(docs: DataFrame, model: LicenceModel | None = None, sample: int = SAMPLE) -> DataFrame:
