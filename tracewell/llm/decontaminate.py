@@ -153,6 +153,17 @@ def _join_scan(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     )
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
+
+
+def _small_set(benchmark: DataFrame, window: int, max_words: int) -> WindowSet | None:
+    """The window set of a benchmark within the bound; its size is counted before anything is collected."""
+    items = _items(benchmark)
+    size = items.agg(F.sum(F.size(words_column()) + 1).alias("n")).first().n or 0
+    return WindowSet.of([tuple(r) for r in items.collect()], window) if size <= max_words else None
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, max_benchmark_words: int = MAX_BENCHMARK_WORDS
 ) -> DataFrame:
@@ -163,19 +174,33 @@ def contamination(
     id count once.  Rows that repeat a document are judged alike.  An empty
     benchmark hits nothing.
     """
-    items = benchmark.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    size = items.agg(F.sum(F.size(words_column())).alias("n")).first().n or 0
-    if size <= max_benchmark_words:
-        scanned = _broadcast_scan(docs, WindowSet.of([tuple(r) for r in items.collect()], window))
-    else:
-        scanned = _join_scan(docs, items, window)
+    windows = _small_set(benchmark, window, max_benchmark_words)
+    scanned = _join_scan(docs, _items(benchmark), window) if windows is None else _broadcast_scan(docs, windows)
     return scanned.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, with all columns."""
-    judged = contamination(docs, benchmark, **options).withColumn("clean", ~F.col("contaminated"))
-    return keep_documents(docs, judged, "clean")
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, max_benchmark_words: int = MAX_BENCHMARK_WORDS
+) -> DataFrame:
+    """The documents that are not contaminated, with all columns.
+
+    With a benchmark within ``max_benchmark_words`` every row is judged in
+    place; else rows that share an id stay if one of them does.
+    """
+    windows = _small_set(benchmark, window, max_benchmark_words)
+    if windows is None:
+        judged = contamination(docs, benchmark, window, max_benchmark_words).withColumn("clean", ~F.col("contaminated"))
+        return keep_documents(docs, judged, "clean")
+    shipped = docs.sparkSession.sparkContext.broadcast(windows.data)
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        windows = WindowSet(*shipped.value)
+        for texts in batches:
+            hits = [(n, int(hit.sum())) for n, hit, _ in map(windows.scan, texts)]
+            yield pd.Series([not (h > 0 and h * SHARE >= n) for n, h in hits], dtype=bool)
+
+    return docs.filter(clean(plain_text()))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, max_benchmark_words: int = MAX_BENCHMARK_WORDS) -> DataFrame:
@@ -184,11 +209,10 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WOR
     A run goes from its first word's first character to its last word's last
     one.  A null text stays null.  For benchmarks within ``max_benchmark_words``.
     """
-    items = benchmark.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    size = items.agg(F.sum(F.size(words_column())).alias("n")).first().n or 0
-    if size > max_benchmark_words:
-        raise ValueError(f"benchmark of {size} words; spans are removed up to {max_benchmark_words}")
-    shipped = docs.sparkSession.sparkContext.broadcast(WindowSet.of([tuple(r) for r in items.collect()], window).data)
+    found = _small_set(benchmark, window, max_benchmark_words)
+    if found is None:
+        raise ValueError(f"spans are removed for benchmarks of up to {max_benchmark_words} words")
+    shipped = docs.sparkSession.sparkContext.broadcast(found.data)
 
     @F.pandas_udf("string")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

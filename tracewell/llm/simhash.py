@@ -226,7 +226,8 @@ def near_groups(
     prints = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
     linked = fingerprint_components(prints.select("fingerprint"), distance, heavy)
     placed = prints.join(linked, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
-    ids = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    # read back, so that the join can be split where one component holds a large part of all fingerprints
+    ids = stored(placed.groupBy("component").agg(F.min("first_id").alias("component_id")), "simhash-ids")
     named = placed.join(ids, "component").select("fingerprint", "component_id")
     return rows.join(named, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
