@@ -23,9 +23,35 @@ FIRST_DAY, HALF_DAYS = "1900-01-01", 270
 DATE_ISO, DATE_DOTS, DATE_SLASHES = r"[0-9]{4}-[0-9]{2}-[0-9]{2}", r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}", r"[0-9]{2}/[0-9]{2}/[0-9]{4}"
 IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 PHONE = r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
-CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
-#: Any of them, not inside a longer number or word; the first test spares most characters all others.
-VALUE = rf"(?=[0-9+])(?<![0-9A-Za-z+])(?:{'|'.join((PHONE, CARD, IPV4, DATE_ISO, DATE_DOTS, DATE_SLASHES))})(?![0-9A-Za-z])"
+_END = r"(?![0-9A-Za-z])"
+#: Values that start with a digit and are no card: a group of digits that starts one belongs to it.
+_OTHER = rf"(?:{'|'.join((DATE_ISO, DATE_DOTS, DATE_SLASHES, IPV4))}){_END}"
+#: Card groups by one kind of separator, besides four groups of four.
+_GROUPED = "|".join(
+    rf"[0-9]{{4}}{s}[0-9]{{6}}{s}[0-9]{{4,5}}|[0-9]{{4}}{s}[0-9]{{5}}{s}[0-9]{{6}}|[0-9]{{4}}{s}[0-9]{{4}}{s}(?:[0-9]{{5}}|[0-9]{{4}}{s}(?!{_OTHER})[0-9]{{1,3}})|[0-9]{{4}}(?:{s}[0-9]{{3}}){{3}}"
+    for s in " -"
+)
+FOUR = "|".join(rf"[0-9]{{4}}(?:{s}(?!{_OTHER})[0-9]{{4}}){{3}}" for s in " -")
+#: As many groups of four as there are, and a shorter last one: one card, several, or cards beside other numbers.
+FOURS = "|".join(
+    rf"[0-9]{{4}}(?:{s}(?!{_OTHER})[0-9]{{4}}){{3}}{_END}(?:{s}(?!(?:{_OTHER}|(?:{_GROUPED}){_END}))[0-9]{{4}}{_END})*(?:{s}(?!{_OTHER})[0-9]{{1,3}}{_END})?" for s in " -"
+)
+BARE = "[0-9]{13,19}"
+#: Any other grouping, where it stands alone and holds nothing that is a value by itself.
+LOOSE = rf"(?<![0-9][ -])(?!(?:[0-9]+[ -])*(?:{_OTHER}|{BARE}))(?!(?:[0-9]+[ -])+(?:{FOUR}|{_GROUPED}){_END})[0-9](?:[ -]?[0-9]){{12,18}}(?![ -]?[0-9])(?![./][0-9])"
+
+
+def _any(fours: str) -> str:
+    """Any value, not inside a longer number or word; the first test spares most characters all others."""
+    shapes = (PHONE, DATE_ISO, DATE_DOTS, DATE_SLASHES, IPV4, fours, _GROUPED, BARE, LOOSE)
+    return rf"(?=[0-9+])(?<![0-9A-Za-z+])(?:{'|'.join(shapes)}){_END}"
+
+
+#: How one value is written, and what is taken from a text: the same, but groups of four are not cut before their check digits are known.
+VALUE, SPAN = _any(FOUR), _any(FOURS)
+_MANY = r"^[0-9]{4}(?:[ -][0-9]{4}){3}[ -]"
+#: Steps of a walk; each one ends it with a chance of seven in ten or more.
+WALK = 64
 _DATES = ((DATE_ISO, "yyyy-MM-dd"), (DATE_DOTS, "dd.MM.yyyy"), (DATE_SLASHES, "MM/dd/yyyy"))
 
 
@@ -92,11 +118,66 @@ def _laid_out(value: Column, digits: Column) -> Column:
     )
 
 
+def _card_digits(digits: Column, key: str, restore: bool) -> Column:
+    """Another valid card number of the same length."""
+    body = _permuted_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, F.concat(F.lit("card"), F.length(digits).cast("string")), restore)
+    return F.concat(body, F.pmod(F.lit(10) - luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string"))
+
+
+def _is_card(digits: Column) -> Column:
+    return luhn_sum(digits) % 10 == 0
+
+
 def _card(value: Column, key: str, restore: bool) -> Column:
     digits = _digits(value)
-    body = _permuted_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, F.concat(F.lit("card"), F.length(digits).cast("string")), restore)
-    check = F.pmod(F.lit(10) - luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string")
-    return F.when(luhn_sum(digits) % 10 == 0, _laid_out(value, F.concat(body, check))).otherwise(value)
+    return F.when(_is_card(digits), _laid_out(value, _card_digits(digits, key, restore))).otherwise(value)
+
+
+def _walked(value: Column, before: Column, tail: Column, key: str, restore: bool) -> Column:
+    """``value`` permuted until no card starts earlier in the digits ``before`` it, as none did: the way back finds it at the same place."""
+    last = F.floor(F.length(before) / 4).cast("int") - F.when(tail, 0).otherwise(1)
+
+    def clashes(v: Column) -> Column:
+        starts = F.when(last < 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), last))
+        return F.exists(starts, lambda j: _is_card(F.substring(F.concat(before, v), j * 4 + 1, F.lit(16))))
+
+    def step(s: Column, _: Column) -> Column:
+        once = F.transform(F.array(_card_digits(s["v"], key, restore)), lambda v: F.struct(v.alias("v"), clashes(v).alias("on")))
+        return F.when(s["on"], once[0]).otherwise(s)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(value.alias("v"), F.lit(True).alias("on")), step, lambda s: s["v"])
+
+
+def _card_run(value: Column, key: str, restore: bool) -> Column:
+    """Struct (text, cards): five or more groups as ``FOURS`` finds them, with the cards in it from left to right replaced.
+
+    A card is four groups, or four and a shorter last group where those four are none.
+    """
+
+    def step(s: Column, g: Column) -> Column:
+        tail = F.length(g) < 4
+        need = F.when(tail, 16).otherwise(12)
+        held, rest = s["held"], F.length(s["held"]) - need
+        number = F.concat(F.substring(held, rest + 1, need), g)
+        front = F.substring(held, F.lit(1), rest)
+        before = F.substring(front, F.greatest(F.lit(1), rest - 11), F.lit(12))
+        both = F.concat(held, g)
+        over = F.greatest(F.lit(0), F.length(both) - 28)
+        found = F.struct(
+            F.concat(s["done"], front, _walked(number, before, tail, key, restore)).alias("done"), F.lit("").alias("held"), (s["cards"] + 1).alias("cards")
+        )
+        none = F.struct(
+            F.concat(s["done"], F.substring(both, F.lit(1), over)).alias("done"), F.substring(both, over + 1, F.length(both)).alias("held"), s["cards"].alias("cards")
+        )
+        return F.when((rest >= 0) & _is_card(number), found).otherwise(none)
+
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("held"), F.lit(0).alias("cards"))
+
+    def end(s: Column) -> Column:
+        groups = F.regexp_extract_all(F.concat(s["done"], s["held"]), F.lit("[0-9]{1,4}"), F.lit(0))
+        return F.struct(F.when(F.substring(value, 5, 1) == " ", F.array_join(groups, " ")).otherwise(F.array_join(groups, "-")).alias("text"), s["cards"].alias("cards"))
+
+    return F.aggregate(F.split(value, "[ -]"), start, step, end)
 
 
 def _phone(value: Column, key: str, restore: bool) -> Column:
@@ -123,7 +204,7 @@ def _date(value: Column, pattern: str, key: str, restore: bool) -> Column:
 
 
 def pseudonym(value: Column, key: str, restore: bool = False) -> Column:
-    """The pseudonym of one value as ``VALUE`` finds it, or the value itself where it is not valid."""
+    """The pseudonym of one value as ``VALUE`` finds it (no row of groups longer than a card), or the value itself where it is not valid."""
     out = F.when(value.rlike(f"^{PHONE}$"), _phone(value, key, restore)).when(value.rlike(f"^{IPV4}$"), _address(value, key, restore))
     for shape, pattern in _DATES:
         out = out.when(value.rlike(f"^{shape}$"), _date(value, pattern, key, restore))
@@ -134,17 +215,31 @@ def pseudonymised(docs: DataFrame, key: str, restore: bool = False) -> DataFrame
     """One row per document: doc_id, text with pseudonyms, n_found, n_changed.
 
     Needs ``doc_id`` and ``text``.  ``n_found`` counts values written like one
-    of the formats, ``n_changed`` those that got another value.  A null text
+    of the formats, ``n_changed`` those that got another value.  In a row of
+    groups of four digits the check digits tell which groups are a card: the
+    leftmost valid ones, and numbers beside them stay.  A null text
     stays null with counts of 0; rows that repeat a document are rewritten
     alike.  No row in, no row out.
     """
-    source = docs.select("doc_id", "text", F.regexp_extract_all(plain_text(), F.lit(VALUE), F.lit(0)).alias("found"))
-    moved = source.withColumn("moved", F.transform("found", lambda v: pseudonym(v, key, restore)))
+    source = docs.select("doc_id", "text", F.regexp_extract_all(plain_text(), F.lit(SPAN), F.lit(0)).alias("found"))
+
+    def one(v: Column) -> Column:
+        alone = F.transform(F.array(pseudonym(v, key, restore)), lambda p: F.struct(p.alias("text"), F.lit(1).alias("found"), (p != v).cast("int").alias("changed")))
+        run = F.transform(
+            F.array(_card_run(v, key, restore)),
+            lambda r: F.struct(
+                r["text"].alias("text"), F.greatest(r["cards"], F.floor(F.size(F.split(v, "[ -]")) / 4).cast("int")).alias("found"),
+                r["cards"].alias("changed"),
+            ),
+        )
+        return F.when(v.rlike(_MANY), run[0]).otherwise(alone[0])
+
+    moved = source.withColumn("moved", F.transform("found", one))
     pieces = F.zip_with(
-        F.split("text", VALUE, -1), "moved", lambda gap, value: F.concat(gap, F.coalesce(value, F.lit("")))
+        F.split("text", SPAN, -1), "moved", lambda gap, value: F.concat(gap, F.coalesce(value["text"], F.lit("")))
     )
+    total = lambda part: F.aggregate(F.transform("moved", lambda m: m[part].cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
     return moved.select(
         "doc_id", F.when(F.size("found") == 0, F.col("text")).otherwise(F.array_join(pieces, "")).alias("text"),
-        F.size("found").cast("long").alias("n_found"),
-        F.size(F.filter(F.zip_with("found", "moved", lambda a, b: a != b), lambda x: x)).cast("long").alias("n_changed"),
+        total("found").alias("n_found"), total("changed").alias("n_changed"),
     )
