@@ -15,12 +15,12 @@ def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest id stays."""
-    return exact_dedup.drop_exact_copies(docs)
+    """Of equal texts one row stays, of the smallest id."""
+    return exact_dedup.drop_exact_rows(docs)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked fingerprints the smallest id stays."""
+    """Of linked fingerprints one row stays, of the smallest id."""
     return simhash.drop_near_copies(docs)
 
 

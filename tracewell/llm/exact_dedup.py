@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import keep_documents, plain_text, stored
+from tracewell.llm.common import keep_documents, keep_rows, plain_text, stored
 
 BUCKET_CAPACITY = 16_384
 MAX_DEPTH = 12
@@ -113,3 +113,12 @@ def exact_groups(
 def drop_exact_copies(docs: DataFrame, **options) -> DataFrame:
     """The documents without the rows whose text an earlier id has; all columns stay."""
     return keep_documents(docs, exact_groups(docs, **options), "kept")
+
+
+def drop_exact_rows(docs: DataFrame, **options) -> DataFrame:
+    """One row for each text, with all columns: of the smallest id, without an id only where no row of the text has one.
+
+    Unlike in ``drop_exact_copies``, rows that share an id, or have none, are judged each by itself.
+    """
+    groups = exact_groups(docs, **options)
+    return keep_rows(docs, {"doc_id": F.col("doc_id"), "text_sha256": F.sha2(normalised(), 256)}, groups, "kept")

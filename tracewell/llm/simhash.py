@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import keep_documents, plain_text, stored
+from tracewell.llm.common import keep_rows, plain_text, stored
 from tracewell.plans.components import connected_components
 
 BITS = 64
@@ -65,15 +65,20 @@ def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def with_fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fingerprint long) of every row; a null text is empty."""
+def fingerprint_column(words: int = SHINGLE_WORDS) -> Column:
+    """The fingerprint (long) of ``text``; a null text is empty."""
 
     @F.pandas_udf("long")
     def compute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([fingerprint(t, words) for t in texts], dtype="int64")
 
-    return docs.select("doc_id", compute(plain_text()).alias("fingerprint"))
+    return compute(plain_text())
+
+
+def with_fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, fingerprint long) of every row; a null text is empty."""
+    return docs.select("doc_id", fingerprint_column(words).alias("fingerprint"))
 
 
 def segments(distance: int = MAX_DISTANCE, bits: int = BITS) -> list[tuple[int, int]]:
@@ -222,19 +227,33 @@ def near_groups(
     their own with one component each.  ``component_id`` is the smallest id
     reachable; null only where no reachable row has an id.  No row in, no row out.
     """
+    return _placed_rows(docs, words, distance, heavy).select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _placed_rows(docs: DataFrame, words: int, distance: int, heavy: int) -> DataFrame:
+    """One row per document: doc_id, fingerprint, component (its number), component_id."""
     rows = stored(with_fingerprints(docs, words), "simhash-rows")
     prints = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
     linked = fingerprint_components(prints.select("fingerprint"), distance, heavy)
     placed = prints.join(linked, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
     # read back, so that the join can be split where one component holds a large part of all fingerprints
     ids = stored(placed.groupBy("component").agg(F.min("first_id").alias("component_id")), "simhash-ids")
-    named = placed.join(ids, "component").select("fingerprint", "component_id")
-    return rows.join(named, "fingerprint").select(
-        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    named = placed.join(ids, "component").select("fingerprint", "component", "component_id")
+    return rows.join(named, "fingerprint").select("doc_id", "fingerprint", "component", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """The documents of which each group keeps the smallest id; all columns stay."""
-    groups = near_groups(docs, **options)
-    return keep_documents(docs, groups.withColumn("stays", F.col("doc_id").eqNullSafe(F.col("component_id"))), "stays")
+def drop_near_copies(
+    docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE, heavy: int = HEAVY
+) -> DataFrame:
+    """One row of each group with all columns: of the smallest id, and of its rows the smallest fingerprint.
+
+    Rows that share an id, or have none, are judged each by itself.
+    """
+    placed = stored(_placed_rows(docs, words, distance, heavy), "simhash-placed")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    stays = placed.filter(first).groupBy("component").agg(F.min("fingerprint").alias("first_print"))
+    judged = placed.filter(first).join(stays, "component").select("doc_id", "fingerprint", (F.col("fingerprint") == F.col("first_print")).alias("stays"))
+    rest = placed.filter(~first).select("doc_id", "fingerprint", F.lit(False).alias("stays"))
+    return keep_rows(docs, {"doc_id": F.col("doc_id"), "fingerprint": fingerprint_column(words)}, judged.unionByName(rest), "stays")
