@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import chat, decontaminate, exact_dedup, licenses, mixing, pii, quality, secret_scan, simhash, warc
+from tracewell.llm import (
+    chat, decontaminate, embedding_dedup, exact_dedup, licenses, mixing, pii, quality, secret_scan, simhash, warc, whitening,
+)
 from tracewell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,11 +93,32 @@ def op10_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """WITH RECURSIVE e AS (SELECT row_number() OVER () AS node, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+  u AS (SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, c -> c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(v, c -> c <> 0)) > 0),
+  l AS (SELECT x.node AS a, y.node AS b FROM u x JOIN u y ON x.label = y.label AND x.node <> y.node AND len(x.v) = len(y.v)
+    WHERE list_dot_product(x.v, y.v) / sqrt(list_dot_product(x.v, x.v) * list_dot_product(y.v, y.v)) >= 0.98),
+  r AS (SELECT node AS start, node AS reached FROM e UNION SELECT start, b FROM r JOIN l ON reached = a),
+  c AS (SELECT start, min(vec_id) AS component_id FROM r JOIN e ON reached = node GROUP BY start),
+  n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM e JOIN c ON start = node LEFT JOIN n ON a = node"""
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_chat_perspectives, op3_source_mixing, op4_warc_revisits, op5_pii_pseudonyms,
         op6_decontamination, op7_quality_ranking, op8_exact_dedup, op9_secret_entropy, op10_simhash_variants,
+        op12_embedding_whitening, op13_embedding_near_dedup,
     )
 }
 ORACLES: dict[str, str] = {
@@ -104,4 +127,5 @@ ORACLES: dict[str, str] = {
     "op4_warc_revisits": OP4_SQL,
     "op6_decontamination": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op13_embedding_near_dedup": OP13_SQL,
 }
