@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import (
-    chat, decontaminate, embedding_dedup, exact_dedup, licenses, mixing, pii, quality, secret_scan, simhash, warc, whitening,
+    chat, conversation_repair, decontaminate, embedding_dedup, exact_dedup, licenses, mixing, pii, quality, secret_scan, simhash, warc, whitening,
 )
 from tracewell.llm.common import table
 
@@ -93,6 +93,13 @@ def op10_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = conversation_repair.oracle()
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -102,8 +109,8 @@ def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP13_SQL = """WITH RECURSIVE e AS (SELECT row_number() OVER () AS node, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-  u AS (SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, c -> c IS NULL OR NOT isfinite(c))) = 0
-    AND len(list_filter(v, c -> c <> 0)) > 0),
+  u AS (SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(v, lambda c: c <> 0)) > 0),
   l AS (SELECT x.node AS a, y.node AS b FROM u x JOIN u y ON x.label = y.label AND x.node <> y.node AND len(x.v) = len(y.v)
     WHERE list_dot_product(x.v, y.v) / sqrt(list_dot_product(x.v, x.v) * list_dot_product(y.v, y.v)) >= 0.98),
   r AS (SELECT node AS start, node AS reached FROM e UNION SELECT start, b FROM r JOIN l ON reached = a),
@@ -118,7 +125,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_license_scan, op2_chat_perspectives, op3_source_mixing, op4_warc_revisits, op5_pii_pseudonyms,
         op6_decontamination, op7_quality_ranking, op8_exact_dedup, op9_secret_entropy, op10_simhash_variants,
-        op12_embedding_whitening, op13_embedding_near_dedup,
+        op11_conversation_repair, op12_embedding_whitening, op13_embedding_near_dedup,
     )
 }
 ORACLES: dict[str, str] = {
@@ -127,5 +134,6 @@ ORACLES: dict[str, str] = {
     "op4_warc_revisits": OP4_SQL,
     "op6_decontamination": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op11_conversation_repair": OP11_SQL,
     "op13_embedding_near_dedup": OP13_SQL,
 }
