@@ -1,11 +1,21 @@
 """Exact set-similarity clusters and pairs.
 
 Grams are 64-bit hashes.  Equal sets are collapsed to one class first, so a mass of copies costs one
-comparison.  Classes are compared by prefix filtering: two sets with Jaccard
->= t share a gram among the rarest ``n - ceil(t n) + 1`` of each.  Clusters do
-not need all pairs: every class is first compared with one leader per prefix
-gram and size band; only classes still in different components after that are
-compared with each other.
+comparison.
+
+From ``PARTS_FROM`` on classes meet through parts of their sets.  Two sets with Jaccard >= t differ in
+at most D = (1 - t) / (1 + t) (|x| + |y|) grams.  With the grams dealt into more than D parts by their hash,
+some part is equal, so its hash is a key both have.  Unrelated sets differ in so many grams that parts are seldom
+equal, whatever the grams' frequencies: rare grams that all texts of one language share do not bring them together.
+Sizes are handled by bands: D and the number of parts follow from the band, and a class has keys of its own band and of
+the next.  Keys carry a parity sketch of the whole set, a lower bound of the difference, so hardly any but similar
+sets are looked at more closely.
+
+Below ``PARTS_FROM`` parts would be too small to tell sets apart; there classes are compared by prefix
+filtering: two sets with Jaccard >= t share a gram among the rarest ``n - ceil(t n) + 1`` of each.
+
+Clusters do not need all pairs: every class is first compared with one leader per key; only classes
+still in different components after that are compared with each other.
 """
 
 from __future__ import annotations
@@ -23,13 +33,18 @@ Verify = Callable[[Column, Column], Column]
 _EPS = 1e-9
 #: Words of the bitmap carried with every prefix row.
 WORDS = 16
+#: Thresholds from here on are joined by parts.
+PARTS_FROM = 0.85
+#: Words of the parity sketch carried with every part key.
+SKETCH = 4
+_ROW = ("cls", "n", "own", "sketch")
 
 
 def with_class(sets: DataFrame, group: Sequence[str], arrays: Sequence[str]) -> DataFrame:
-    """Add ``class_key``: equal for rows of one group with equal sets."""
-    parts = [F.col(g).cast("string") for g in group]
-    parts += [F.array_join(F.array_sort(a), "\x1f") for a in arrays]
-    return sets.withColumn("class_key", F.sha2(F.concat_ws("\x1e", *parts), 256))
+    """Add ``class_key``, 128 bits: equal for rows of one group with equal sets (arrays of hashed grams)."""
+    parts = [*[F.col(g) for g in group], *[F.array_sort(a) for a in arrays]]
+    halves = [F.hex(F.xxhash64(F.lit(seed), *parts)) for seed in (1, 2)]
+    return sets.withColumn("class_key", F.concat_ws("-", *halves))
 
 
 def _sketch() -> list[Column]:
@@ -90,12 +105,99 @@ def _verify(pairs: DataFrame, classes: DataFrame, threshold: float, extra: Verif
     return out.select("a", "b", "j")
 
 
+def _parity() -> Column:
+    """Sketch of a set: bit i is the parity of the number of grams that hash to i; SKETCH words."""
+
+    def word(w: int) -> Column:
+        def toggled(state: Column, gram: Column) -> Column:
+            place = F.pmod(F.xxhash64(gram), F.lit(64 * SKETCH))
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+            return F.when(F.floor(place / 64) == w, state.bitwiseXOR(bit)).otherwise(state)
+
+        return F.aggregate("grams", F.lit(0).cast("long"), toggled)
+
+    return F.struct(*[word(w).alias(f"w{w}") for w in range(SKETCH)])
+
+
+def part_keys(classes: DataFrame, group: Sequence[str], threshold: float) -> DataFrame:
+    """(group, key, cls, n, own, sketch): keys of all parts of every class; ``own`` tells those of its own size band."""
+    step = math.log(1 / threshold) * (1 + 1e-9)  # sizes that may match are at most one band apart
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step))
+    places = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own"))))
+    rows = classes.select(*group, "cls", "n", "grams", _parity().alias("sketch")).select("*", places.alias("at"))
+    largest = F.floor(F.exp((F.col("at.band") + 1) * F.lit(step)))
+    parts = (F.floor(2 * largest * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6)) + 1).cast("long")
+
+    def key(part: Column) -> Column:
+        held = F.filter("grams", lambda g: F.pmod(g, F.col("parts")) == part)
+        return F.xxhash64("at.band", part, F.aggregate(held, F.lit(0).cast("long"), lambda a, g: a.bitwiseXOR(g)))
+
+    keys = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), key)
+    return rows.withColumn("parts", parts).select(*group, F.explode(keys).alias("key"), "cls", "n", "at.own", "sketch")
+
+
+def _comparable(threshold: float) -> Column:
+    """Rows x and y of one key that are not better compared in another band, with sizes and sketches that may match."""
+    nx, ny = F.col("x.n"), F.col("y.n")
+    need = F.ceil((nx + ny) * F.lit(threshold / (1 + threshold)) - F.lit(_EPS))
+    apart = F.lit(0)
+    for w in range(SKETCH):
+        apart = apart + F.bit_count(F.col(f"x.sketch.w{w}").bitwiseXOR(F.col(f"y.sketch.w{w}")))
+    sizes = F.least(nx, ny) >= F.greatest(nx, ny) * F.lit(threshold) - F.lit(_EPS)
+    return (F.col("x.own") | F.col("y.own")) & sizes & (apart <= nx + ny - 2 * need)
+
+
+def _ordered_pairs(joined: DataFrame) -> DataFrame:
+    return joined.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+
+
+def shared_keys(classes: DataFrame, group: Sequence[str], threshold: float) -> DataFrame:
+    """Part keys that several classes have, each with ``lead``, one of these classes."""
+    group = list(group)
+    keys = materialize(part_keys(classes, group, threshold))
+    held = keys.groupBy(*group, "key").agg(F.min(F.struct(*_ROW)).alias("lead"), F.count(F.lit(1)).alias("held"))
+    return materialize(keys.join(held.filter("held > 1").drop("held"), [*group, "key"]))
+
+
+def part_candidates(classes: DataFrame, threshold: float, group: Sequence[str] = ()) -> DataFrame:
+    """(a, b), a < b: all classes that share a key and may match."""
+    met = shared_keys(classes, group, threshold).drop("lead")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in [*group, "key"]]
+    return _ordered_pairs(met.alias("x").join(met.alias("y"), [*same, F.col("x.cls") < F.col("y.cls"), _comparable(threshold)]))
+
+
+def _part_clusters(classes: DataFrame, threshold: float, group: Sequence[str], extra: Verify | None) -> DataFrame:
+    group = list(group)
+    met = shared_keys(classes, group, threshold)
+    follows = F.col("cls") != F.col("lead.cls")
+    led = met.filter(follows).select(F.struct(*_ROW).alias("x"), F.col("lead").alias("y")).filter(_comparable(threshold))
+    first = materialize(_verify(_ordered_pairs(led), classes, threshold, extra).select("a", "b"))
+    labels = connected_components(first)
+    named = materialize(
+        met.filter(follows)  # the leader has met all others
+        .join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left")
+        .select(*group, "key", *_ROW, F.coalesce("component", "cls").alias("component"))
+    )
+    mixed = named.groupBy(*group, "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    apart = materialize(named.join(mixed.drop("lo", "hi"), [*group, "key"]))
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in [*group, "key"]]
+    crossing = _ordered_pairs(
+        apart.alias("x").join(apart.alias("y"), [*same, F.col("x.component") < F.col("y.component"), _comparable(threshold)])
+    )
+    second = materialize(_verify(crossing, classes, threshold, extra).select("a", "b"))
+    if second.isEmpty():
+        return labels.withColumnRenamed("node", "cls")
+    return connected_components(first.unionByName(second)).withColumnRenamed("node", "cls")
+
+
 def class_pairs(classes: DataFrame, threshold: float, group: Sequence[str] = (), extra: Verify | None = None) -> DataFrame:
     """All pairs (a < b, j) of distinct classes at or above the threshold.
 
     ``classes`` has group columns, cls, grams (distinct, not empty) and n.
     """
     group = list(group)
+    if threshold >= PARTS_FROM:
+        return _verify(part_candidates(classes, threshold, group), classes, threshold, extra)
     prefix = _prefix_rows(classes, group, threshold)
     candidates = (
         prefix.alias("x")
@@ -115,6 +217,8 @@ def class_clusters(
 ) -> DataFrame:
     """(cls, component) for classes that have a partner; others are absent."""
     group = list(group)
+    if threshold >= PARTS_FROM:
+        return _part_clusters(classes, threshold, group, extra)
     prefix = materialize(_prefix_rows(classes, group, threshold))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1 / threshold))).alias("band")
     banded = prefix.select(*prefix.columns, band)
