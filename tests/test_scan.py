@@ -3,7 +3,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tracewell.plans.scan import Running, floor_quantile, running_scan, seq_block, value_runs, with_adaptive_block
+from tracewell.plans.scan import Running, floor_quantile, position_scan, running_scan, seq_block, value_runs, with_adaptive_block
 
 
 def _rows(spark, n=400, keys=5, seed=1):
@@ -75,6 +75,30 @@ def test_adaptive_blocks_cut_only_hot_keys(spark):
     assert out.filter(F.col("nth") != F.col("seq") + 1).count() == 0
 
 
+def test_a_burst_of_a_hot_key_is_cut_by_its_quantiles(spark):
+    rows = [("hot", 10**9 if i == 0 else i, i) for i in range(600)] + [("cold", i, i) for i in range(50)]  # equal widths would leave one piece
+    df = spark.createDataFrame(rows, "k string, at long, id int")
+    blocked = with_adaptive_block(df, ["k"], F.col("at"), hot_rows=100)
+    sizes = [r["count"] for r in blocked.filter("k = 'hot'").groupBy("__pos_block").count().collect()]
+    assert len(sizes) >= 6 and max(sizes) <= 130
+    for hot_rows in (100, 10**6):
+        out = position_scan(df, ["k"], ["at"], F.col("at"), {"nth": Running("sum", F.lit(1))}, hot_rows)
+        assert out.columns == ["k", "at", "id", "nth"]
+        want = {("hot", i): i for i in range(1, 600)} | {("hot", 0): 600} | {("cold", i): i + 1 for i in range(50)}
+        assert {(r.k, r.id): r.nth for r in out.collect()} == want
+
+
+def test_scans_of_scans_read_their_input_once(spark, tmp_path):
+    _rows(spark).write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    for size in (7, 100_000):
+        out = df
+        for n in range(4):
+            out = running_scan(out, ["k"], ["seq"], seq_block("seq", size), {f"s{n}": Running("sum", F.col(f"s{n - 1}" if n else "v"))})
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 1
+        assert out.count() == df.count()
+
+
 def test_floor_quantile(spark):
     for n in (1, 7, 10, 20):
         hist = spark.createDataFrame([(i, 1) for i in range(n)], "v long, n long")

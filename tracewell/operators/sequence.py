@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import text
 from tracewell.operators import steps as ST
-from tracewell.plans.scan import Running, floor_quantile, running_scan, seq_block, value_runs
+from tracewell.plans.ordinal import ranged_blocks
+from tracewell.plans.scan import Running, floor_quantile, in_one_block, running_scan, seq_block, value_runs
 from tracewell.session import materialize
 
 STREAK_MIN = 5
@@ -21,10 +22,10 @@ CHAIN_LEN = 8
 # --- turns ------------------------------------------------------------------
 
 
-def split_turns(messages: DataFrame) -> DataFrame:
+def split_turns(messages: DataFrame, whole: bool | None = None) -> DataFrame:
     """Add turn_no: a turn starts at each user message but the first."""
     users = F.when(F.col("role") == "user", 1).otherwise(0)
-    scanned = running_scan(messages, ["sid"], ["seq"], seq_block(), {"__users": Running("sum", users)})
+    scanned = running_scan(messages, ["sid"], ["seq"], seq_block(), {"__users": Running("sum", users)}, whole)
     return scanned.withColumn("turn_no", F.greatest(F.lit(1), F.col("__users")).cast("int")).drop("__users")
 
 
@@ -148,8 +149,9 @@ def tool_loops(steps: DataFrame, minimum: int = CYCLE_MIN) -> DataFrame:
     stretches before it.
     """
     calls = steps.filter(ST.is_call()).select("sid", "seq", "tool")
+    whole = in_one_block(calls, seq_block())
     kept = running_scan(
-        calls, ["sid"], ["seq"], seq_block(), {"before": Running("prev", F.struct(F.col("tool").alias("t")))}
+        calls, ["sid"], ["seq"], seq_block(), {"before": Running("prev", F.struct(F.col("tool").alias("t")))}, whole
     ).filter(F.col("before").isNull() | (F.col("before.t") != F.col("tool")))
     kept = kept.select("sid", "seq", "tool", F.col("before.t").alias("prev_tool"))
     # the tool two places back is the prev_tool of the row before
@@ -159,6 +161,7 @@ def tool_loops(steps: DataFrame, minimum: int = CYCLE_MIN) -> DataFrame:
         ["seq"],
         seq_block(),
         {"row_before": Running("prev", F.struct("seq", "tool", "prev_tool"))},
+        whole,
     )
     breaks = ~F.coalesce(F.col("row_before.prev_tool") == F.col("tool"), F.lit(False))
     # an element pair (row before, row) starts a stretch when the alternation breaks
@@ -170,8 +173,9 @@ def tool_loops(steps: DataFrame, minimum: int = CYCLE_MIN) -> DataFrame:
         "tool",
         F.when(breaks, 1).otherwise(0).alias("starts"),
     )
-    pairs = materialize(pairs)
-    stretched = running_scan(pairs, ["sid"], ["seq"], seq_block(), {"stretch": Running("sum", F.col("starts"))})
+    if not whole:
+        pairs = materialize(pairs)
+    stretched = running_scan(pairs, ["sid"], ["seq"], seq_block(), {"stretch": Running("sum", F.col("starts"))}, whole)
     stretches = stretched.groupBy("sid", "stretch").agg(
         (F.count(F.lit(1)) + 1).alias("length"),
         F.min(F.struct("left_seq", "left_tool", "seq", "tool")).alias("first"),
@@ -182,6 +186,7 @@ def tool_loops(steps: DataFrame, minimum: int = CYCLE_MIN) -> DataFrame:
         ["stretch"],
         seq_block("stretch"),
         {"evens": Running("sum", F.when(F.col("length") % 2 == 0, 1).otherwise(0))},
+        whole or None,  # a session has at most as many stretches as rows
     )
     before = F.col("evens") - F.when(F.col("length") % 2 == 0, 1).otherwise(0)
     offset = before % 2
@@ -333,10 +338,9 @@ def turn_asof(events: DataFrame, messages: DataFrame) -> DataFrame:
     marks = events.filter(F.coalesce("ts", F.lit("")) != "").select(
         "sid", "ts", F.lit(1).alias("kind"), F.col("seq").alias("pos"), F.lit(None).cast("int").alias("turn"), "seq"
     )
-    hour = F.coalesce(F.expr("try_cast(replace(replace(substr(ts, 1, 13), '-', ''), ' ', '') as bigint)"), F.lit(0))
-    scanned = running_scan(
-        turns.unionByName(marks), ["sid"], ["ts", "kind", "pos"], hour, {"at_turn": Running("max", F.col("turn"))}
-    )
+    order = ["ts", "kind", "pos"]
+    placed = ranged_blocks(turns.unionByName(marks), [F.col(c) for c in ("sid", *order)])
+    scanned = running_scan(placed, ["sid"], order, F.col("range_block"), {"at_turn": Running("max", F.col("turn"))})
     hits = scanned.filter(F.col("kind") == 1).select("sid", "seq", F.col("at_turn").alias("turn"))
     return events.select("sid", "seq", "ts").join(hits, ["sid", "seq"], "left")
 
@@ -485,7 +489,8 @@ def context_pack(messages: DataFrame, sessions: DataFrame, total_budget: int = 2
     """
     n = sessions.agg(F.count(F.lit(1)).alias("__n"))
     per = n.select(F.greatest(F.lit(200), F.floor(F.lit(total_budget) / F.greatest(F.lit(1), F.col("__n")))).alias("__per"))
-    turns = split_turns(messages.select("sid", "seq", "role", "raw"))
+    whole = in_one_block(messages, seq_block())
+    turns = split_turns(messages.select("sid", "seq", "role", "raw"), whole)
     line = F.concat(F.lit("["), F.col("role"), F.lit("] "), text.strip(text.normalize_newlines("raw")))
     # only turns that start within the budget can be kept, so a turn's text is gathered under that bound
     with_len = running_scan(
@@ -494,13 +499,14 @@ def context_pack(messages: DataFrame, sessions: DataFrame, total_budget: int = 2
         ["seq"],
         seq_block(),
         {"__chars": Running("sum", F.length("line"))},
+        whole,
     ).join(F.broadcast(per))
     costs = with_len.groupBy("sid", "turn_no").agg(
         _lines_tokens("line").alias("cost"), F.min(F.col("__chars") - F.length("line")).alias("__start"), F.max("__per").alias("__per")
     )
     header_cost = _pack_header_cost(sessions, turn_counts(messages))
     costed = costs.join(header_cost, "sid")
-    scanned = running_scan(costed, ["sid"], ["turn_no"], seq_block("turn_no"), {"__upto": Running("sum", F.col("cost"))})
+    scanned = running_scan(costed, ["sid"], ["turn_no"], seq_block("turn_no"), {"__upto": Running("sum", F.col("cost"))}, whole or None)
     upto = F.col("__upto") + F.col("head_cost")
     room = F.col("__per") - (upto - F.col("cost"))
     fit = F.when(upto <= F.col("__per"), "whole").when((room > 40) & (upto - F.col("cost") <= F.col("__per")), "cut")
@@ -592,12 +598,13 @@ def session_pack(sessions: DataFrame, messages: DataFrame, steps: DataFrame) ->
 def monthly_anchor_packs(rows: DataFrame, k: int, budget: int) -> DataFrame:
     """k evenly spaced rows per month, marked kept while their running cost fits the budget.
 
-    ``rows`` has sid, seq, ts and cost.  Months are cut into hour blocks for
+    ``rows`` has sid, seq, ts and cost.  Months are cut into ranges of rows for
     the even pick; at most k rows per month reach the budget scan.
     """
     dated = rows.withColumn("month", text.month_key("ts")).filter(F.col("month").isNotNull())
-    hour = F.expr("cast(replace(replace(substr(ts, 1, 13), '-', ''), ' ', '') as bigint)")
-    picked = even_pick(dated, ["month"], ["ts", "sid", "seq"], hour, k).withColumn("__all", F.lit(0))
+    order = ["ts", "sid", "seq"]
+    ranged = ranged_blocks(dated, [F.col(c) for c in ("month", *order)])
+    picked = even_pick(ranged, ["month"], order, F.col("range_block"), k).drop("range_block").withColumn("__all", F.lit(0))
     month_no = F.expr("cast(replace(month, '-', '') as bigint)")
     scanned = running_scan(
         picked, ["__all"], ["month", "ts", "sid", "seq"], month_no, {"__upto": Running("sum", F.col("cost"))}

@@ -16,6 +16,14 @@ from tracewell.session import materialize
 _PLACE_BITS = 33  #: monotonically_increasing_id() holds the place in the partition in its lower bits
 
 
+def ranged_blocks(df: DataFrame, order: list[Column], name: str = "range_block") -> DataFrame:
+    """Add a block number that rises with ``order``: rows are dealt into ranges of about equal size by sampled bounds.
+
+    With a key first in ``order`` a hot key falls into many blocks, also where most of its rows are close together.
+    """
+    return materialize(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id().cast("long")))
+
+
 def with_ordinal(df: DataFrame, order: list[Column], name: str = "ordinal") -> DataFrame:
     """Add a dense 0-based number over ``order``.
 

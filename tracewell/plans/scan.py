@@ -4,7 +4,13 @@ A plain ``Window.partitionBy(key)`` sends a whole key to one task.  Here each
 key is cut into blocks along its order: rows are scanned inside a block, block
 totals (pre-aggregated map side) are scanned across blocks, and the carry of
 the earlier blocks is joined back.  All kinds used are associative, so the
-result equals the plain window.  A key that fits one block has no carry row.
+result equals the plain window.
+
+Where all rows lie in one block there is no carry and a plain window is the same; windows over one key and
+order share one shuffle and one sort then, however many scans follow each other.  Whether that is so is
+asked once (``in_one_block``, two numbers to the driver) and handed on by scans of scans.  Otherwise the input of
+a blocked scan, which is read twice, is written to the checkpoint folder first, so nested scans
+compute what lies before them once.
 """
 
 from __future__ import annotations
@@ -15,13 +21,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.session import materialize
+
 #: Rows of one dense sequence that share a block.
 BLOCK_ROWS = 262_144
 #: A key is cut by position only beyond this many rows, so that at most
 #: total_rows / HOT_KEY_ROWS keys are listed (about 250k keys per 10^12 rows).
 HOT_KEY_ROWS = 4_000_000
+#: Pieces a hot key is cut into at most.
+CUTS = 1024
 
-_BLOCK = "__block"
+_BLOCK, _CUT = "__block", "__cut"
 
 
 @dataclass(frozen=True)
@@ -38,6 +48,12 @@ def seq_block(seq: str | Column = "seq", rows: int | None = None) -> Column:
     return F.floor(col / F.lit(rows or BLOCK_ROWS)).cast("long")
 
 
+def in_one_block(df: DataFrame, block: Column) -> bool:
+    """Whether all rows have one block number (true without rows)."""
+    ends = df.agg(F.min(block).alias("lo"), F.max(block).alias("hi")).first()
+    return ends.lo == ends.hi
+
+
 def with_adaptive_block(
     df: DataFrame,
     keys: Sequence[str],
@@ -45,25 +61,26 @@ def with_adaptive_block(
     name: str = "__pos_block",
     hot_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
-    """Add a block column that is 0 for ordinary keys and cuts hot keys by position.
+    """Add a block column that is 0 for ordinary keys and cuts hot keys at quantiles of the position; none without hot keys.
 
-    The list of hot keys holds at most ``rows / hot_rows`` entries, which is
-    the bound that makes the broadcast safe.
+    Cuts are approximate quantiles of the key's own rows, so a burst of rows in a short span is cut as
+    well as an even flow; only rows of equal position stay together.  The list of hot keys holds at most
+    ``rows / hot_rows`` entries of up to ``CUTS`` numbers; it is joined, not broadcast by force.
     """
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows)
+    if n.isEmpty():
+        return df
+    quantiles = [i / CUTS for i in range(1, CUTS)]
     hot = (
-        df.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("__n"),
-            F.min(position).alias("__lo"),
-            F.max(position).alias("__hi"),
-        )
-        .filter(F.col("__n") > hot_rows)
+        df.join(n, list(keys), "left_semi")
+        .groupBy(*keys)
+        .agg(F.percentile_approx(position, quantiles).alias("__cuts"), F.count(F.lit(1)).alias("__n"))
     )
-    joined = df.join(F.broadcast(hot), list(keys), "left")
-    blocks = F.ceil(F.col("__n") / F.lit(hot_rows))
-    width = F.col("__hi") - F.col("__lo") + 1
-    block = F.floor((position - F.col("__lo")) / width * blocks)
-    return joined.withColumn(name, F.coalesce(block, F.lit(0)).cast("long")).drop("__n", "__lo", "__hi")
+    wanted = F.least(F.ceil(F.col("__n") / F.lit(hot_rows)), F.lit(CUTS))  # of all cuts every so many-th
+    thinned = F.filter("__cuts", lambda c, i: F.floor((i + 1) * wanted / CUTS) > F.floor(i * wanted / CUTS))
+    joined = df.join(hot.select(*keys, F.array_distinct(thinned).alias("__cuts")), list(keys), "left")
+    block = F.size(F.filter("__cuts", lambda c: c < position))
+    return joined.withColumn(name, F.when(F.col("__cuts").isNull(), 0).otherwise(block).cast("long")).drop("__cuts")
 
 
 def running_scan(
@@ -72,15 +89,19 @@ def running_scan(
     order: Sequence[str],
     block: Column,
     outputs: dict[str, Running],
+    whole: bool | None = None,
 ) -> DataFrame:
     """Add running outputs over ``order`` inside ``keys``.
 
     ``block`` must be monotone in ``order``; keys and order must not be null.
     sum/max/min/last (last non-null) include the current row; ``prev`` is the
-    value of the row before (nulls kept when the value is a struct).
+    value of the row before (nulls kept when the value is a struct).  ``whole``
+    says whether all rows lie in one block, where the caller knows.
     """
     keys = list(keys)
-    source = df.withColumn(_BLOCK, block)
+    if in_one_block(df, block) if whole is None else whole:
+        return df.select(*[F.col(c) for c in df.columns], *[_plain(out, keys, order).alias(name) for name, out in outputs.items()])
+    source = materialize(df.withColumn(_BLOCK, block))
     local_window = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
     inclusive = local_window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     position = F.struct(*order)
@@ -129,6 +150,30 @@ def running_scan(
     return merged_df.select(*[F.col(c) for c in df.columns], *result_cols)
 
 
+def position_scan(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], position: Column, outputs: dict[str, Running], hot_rows: int = HOT_KEY_ROWS
+) -> DataFrame:
+    """``running_scan`` where the order is a stamp: hot keys, if there are any, are cut at quantiles of the position."""
+    blocked = with_adaptive_block(df, keys, position, _CUT, hot_rows)
+    if _CUT not in blocked.columns:
+        return running_scan(df, keys, order, F.lit(0), outputs, whole=True)
+    return running_scan(blocked, keys, order, F.col(_CUT), outputs, whole=False).drop(_CUT)
+
+
+def _plain(out: Running, keys: Sequence[str], order: Sequence[str]) -> Column:
+    window = Window.partitionBy(*keys).orderBy(*order)
+    inclusive = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if out.kind == "sum":
+        return F.coalesce(F.sum(out.value).over(inclusive), F.lit(0))
+    if out.kind == "last":
+        return F.last(out.value, ignorenulls=True).over(inclusive)
+    if out.kind == "prev":
+        return F.lag(out.value).over(window)
+    if out.kind in ("max", "min"):
+        return getattr(F, out.kind)(out.value).over(inclusive)
+    raise ValueError(f"unknown scan kind: {out.kind}")
+
+
 def value_runs(
     df: DataFrame,
     keys: Sequence[str],

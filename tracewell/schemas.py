@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.functions import text
-from tracewell.plans.scan import Running, running_scan, with_adaptive_block
+from tracewell.plans.scan import Running, position_scan
 
 
 def _strings(*names: str) -> list[T.StructField]:
@@ -78,10 +78,7 @@ def steps_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
     position = F.unix_micros(F.col("ts").cast("timestamp"))
-    blocked = with_adaptive_block(events, ["user_id"], position)
-    numbered = running_scan(
-        blocked, ["user_id"], ["ts", "event_id"], F.col("__pos_block"), {"nth": Running("sum", F.lit(1))}
-    )
+    numbered = position_scan(events, ["user_id"], ["ts", "event_id"], position, {"nth": Running("sum", F.lit(1))})
     is_call = F.col("event_type").isin("click", "view", "signup")
     is_skill = F.col("k") % 5 == 0
     code = (

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.functions import text
-from tracewell.plans.scan import Running, running_scan, seq_block
+from tracewell.plans.scan import Running, in_one_block, running_scan, seq_block
+from tracewell.session import materialize
 
 MESSAGE_COLS = ("session_id", "seq", "role", "ts", "text", "raw")
 
@@ -29,10 +30,10 @@ def _clean(col: Column) -> Column:
     return text.normalize_newlines(col)
 
 
-def number_messages(rows: DataFrame, *order: str) -> DataFrame:
+def number_messages(rows: DataFrame, *order: str, whole: bool | None = None) -> DataFrame:
     """Keep non-blank texts and number them per session by the order columns."""
     kept = rows.filter(text.strip(F.coalesce("text", F.lit(""))) != "")
-    dense = running_scan(kept, ["session_id"], list(order), seq_block(order[0]), {"nth": Running("sum", F.lit(1))})
+    dense = running_scan(kept, ["session_id"], list(order), seq_block(order[0]), {"nth": Running("sum", F.lit(1))}, whole)
     return dense.withColumn("seq", (F.col("nth") - 1).cast("int")).select(*MESSAGE_COLS)
 
 
@@ -560,7 +561,8 @@ def parse_run_entries(entries: DataFrame) -> DataFrame:
     )
     spoken = rows.filter(~(F.col("entry_type").isin("request", "answer", "assistant", "reasoning") & (F.col("body") == "")))
     order, block = ["entry_seq"], seq_block("entry_seq")
-    runs = running_scan(spoken, ["session_id"], order, block, {"b": Running("prev", F.struct("run_id"))})
+    whole = in_one_block(entries, block)
+    runs = running_scan(spoken, ["session_id"], order, block, {"b": Running("prev", F.struct("run_id"))}, whole)
     changed = F.when(F.col("b").isNotNull() & F.col("b.run_id").eqNullSafe(F.col("run_id")), 0).otherwise(1)
     numbered = running_scan(
         runs.withColumn("changed", changed).drop("b"),
@@ -571,19 +573,23 @@ def parse_run_entries(entries: DataFrame) -> DataFrame:
             "run_no": Running("sum", F.col("changed")),
             "answers": Running("sum", F.when(F.col("entry_type") == "answer", 1).otherwise(0)),
         },
+        whole,
     )
+    numbered = materialize(numbered)  # read for the repeated requests and for all rows
     requests = running_scan(
         numbered.filter(F.col("entry_type") == "request").select("session_id", "entry_seq", "key", "answers"),
         ["session_id"],
         order,
         block,
         {"b": Running("prev", F.struct("key", "answers"))},
+        whole,
     )
     repeated = requests.filter((F.col("b.key") == F.col("key")) & (F.col("b.answers") == F.col("answers"))).select("session_id", "entry_seq")
     kept = numbered.join(repeated, ["session_id", "entry_seq"], "left_anti")
     blocks = running_scan(
-        kept, ["session_id"], order, block, {"turn": Running("sum", F.when(F.col("entry_type") == "request", 1).otherwise(0))}
+        kept, ["session_id"], order, block, {"turn": Running("sum", F.when(F.col("entry_type") == "request", 1).otherwise(0))}, whole
     )
+    blocks = materialize(blocks)  # read for last answers, for variants and for all rows
     last_answer = (
         blocks.filter(F.col("entry_type") == "answer")
         .groupBy("session_id", "turn", "key")
@@ -624,6 +630,7 @@ def parse_run_entries(entries: DataFrame) -> DataFrame:
             "session_id", "entry_seq", role.alias("role"), text.to_local_ts("committed_at").alias("ts"), shown.alias("text"), F.col("payload").alias("raw")
         ),
         "entry_seq",
+        whole=whole,
     )
 
 

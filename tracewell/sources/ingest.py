@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import text
+from tracewell.plans.ordinal import with_ordinal
 from tracewell.plans.scan import Running, running_scan, seq_block
 
 def _js(col: str | Column, path: str) -> Column:
@@ -94,7 +95,7 @@ def outline(sessions: DataFrame, messages: DataFrame, sources: Sequence[str] | N
     """Listing with ordinal, title, dates, message_count and preview.
 
     Sources are listed in the given order (else by name), newest first inside
-    a source.  Ordinals come from per-month counts, not one global window.
+    a source.  Ordinals come from ranges of rows and their sizes, not from a global window.
     """
     counts = messages.groupBy("sid").agg(
         F.count_if(F.col("role").isin("user", "assistant")).alias("message_count"),
@@ -114,16 +115,10 @@ def outline(sessions: DataFrame, messages: DataFrame, sources: Sequence[str] | N
         F.coalesce("message_count", F.lit(0).cast("long")).alias("message_count"),
         text.head(text.fold(F.coalesce("first_user", "title", F.lit(""))), 80).alias("preview"),
         stamp.alias("stamp"),
-        F.substring(stamp, 1, 10).alias("day"),
     )
-    days = listed.groupBy("rank", "source", "day").agg(F.count(F.lit(1)).alias("n"))
-    # one row per source and day: a small table
-    ahead = Window.orderBy("rank", "source", F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = days.select("rank", "source", "day", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("rank", "source", "day").orderBy(F.desc("stamp"), "sid")
-    joined = listed.join(offsets, ["rank", "source", "day"])
-    return joined.select(
-        (F.col("before") + F.row_number().over(inside)).alias("no"), "source", "sid", "title", "created_at", "updated_at", "message_count", "preview"
+    numbered = with_ordinal(listed, [F.col("rank"), F.col("source"), F.desc("stamp"), F.col("sid")])
+    return numbered.select(
+        (F.col("ordinal") + 1).alias("no"), "source", "sid", "title", "created_at", "updated_at", "message_count", "preview"
     )
 
 

@@ -121,17 +121,12 @@ def alias_merge(spark, d):
 
 def _spelled_steps(spark, d):
     """Steps where part of the calls use another spelling of the tool name."""
-    from tracewell.plans.scan import Running, running_scan, with_adaptive_block
+    from tracewell.plans.scan import Running, position_scan
 
     events = schemas.read_table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    blocked = with_adaptive_block(
-        events.select("event_id", "user_id", "ts", "event_type", "k"),
-        ["user_id"],
-        F.unix_micros(F.col("ts").cast("timestamp")),
-    )
-    numbered = running_scan(
-        blocked, ["user_id"], ["ts", "event_id"], F.col("__pos_block"), {"nth": Running("sum", F.lit(1))}
-    )
+    rows = events.select("event_id", "user_id", "ts", "event_type", "k")
+    position = F.unix_micros(F.col("ts").cast("timestamp"))
+    numbered = position_scan(rows, ["user_id"], ["ts", "event_id"], position, {"nth": Running("sum", F.lit(1))})
     tool = (
         F.when(F.col("k") % 5 == 0, F.lit("Skill"))
         .when(F.col("k") % 7 == 0, F.concat(F.lit("Tool"), F.col("k") % 5))
