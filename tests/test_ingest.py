@@ -8,6 +8,7 @@ from tracewell.session import materialize
 from tracewell.sources import formats as FM
 from tracewell.sources import ingest as I
 from tracewell.sources import sinks as B
+from tracewell.sources.buckets import BucketedTables
 from tracewell.streaming import ingest as S
 
 
@@ -96,6 +97,67 @@ def test_stream_keeps_the_latest_version(spark, tmp_path):
         assert _rows(tables[name].drop(*drop)) == _rows(whole[name].drop(*drop))
 
 
+def _files(root):
+    return {str(p.relative_to(root)): p.stat().st_mtime_ns for p in root.rglob("*.parquet")}
+
+
+def test_compaction_equals_a_rebuild_and_leaves_other_buckets_alone(spark, tmp_path):
+    inbox, root = tmp_path / "in", tmp_path / "store"
+
+    def run():
+        S.start_ingestion(spark, str(inbox), str(root), str(tmp_path / "cp")).awaitTermination(120)
+
+    def rebuilt():
+        records = FM.archive_records(FM.read_archive(spark, str(inbox)), str(inbox))
+        return {name: _rows(t.drop("file")) for name, t in zip(S.TABLES, I.build_tables(S.latest_per_sid(records)))}
+
+    def current():
+        return {name: _rows(t.drop("file")) for name, t in S.current_tables(spark, str(root)).items()}
+
+    for i in range(12):
+        _write(inbox, f"s{i}", _session(f"s{i}", "2024-01-05 00:00:00", [f"one {i}", f"two {i}"]))
+    run()
+    assert current() == rebuilt()
+    assert S.compact(spark, str(root), buckets=8) == 0
+    assert current() == rebuilt()
+    before = _files(root / "tables")
+    _write(inbox, "again", _session("s3", "2024-01-09 00:00:00", ["changed"]))
+    _write(inbox, "late", _session("s4", "2024-01-01 00:00:00", ["late and old"]))
+    _write(inbox, "new", _session("s99", "2024-01-01 00:00:00", ["new"]))
+    run()
+    assert current() == rebuilt()
+    assert S.compact(spark, str(root)) == 1 and S.compact(spark, str(root)) is None
+    assert current() == rebuilt()
+    store = S._stored(spark, str(root))
+    assert store.buckets == 8 and store.commits() == [0, 1]
+    after = _files(root / "tables")
+    assert {k: v for k, v in after.items() if k in before} == before  # nothing that was there has been rewritten
+    moved = {r.bucket for r in store.manifest() if r.table == "sessions" and r.held_by == 1}
+    assert 1 <= len(moved) <= 2
+    assert all(int(k.split("bucket=")[1].split("/")[0]) in moved for k in set(after) - set(before))
+    assert {r.updated_at for r in store.read(0)["sessions"].filter("sid = 'src:s3'").collect()} == {"2024-01-05 00:00:00"}
+    assert store.expire() and store.commits() == [1]
+    assert current() == rebuilt()
+    with pytest.raises(ValueError):
+        store.expire(0)
+
+
+def test_bucketed_replace_deletes_and_survives_a_failed_commit(spark, tmp_path):
+    tables = BucketedTables(spark, str(tmp_path / "t"), {"rows": "sid string, n int"}, buckets=4)
+    frame = lambda rows: {"rows": spark.createDataFrame(rows, "n int, sid string")}
+    sids = lambda *names: spark.createDataFrame([(n,) for n in names], "sid string")
+    assert tables.read()["rows"].count() == 0 and tables.merged() == -1
+    assert tables.replace(frame([(i, f"s{i % 5}") for i in range(20)]), sids(*[f"s{i}" for i in range(5)]), merged=7) == 0
+    assert tables.merged() == 7
+    tables.replace(frame([(100, "s1")]), sids("s1", "s2", "absent"), merged=8)
+    assert sorted((r.sid, r.n) for r in tables.read()["rows"].collect()) == sorted([(f"s{i % 5}", i) for i in range(20) if i % 5 not in (1, 2)] + [("s1", 100)])
+    (tmp_path / "t" / "rows" / "commit=2" / "bucket=0").mkdir(parents=True)  # a commit that wrote rows and no manifest
+    again = BucketedTables(spark, str(tmp_path / "t"), {"rows": "sid string, n int"})
+    assert again.buckets == 4 and again.read()["rows"].count() == 13
+    assert again.replace(frame([]), sids(*[f"s{i}" for i in range(5)])) == 2
+    assert again.read()["rows"].count() == 0
+
+
 def test_tree_prefers_the_latest_subtree_and_larger_numbers(spark):
     def node(children, at):
         return {"children": children, "message": {"inserted_at": at, "fragments": [{"type": "RESPONSE", "content": at}]}}

@@ -173,7 +173,7 @@ def _triage(spark, d, deep=True):
         D.titled(spark, d),
         schemas.messages_from_conversations(spark, d),
         D.topics(spark, d),
-        D.topic_members(spark, d).filter(F.col("topic_id") < "t-f"),
+        D.topic_members(spark, d, turns=4),  # the registry: sessions of four turns and more are assigned
         D.noise(spark, d),
         lookup_words=_LOOKUP,
         integrate_words=_INTEGRATE,
@@ -195,7 +195,7 @@ tri AS (SELECT t.sid, source, left(title, 44) AS title, left(first_user, 200) AS
    WHEN topic_id IS NOT NULL THEN 'topic_hint' WHEN {_any(_INTEGRATE)} THEN 'substantive' WHEN {_any(_CRAFT)} THEN 'craft_material'
    WHEN {_any(_LOOKUP)} AND user_turns=1 THEN 'noise_high' WHEN {_any(_LOOKUP)} THEN 'noise_maybe' ELSE 'substantive' END AS verdict
   FROM titled t LEFT JOIN hh ON hh.sid=t.sid AND rn=1
-  WHERE t.sid NOT IN (SELECT sid FROM tmembers WHERE topic_id<'t-f') AND t.sid NOT IN (SELECT sid FROM noise))"""
+  WHERE t.sid NOT IN (SELECT sid FROM titled WHERE user_turns>=4) AND t.sid NOT IN (SELECT sid FROM noise))"""
 
 
 @query(

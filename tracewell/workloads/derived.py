@@ -37,8 +37,8 @@ def titled(spark, d):
     return sessions.join(intro, "sid").withColumn("letter", F.lower(text.head("title", 1)))
 
 
-def topic_members(spark, d):
-    return titled(spark, d).filter(F.col("user_turns") >= 3).select(
+def topic_members(spark, d, turns=3):
+    return titled(spark, d).filter(F.col("user_turns") >= turns).select(
         F.concat(F.lit("t-"), "letter").alias("topic_id"),
         "sid",
         text.head("title", 20).alias("evidence"),

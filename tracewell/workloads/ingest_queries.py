@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tracewell import schemas, store
 from tracewell.functions import text
 from tracewell.operators import reports as R
 from tracewell.operators import steps as O
+from tracewell.session import ensure_checkpoint_dir
 from tracewell.sources import formats as FM
 from tracewell.sources import ingest as I
 from tracewell.sources import sinks as B
+from tracewell.sources.buckets import BucketedTables
 from tracewell.workloads import derived as D
 from tracewell.workloads.base import CONV_SESSIONS, MESSAGES, SESSIONS, STEPS, query
 
@@ -223,13 +227,14 @@ def artifact_edits(spark, d):
 
 @query(
     "A25_artifact_coverage",
-    """SELECT count(DISTINCT conv_id) AS sessions, count(DISTINCT conv_id) FILTER (WHERE turn>=6) AS with_artifacts,
-round(count(DISTINCT conv_id) FILTER (WHERE turn>=6)*100.0/count(DISTINCT conv_id), 1) AS pct FROM conversations""",
+    """WITH s AS (SELECT DISTINCT concat('d', conv_id) AS sid, true AS edits FROM conversations UNION ALL SELECT concat('page', page_id), false FROM pages)
+SELECT count(*) AS sessions, count(*) FILTER (WHERE edits) AS with_artifacts, round(count(*) FILTER (WHERE edits)*100.0/count(*), 1) AS pct FROM s""",
 )
 def artifact_coverage(spark, d):
-    edits = I.artifact_edits(_event_lines(spark, d)).filter(F.col("file_path") >= "f6")
-    sessions = _conv(spark, d).select(F.concat(F.lit("d"), "conv_id").alias("sid")).distinct()
-    return I.artifact_coverage(sessions, edits)
+    """Conversations have edits, visits of pages have none."""
+    pages = schemas.read_table(spark, d, "pages").select(F.concat(F.lit("page"), "page_id").alias("sid"))
+    sessions = _conv(spark, d).select(F.concat(F.lit("d"), "conv_id").alias("sid")).distinct().unionByName(pages)
+    return I.artifact_coverage(sessions, I.artifact_edits(_event_lines(spark, d)))
 
 
 @query(
@@ -512,6 +517,23 @@ def upserted_steps(spark, d):
     return I.upsert(steps, changed, parsed, sessions.filter(F.col("source") == "src2").select("sid"))
 
 
+@query(
+    "A20_bucketed_upsert",
+    f"""WITH {STEPS}, {SESSIONS}, src AS (SELECT s.*, source FROM steps s JOIN sessions USING (sid))
+SELECT sid, seq, tool, CASE WHEN source='src1' THEN 'fresh' ELSE status END AS status FROM src WHERE source<>'src2'""",
+)
+def bucketed_upsert(spark, d):
+    """All sessions are stored in buckets, then those of one source replaced and those of another deleted."""
+    steps = store.steps(spark, d).select("sid", "seq", "tool", "status")
+    sessions = schemas.sessions_from_events(spark, d)
+    tables = BucketedTables(spark, _scratch(spark, "bucketed"), {"steps": "sid string, seq int, tool string, status string"})
+    tables.replace({"steps": steps}, sessions)
+    parsed = sessions.filter(F.col("source") == "src1")
+    changed = steps.join(parsed.select("sid"), "sid", "left_semi").withColumn("status", F.lit("fresh"))
+    tables.replace({"steps": changed}, parsed.select("sid").unionByName(sessions.filter(F.col("source") == "src2").select("sid")))
+    return tables.read()["steps"]
+
+
 @query(
     "A21_suppression_counts",
     f"""WITH {STEPS}, {SESSIONS} SELECT sid, CAST(1 AS BIGINT) AS sessions, (SELECT count(*) FROM steps WHERE steps.sid=s.sid) AS steps FROM sessions s WHERE model IS NULL""",
@@ -550,6 +572,11 @@ def snapshot_fingerprint(spark, d):
     return I.snapshot_fingerprint(schemas.sessions_from_events(spark, d), store.steps(spark, d), False)
 
 
+def _scratch(spark, name):
+    """A new folder that the driver and all executors share."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 # --- exports -------------------------------------------------------------------------------
 
 
@@ -609,11 +636,7 @@ def analysis_rows(spark, d):
 SELECT gram, count(*) AS freq, count(DISTINCT (conv_id, turn)) AS doc_freq FROM g WHERE length(gram)>=2 GROUP BY gram ORDER BY doc_freq DESC, freq DESC, gram LIMIT 50""",
 )
 def newest_keywords(spark, d):
-    import uuid
-
-    from tracewell.session import ensure_checkpoint_dir
-
-    runs = B.KeywordRuns(spark, f"{ensure_checkpoint_dir(spark)}/keywords-{uuid.uuid4().hex}")
+    runs = B.KeywordRuns(spark, _scratch(spark, "keywords"))
     messages = schemas.messages_from_conversations(spark, d)
     runs.append(R.keyword_stats(R.text_scope(messages, "assistant"), (2,)))
     runs.append(R.keyword_stats(R.text_scope(messages, "user"), (2, 3)))
@@ -635,3 +658,31 @@ def latest_records(spark, d):
         "text",
     )
     return latest_per_sid(records).select("sid", "updated_at", "text")
+
+
+@query(
+    "S1_stream_messages",
+    """WITH c AS (SELECT conv_id, turn, role, text, bool_or(role = 'system') OVER (PARTITION BY conv_id) AS again FROM conversations)
+SELECT concat('live:', conv_id) AS sid, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS seq, role,
+  CASE WHEN again THEN concat('again ', text) ELSE text END AS raw FROM c""",
+)
+def stream_messages(spark, d):
+    """Conversations arrive as archive files; those with a system turn are exported anew after the first have been merged."""
+    from tracewell.streaming import ingest as live
+
+    place = _scratch(spark, "stream")
+    turns = _conv(spark, d).select("conv_id", "turn", "role", "text")
+
+    def arrive(rows, wave, stamp, body):
+        said = F.struct("turn", "role", body.alias("text"))
+        records = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(said)).alias("messages"))
+        files = records.select(F.lit("live").alias("source"), F.col("conv_id").cast("string").alias("session_id"), F.lit(stamp).alias("updated_at"), "messages")
+        files.write.option("maxRecordsPerFile", 1).json(f"{place}/inbox/{wave}")  # an archive holds a file a session
+        live.start_ingestion(spark, f"{place}/inbox", f"{place}/store", f"{place}/progress", max_files=100_000).awaitTermination()
+
+    arrive(turns, "first", "2024-01-01", F.col("text"))
+    live.compact(spark, f"{place}/store")
+    again = turns.join(turns.filter("role = 'system'").select("conv_id").distinct(), "conv_id", "left_semi")
+    arrive(again, "second", "2024-01-02", F.concat(F.lit("again "), "text"))
+    live.compact(spark, f"{place}/store")
+    return live.current_tables(spark, f"{place}/store")["messages"].select("sid", "seq", "role", "raw")
