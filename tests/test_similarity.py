@@ -107,7 +107,32 @@ def test_seed_clusters_equal_the_sequential_greedy(spark):
         if len(rows) >= 2:
             want |= rows
     df = spark.createDataFrame([(a, b, s) for (a, b), s in sims.items()], "a string, b string, sim double")
-    assert {(r.seed, r.sid, r.sim) for r in J.seed_clusters(df).collect()} == want
+    for limit in (J.COMPONENT_EDGES, 3, 0):  # components in tasks of their own, some of them, none
+        assert {(r.seed, r.sid, r.sim) for r in J.seed_clusters(df, component_edges=limit).collect()} == want
+
+
+def test_candidate_pairs_equal_all_pairs(spark):
+    rng = random.Random(3)
+    sets = []
+    for i in range(140):
+        pick = lambda n, names: rng.sample(names, rng.randrange(n + 1))
+        base = f"{rng.randrange(8)}"
+        title = [f"{base}{c}" for c in rng.sample("abcdefgh", rng.randrange(3, 8))] if rng.random() < 0.85 else []
+        first = pick(9, [f"{base}{c}" for c in "efghijklmnop"]) if rng.random() < 0.8 else []
+        sets.append((f"s{i:03d}", title, first, pick(3, ["t1", "t2", "t3"]) if rng.random() < 0.5 else []))
+    w = {"title": 0.5, "first": 0.3, "tools": 0.2}
+    want = {}
+    for i, x in enumerate(sets):
+        for y in sets[i + 1 :]:
+            if not (set(x[1]) | set(x[2])) & (set(y[1]) | set(y[2])):
+                continue
+            present = [(n, set(a), set(b)) for n, a, b in zip(w, x[1:], y[1:]) if a and b]
+            base = sum(w[n] for n, _, _ in present)
+            sim = sum(w[n] * _jac(a, b) for n, a, b in present) / base if base else 0.0
+            if sim >= 0.35:
+                want[x[0], y[0]] = round(sim, 9)
+    df = spark.createDataFrame(sets, "sid string, title_grams array<string>, first_grams array<string>, tools array<string>")
+    assert {(r.a, r.b): round(r.sim, 9) for r in J.candidate_pairs(df).collect()} == want and len(want) > 50
 
 
 def test_user_text_across_messages(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,9 @@ SIZE_RATIO = 0.70
 #: Feature weights and similarity limit of topic candidates.
 WEIGHTS = {"title": 0.5, "first": 0.3, "tools": 0.2}
 MIN_SIM = 0.35
+_FEATURES = {"title": "title_grams", "first": "first_grams", "tools": "tools"}
+#: Pairs of a component whose greedy one task does.
+COMPONENT_EDGES = 200_000
 
 
 def session_grams(messages: DataFrame, limit: int | None = None, name: str = "grams") -> DataFrame:
@@ -205,18 +209,33 @@ def candidate_features(
     )
 
 
-def _rarest(features: DataFrame, column: str, min_sim: float) -> DataFrame:
-    """(sid, gram) of the grams through which a pair can reach the similarity.
+def _feature_keys(features: DataFrame, column: str, with_tools: float, without: float) -> DataFrame:
+    """(sid, feature, gram, sizes) of the grams through which a session's pairs can reach the similarity by this feature.
 
-    Without tools the similarity is a mean of the title's and the opening's, so
-    one of the two reaches ``min_sim``: sets that do share one of the rarest
-    ``n - ceil(min_sim n) + 1`` grams of each.  With tools, all grams count.
+    Sets of Jaccard >= t share one of the rarest ``n - ceil(t n) + 1`` grams of each; sessions with tools
+    need a lower t, as the tools may add their whole weight.
     """
-    rows = features.select("sid", (F.size("tools") > 0).alias("all"), F.size(column).alias("n"), F.explode(column).alias("gram"))
-    counted = rows.join(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("held")), "gram")
+    rows = features.select("sid", "sizes", F.size(column).alias("n"), F.explode(column).alias("gram"))
+    counted = rows.join(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "gram")
     rank = F.row_number().over(Window.partitionBy("sid").orderBy("held", "gram"))
-    keep = F.col("n") - F.ceil(F.col("n") * F.lit(min_sim) - F.lit(1e-9)) + 1
-    return counted.withColumn("rank", rank).filter(F.col("all") | (F.col("rank") <= keep)).select("sid", "gram")
+    least = F.when(F.col("sizes.tools") > 0, F.lit(with_tools)).otherwise(F.lit(without))
+    keep = F.col("n") - F.greatest(F.ceil(F.col("n") * least - F.lit(1e-9)), F.lit(1)) + 1
+    # grams that no other session has are the rarest of all and key nothing
+    shared = counted.groupBy("sid").agg(F.count(F.lit(1)).alias("shared"))
+    ranked = counted.join(shared, "sid").withColumn("rank", rank + F.col("n") - F.col("shared"))
+    return ranked.filter(F.col("rank") <= keep).select("sid", F.lit(column).alias("feature"), "gram", "sizes")
+
+
+def _may_reach(weights: dict[str, float], min_sim: float) -> Column:
+    """Whether the sizes of rows x and y allow the similarity: a Jaccard is at most the ratio of the sizes."""
+    top, base = F.lit(0.0), F.lit(0.0)
+    for name in _FEATURES:
+        a, b = F.col(f"x.sizes.{name}"), F.col(f"y.sizes.{name}")
+        both = (a > 0) & (b > 0)
+        w = F.lit(float(weights[name]))
+        top = top + F.when(both, w * F.least(a, b) / F.greatest(a, b)).otherwise(0.0)
+        base = base + F.when(both, w).otherwise(0.0)
+    return (base > 0) & (top >= base * min_sim - F.lit(1e-9))
 
 
 def candidate_pairs(
@@ -226,35 +245,44 @@ def candidate_pairs(
 
     ``max_posting`` leaves out grams that more sessions hold; there is no limit
     by default.  Features missing on either side drop out of the weights.
+
+    Sessions that have both title and opening meet through rare grams of one of the two: what the other features can
+    add at most tells how similar these must be, and sizes alone rule many pairs out before they are built.
+    Where a session lacks one of the two, tools may carry a pair that shares a single gram; such sessions, and only
+    they, meet others through all their grams.
     """
     weights = {**WEIGHTS, **(weights or {})}
     features = materialize(
-        features.select("sid", *[F.transform(c, lambda g: F.xxhash64(g)).alias(c) for c in ("title_grams", "first_grams", "tools")])
+        features.select("sid", *[F.transform(c, lambda g: F.xxhash64(g)).alias(c) for c in _FEATURES.values()]).withColumn(
+            "sizes", F.struct(*[F.size(c).alias(n) for n, c in _FEATURES.items()]))
     )
+    reach = _may_reach(weights, min_sim)
     if max_posting is None:
-        title, first = (_rarest(features, c, min_sim) for c in ("title_grams", "first_grams"))
-        mixed = features.filter(F.size("tools") > 0).limit(1).count() > 0  # then grams also meet across features
-        useful = materialize(title.unionByName(first).distinct()) if mixed else None
-        sides = [useful] if mixed else [materialize(title), materialize(first)]
+        body = weights["title"] + weights["first"]
+        with_tools = max((min_sim * (body + weights["tools"]) - weights["tools"]) / body, 0.0)
+        full = features.filter((F.col("sizes.title") > 0) & (F.col("sizes.first") > 0))
+        keys = [_feature_keys(full, c, min(with_tools, min_sim), min_sim) for c in ("title_grams", "first_grams")]
+        rows = materialize(keys[0].unionByName(keys[1]))
+        meet = (F.col("x.feature") == F.col("y.feature")) & (F.col("x.gram") == F.col("y.gram"))
+        pairs = _met(rows, rows, meet & (F.col("x.sid") < F.col("y.sid")) & reach)
+        lacking = features.filter((F.col("sizes.title") == 0) | (F.col("sizes.first") == 0))
+        if not lacking.isEmpty():
+            every = lambda df: df.select("sid", "sizes", F.explode(F.array_union("title_grams", "first_grams")).alias("gram"))
+            few, many = every(lacking), every(full)
+            same = F.col("x.gram") == F.col("y.gram")
+            pairs = pairs.unionByName(_met(few, few, same & (F.col("x.sid") < F.col("y.sid")) & reach))
+            pairs = pairs.unionByName(_met(few, many, same & reach)).distinct()
     else:
-        rows = features.select("sid", F.explode(F.array_union("title_grams", "first_grams")).alias("gram"))
+        rows = features.select("sid", "sizes", F.explode(F.array_union("title_grams", "first_grams")).alias("gram"))
         common = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= 2) & (F.col("n") <= max_posting))
-        sides = [rows.join(common.select("gram"), "gram", "left_semi")]
-    pairs = None
-    for side in sides:
-        met = (
-            side.alias("x")
-            .join(side.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.sid") < F.col("y.sid")))
-            .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
-            .distinct()
-        )
-        pairs = met if pairs is None else pairs.unionByName(met).distinct()
-    payload = F.struct("title_grams", "first_grams", "tools")
+        side = rows.join(common.select("gram"), "gram", "left_semi")
+        pairs = _met(side, side, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.sid") < F.col("y.sid")) & reach)
+    payload = F.struct(*_FEATURES.values())
     joined = pairs.join(features.select(F.col("sid").alias("a"), payload.alias("fa")), "a").join(
         features.select(F.col("sid").alias("b"), payload.alias("fb")), "b"
     )
     top, base = F.lit(0.0), F.lit(0.0)
-    for name, column in (("title", "title_grams"), ("first", "first_grams"), ("tools", "tools")):
+    for name, column in _FEATURES.items():
         a, b = F.col(f"fa.{column}"), F.col(f"fb.{column}")
         present = (F.size(a) > 0) & (F.size(b) > 0)
         both = F.size(F.array_intersect(a, b))
@@ -265,9 +293,51 @@ def candidate_pairs(
     return joined.select("a", "b", sim.alias("sim")).filter(F.col("sim") >= min_sim)
 
 
-def seed_clusters(pairs: DataFrame, min_size: int = 2) -> DataFrame:
+def _met(x: DataFrame, y: DataFrame, condition: Column) -> DataFrame:
+    """(a, b), a < b, of rows that meet the condition, once."""
+    joined = x.alias("x").join(y.alias("y"), condition)
+    return joined.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
+
+
+def _greedy(edges: pd.DataFrame) -> pd.DataFrame:
+    """Seeds of one component visited one by one: degree descending, then sid; each takes its neighbours that are left."""
+    near: dict[str, list[tuple[str, float]]] = {}
+    for a, b, sim in zip(edges["a"], edges["b"], edges["sim"]):
+        near.setdefault(a, []).append((b, sim))
+        near.setdefault(b, []).append((a, sim))
+    rows, taken = [], set()
+    for seed in sorted(near, key=lambda s: (-len(near[s]), s)):
+        if seed not in taken:
+            taken.add(seed)
+            rows.append((seed, seed, 1.0))
+            rows += [(seed, other, sim) for other, sim in near[seed] if other not in taken]
+            taken.update(other for other, _ in near[seed])
+    return pd.DataFrame(rows, columns=["seed", "sid", "sim"])
+
+
+def seed_clusters(pairs: DataFrame, min_size: int = 2, component_edges: int = COMPONENT_EDGES) -> DataFrame:
     """Greedy seed clusters: (seed, sid, sim), seeds by degree descending, then sid.
 
+    The greedy of one component does not depend on others, so each runs in a task of its own.  Components of more
+    than ``component_edges`` pairs are worked off in rounds over the cluster instead; both ways give the same.
+    """
+    pairs = materialize(pairs.select("a", "b", "sim"))
+    components = connected_components(pairs).select(F.col("node").alias("a"), "component")
+    placed = materialize(pairs.join(components, "a"))
+    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("edges"))
+    large = materialize(sizes.filter(F.col("edges") > component_edges).select("component"))
+    small = placed.join(large, "component", "left_anti")
+    rows = small.groupBy("component").applyInPandas(_greedy, "seed string, sid string, sim double")
+    if not large.isEmpty():
+        rows = rows.unionByName(_seeds_in_rounds(placed.join(large, "component", "left_semi").drop("component")))
+    rows = rows.withColumn("sim", F.round("sim", 3))
+    counted = rows.groupBy("seed").agg(F.count(F.lit(1)).alias("size"))
+    return rows.join(counted.filter(F.col("size") >= min_size), "seed")
+
+
+def _seeds_in_rounds(pairs: DataFrame) -> DataFrame:
+    """(seed, sid, sim) of large components.
+
     A session is a seed when no earlier seed is its neighbour, so seeds are
     found in rounds: every undecided session that precedes all its undecided
     neighbours becomes a seed and its neighbours are taken.  This is the same
@@ -314,12 +384,10 @@ def seed_clusters(pairs: DataFrame, min_size: int = 2) -> DataFrame:
         .join(seeds.select(F.col("node").alias("u")), "u", "left_anti")
         .groupBy(F.col("u").alias("sid"))
         .agg(F.min(F.struct("rv", "v", "sim")).alias("best"))
-        .select(F.col("best.v").alias("seed"), "sid", F.round("best.sim", 3).alias("sim"))
+        .select(F.col("best.v").alias("seed"), "sid", F.col("best.sim").alias("sim"))
     )
     own = seeds.select(F.col("node").alias("seed"), F.col("node").alias("sid"), F.lit(1.0).alias("sim"))
-    rows = own.unionByName(followers)
-    sizes = rows.groupBy("seed").agg(F.count(F.lit(1)).alias("size"))
-    return rows.join(sizes.filter(F.col("size") >= min_size), "seed")
+    return own.unionByName(followers)
 
 
 def cluster_keywords(clusters: DataFrame, features: DataFrame, stopwords: Sequence[str] = (), k: int = 5) -> DataFrame:

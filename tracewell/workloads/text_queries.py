@@ -447,13 +447,30 @@ def candidate_pairs(spark, d):
     return J.candidate_pairs(_features(spark, d)).withColumn("sim", F.round("sim", 6))
 
 
-@query("J5_topic_candidates")
+# The greedy one session after the other: a session is a seed if no seed before it is its neighbour.
+_SEEDS = f"""{_CAND},
+e AS (SELECT a AS u, b AS v, sim FROM sims WHERE sim>=0.35 UNION ALL SELECT b, a, sim FROM sims WHERE sim>=0.35),
+dg AS (SELECT u, row_number() OVER (ORDER BY count(*) DESC, u) AS rk, list(v) AS near FROM e GROUP BY u),
+walk AS (SELECT CAST(0 AS BIGINT) AS rk, CAST([] AS VARCHAR[]) AS seeds
+  UNION ALL SELECT d.rk, CASE WHEN list_has_any(near, seeds) THEN seeds ELSE list_append(seeds, u) END FROM walk w JOIN dg d ON d.rk=w.rk+1),
+sd AS (SELECT unnest(seeds) AS seed FROM (SELECT seeds FROM walk ORDER BY rk DESC LIMIT 1)),
+fr AS (SELECT e.u AS sid, e.v AS seed, e.sim, row_number() OVER (PARTITION BY e.u ORDER BY k.rk) AS nth FROM e JOIN sd ON e.v=sd.seed JOIN dg k ON k.u=e.v
+  WHERE e.u NOT IN (SELECT seed FROM sd)),
+cl AS (SELECT seed, seed AS sid, CAST(1 AS DOUBLE) AS sim FROM sd UNION ALL SELECT seed, sid, sim FROM fr WHERE nth=1),
+cs AS (SELECT *, count(*) OVER (PARTITION BY seed) AS size FROM cl)"""
+
+
+@query("J5_topic_candidates", f"WITH RECURSIVE {_SEEDS} SELECT seed, sid, round(sim, 3) AS sim, size FROM cs WHERE size>=2")
 def topic_candidates(spark, d):
     clusters = J.seed_clusters(J.candidate_pairs(_features(spark, d)))
     return clusters.select("seed", "sid", "sim", "size")
 
 
-@query("J5_cluster_keywords")
+@query(
+    "J5_cluster_keywords",
+    f"""WITH RECURSIVE {_SEEDS}, kw AS (SELECT seed, gram, count(*) AS n FROM cs JOIN al USING (sid) WHERE size>=2 AND regexp_matches(gram, '^[\u4e00-\u9fffA-Za-z]{{2,}}$') GROUP BY ALL),
+rn AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY n DESC, gram) AS nth FROM kw) SELECT seed, gram, n, CAST(nth AS INTEGER) AS rank FROM rn WHERE nth<=5""",
+)
 def cluster_keywords(spark, d):
     features = _features(spark, d)
     return J.cluster_keywords(J.seed_clusters(J.candidate_pairs(features)), features)
