@@ -60,6 +60,31 @@ def test_both_ways_equal_brute_force(spark, bound):
     assert D.contamination(frame, bench.limit(0)).filter("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("bound", [D.MAX_BENCHMARK_WORDS, 0])
+def test_rows_are_judged_by_their_own_text(spark, bound):
+    passage = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    rows = [(1, "clean", "a"), (1, passage, "b"), (None, f"x {passage}", "c"), (None, "y", "d"), (2, None, "e"), (2, f"{passage}, z", "f"), (2, f"{passage}, z", "g")]
+    docs = spark.createDataFrame([(i, t, n, "w", 7) for i, t, n in rows], "doc_id long, text string, row string, text_key string, n_words int")
+    bench = spark.createDataFrame([(1, passage), (2, None)], "item_id long, text string")
+    stays = D.drop_contaminated(docs, bench, max_benchmark_words=bound)
+    assert stays.columns == docs.columns and sorted(r.row for r in stays.collect()) == ["a", "d", "e"]
+    cut = D.remove_spans(docs, bench, max_benchmark_words=bound)
+    assert cut.columns == docs.columns
+    assert {r.row: r.text for r in cut.collect()} == {"a": "clean", "b": "", "c": "x ", "d": "y", "e": None, "f": ", z", "g": ", z"}
+    assert D.drop_contaminated(docs.limit(0), bench, max_benchmark_words=bound).count() == 0
+
+
+@pytest.mark.parametrize("bound", [D.MAX_BENCHMARK_WORDS, 0])
+def test_removal_is_the_same_for_every_benchmark_size(spark, bound):
+    docs, items = data()
+    frame = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in docs], DOCS)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    windows = D.WindowSet.of([(i, t) for i, t in items if i is not None and t is not None])
+    want = [(i, None if t is None else D.without_hits(t, windows)) for i, t in docs]
+    got = D.remove_spans(frame, bench, max_benchmark_words=bound)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_removal(spark):
     passage = "one two three four five six seven eight nine ten eleven twelve thirteen"
     docs = spark.createDataFrame(

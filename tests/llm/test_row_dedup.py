@@ -34,3 +34,15 @@ def test_near_stage_keeps_one_row_of_each_component(spark):
     got = kept(spark, "near_dedup", rows)
     assert [(i, t.lower()) for i, t, _ in got] == [(i, t) for i, t, _ in sorted(
         [(1, long, "s"), (1, rows[4][1], "s"), (None, rows[6][1], "s"), (None, rows[8][1], "s")], key=str)]
+
+
+def test_stages_leave_columns_of_any_name_alone(spark):
+    long = "one two three four five six seven eight nine ten"
+    schema = "doc_id long, text string, key_doc_id string, mark_doc_id string, row string, key_text_sha256 int, tags map<string, int>, `a.b` int"
+    rows = [(i, t, f"k{n}", f"m{n}", f"r{n}", n, {"n": n}, n) for n, (i, t) in enumerate([(1, long), (1, long), (2, long), (3, "other words"), (None, "x y")])]
+    docs = spark.createDataFrame(rows, schema)
+    for stage in ("exact_dedup", "near_dedup"):
+        out = STAGES[stage](spark, docs, "")
+        got = [tuple(r) for r in out.collect()]
+        assert out.columns == docs.columns and all(r in rows for r in got)
+        assert sorted(str(r[0]) for r in got) == ["1", "3", "None"]

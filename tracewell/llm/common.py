@@ -45,32 +45,21 @@ def hash_sample(df: DataFrame, key: str, count: int) -> DataFrame:
     return thin.orderBy(F.pmod(place, F.lit(1 << 40)), key).limit(count)
 
 
-def keep_documents(docs: DataFrame, decisions: DataFrame, kept: str) -> DataFrame:
-    """The rows of ``docs`` whose id has a true ``kept`` in ``decisions`` (doc_id, kept), with all columns.
-
-    Rows that share an id, null included, are one document: they stay if one of them does.
-    """
-    dropped = (
-        decisions.groupBy(F.col("doc_id").alias("dropped_id")).agg(F.max(kept).alias("stays")).filter(~F.col("stays"))
-    )
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]), "left_anti")
-
-
 def keep_rows(docs: DataFrame, keys: dict[str, Column], decisions: DataFrame, kept: str) -> DataFrame:
     """The rows of ``docs`` whose keys have a true ``kept`` in ``decisions`` (the keys, kept), one row for each such keys.
 
     ``decisions`` has the keys of every row, null included, as often as they occur.  Of several rows with the same kept
-    keys the one with the lowest hash of all columns stays; they are combined before they are shuffled.
+    keys the one with the lowest hash of all columns stays (maps are left out of the hash); they are combined before they
+    are shuffled.  Columns of ``docs`` may have any names and types; an empty table stays empty.
     """
     marks = decisions.groupBy(*[F.col(k).alias(f"mark_{k}") for k in keys]).agg(F.max(kept).alias("mark_stays"), F.count("*").alias("mark_rows"))
     marks = stored(marks.filter(~F.col("mark_stays") | (F.col("mark_rows") > 1)), "keep-marks")
-    keyed = docs.withColumns({f"key_{k}": c for k, c in keys.items()})
+    keyed = docs.select(F.struct("*").alias("row"), *[c.alias(f"key_{k}") for k, c in keys.items()])
     same = reduce(and_, [F.col(f"key_{k}").eqNullSafe(F.col(f"mark_{k}")) for k in keys])
-    alone = keyed.join(marks, same, "left_anti").select(docs.columns)
+    alone = keyed.join(marks, same, "left_anti").select("row.*")
     repeated = marks.filter("mark_stays")
     if repeated.isEmpty():
         return alone
-    one = keyed.join(repeated, same, "left_semi").groupBy(*[f"key_{k}" for k in keys]).agg(
-        F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")
-    )
+    hashed = [F.col(f"row.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    one = keyed.join(repeated, same, "left_semi").groupBy(*[f"key_{k}" for k in keys]).agg(F.min_by("row", F.xxhash64(*hashed)).alias("row"))
     return alone.unionByName(one.select("row.*"))

@@ -5,7 +5,8 @@ holds; documents are scanned once, in place, without a shuffle.  A document's
 windows are first tested by a rolling hash, then compared word for word with
 the set's entry.  The set is only shipped while the benchmark is below
 ``max_benchmark_words``; larger benchmarks meet the documents in an equality
-join on the windows instead.
+join on the windows instead.  Both ways judge every row by its own text and
+give the same rows and texts.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import keep_documents, plain_text
+from tracewell.llm.common import plain_text, stored
 
 WINDOW_WORDS = 13
 MAX_BENCHMARK_WORDS = 2_000_000
@@ -126,33 +127,51 @@ def _windows(words: str, width: str) -> Column:
     )
 
 
-def _join_scan(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    texts = docs.select("doc_id", words_column().alias("words")).withColumn("text_key", F.sha2(F.array_join("words", " "), 256))
+def _text_key() -> Column:
+    """What rows with the same words have in common."""
+    return F.sha2(F.array_join(words_column(), " "), 256)
+
+
+def _joined_hits(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """(text_key, n_words, item, start, width): every place where a window of an item occurs, once for all rows with these words."""
     tested = items.select(F.col("item_id").cast("string").alias("item"), words_column().alias("words")).filter("size(words) > 0")
     tested = tested.withColumn("width", F.least(F.lit(window), F.size("words")))
     grams = tested.select("item", "width", _windows("words", "width").alias("w")).select("item", "width", "w.gram").distinct()
     widths = grams.select("width").distinct()  # at most one row for each window length
-    sources = texts.dropDuplicates(["text_key"]).select("text_key", "words")
+    texts = docs.select(words_column().alias("words")).withColumn("text_key", F.sha2(F.array_join("words", " "), 256))
     seen = (
-        sources.join(F.broadcast(widths), F.size("words") >= F.col("width"))
-        .select("text_key", "width", _windows("words", "width").alias("w"))
-        .select("text_key", "width", "w.start", "w.gram")
+        texts.dropDuplicates(["text_key"])
+        .join(F.broadcast(widths), F.size("words") >= F.col("width"))
+        .select("text_key", F.size("words").alias("n_words"), "width", _windows("words", "width").alias("w"))
+        .select("text_key", "n_words", "width", "w.start", "w.gram")
     )
-    hits = seen.join(grams, ["width", "gram"])
+    return seen.join(grams, ["width", "gram"]).select("text_key", "n_words", "item", "start", "width")
+
+
+def _hit_places(hits: DataFrame) -> DataFrame:
+    """(text_key, n_words, at): the hit words of every text, each once."""
+    at = F.explode(F.sequence("start", F.col("start") + F.col("width") - 1))
+    return hits.select("text_key", "n_words", at.alias("at")).distinct()
+
+
+def _join_scan(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    hits = stored(_joined_hits(docs, items, window), "window-hits")
     found = hits.groupBy("text_key").agg(F.collect_set("item").alias("found"))
-    covered = (
-        hits.select("text_key", F.explode(F.sequence("start", F.col("start") + F.col("width") - 1)).alias("at"))
-        .distinct().groupBy("text_key").agg(F.count("*").alias("n_hit"))
-    )
-    by_text = found.join(covered, "text_key")
+    covered = _hit_places(hits).groupBy("text_key").agg(F.count("*").alias("n_hit"))
+    texts = docs.select("doc_id", F.size(words_column()).cast("long").alias("n_words"), _text_key().alias("text_key"))
     none = F.array().cast("array<string>")
-    return texts.join(by_text, "text_key", "left").select(
-        "doc_id", F.size("words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
+    return texts.join(found.join(covered, "text_key"), "text_key", "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.size(F.coalesce("found", none)).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(F.coalesce("found", none)), ","), 256).alias("items_sha256"),
     )
 
 
+def _with_text_key(docs: DataFrame) -> DataFrame:
+    """(row, text_key): rows as they are, whatever their columns are called."""
+    return docs.select(F.struct("*").alias("row"), _text_key().alias("text_key"))
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
 
@@ -182,15 +201,15 @@ def contamination(
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, max_benchmark_words: int = MAX_BENCHMARK_WORDS
 ) -> DataFrame:
-    """The documents that are not contaminated, with all columns.
+    """The rows that are not contaminated, with all columns.
 
-    With a benchmark within ``max_benchmark_words`` every row is judged in
-    place; else rows that share an id stay if one of them does.
+    Every row is judged by its own text, also where rows share an id or have none.  A null text is clean.
     """
     windows = _small_set(benchmark, window, max_benchmark_words)
     if windows is None:
-        judged = contamination(docs, benchmark, window, max_benchmark_words).withColumn("clean", ~F.col("contaminated"))
-        return keep_documents(docs, judged, "clean")
+        places = _hit_places(_joined_hits(docs, _items(benchmark), window)).groupBy("text_key", "n_words").agg(F.count("*").alias("n_hit"))
+        dirty = stored(places.filter(F.col("n_hit") * SHARE >= F.col("n_words")).select("text_key"), "contaminated-texts")
+        return _with_text_key(docs).join(dirty, "text_key", "left_anti").select("row.*")
     shipped = docs.sparkSession.sparkContext.broadcast(windows.data)
 
     @F.pandas_udf("boolean")
@@ -204,14 +223,23 @@ def drop_contaminated(
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, max_benchmark_words: int = MAX_BENCHMARK_WORDS) -> DataFrame:
-    """The documents with every run of hit words cut out of the text, all other columns as they are.
+    """The rows with every run of hit words cut out of the text, all other columns as they are.
 
     A run goes from its first word's first character to its last word's last
-    one.  A null text stays null.  For benchmarks within ``max_benchmark_words``.
+    one.  A null text stays null.
     """
     found = _small_set(benchmark, window, max_benchmark_words)
     if found is None:
-        raise ValueError(f"spans are removed for benchmarks of up to {max_benchmark_words} words")
+        places = stored(
+            _hit_places(_joined_hits(docs, _items(benchmark), window)).groupBy("text_key").agg(F.collect_list("at").alias("places")), "hit-places"
+        )  # at most a number for each word of the text
+
+        @F.pandas_udf("string")
+        def cut_places(texts: pd.Series, places: pd.Series) -> pd.Series:
+            return pd.Series([t if p is None else without_words(t, np.asarray(p)) for t, p in zip(texts, places)], dtype=object)
+
+        joined = _with_text_key(docs).join(places, "text_key", "left").withColumn("cut", cut_places("row.text", "places"))
+        return joined.select(*[F.col("cut").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
     shipped = docs.sparkSession.sparkContext.broadcast(found.data)
 
     @F.pandas_udf("string")
@@ -224,14 +252,20 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WOR
 
 
 def without_hits(text: str, windows: WindowSet) -> str:
-    _, hit, _ = windows.scan(text)
-    if not hit.any():
+    return without_words(text, np.flatnonzero(windows.scan(text)[1]))
+
+
+def without_words(text: str, places: np.ndarray) -> str:
+    """The text without the words at the given places and what lies between neighbouring ones."""
+    if not len(places):
         return text
     raw = text.encode("utf-8", "surrogatepass")
     word = np.frombuffer(raw.translate(_WORD_BYTES), dtype=np.uint8) != 32
     edge = np.diff(np.concatenate(([0], word.view(np.int8), [0])))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    run = np.diff(np.concatenate(([0], hit.view(np.int8), [0])))
+    hit = np.zeros(len(starts), dtype=np.int8)
+    hit[places] = 1
+    run = np.diff(np.concatenate(([0], hit, [0])))
     kept, at = [], 0
     for first, last in zip(np.flatnonzero(run == 1), np.flatnonzero(run == -1) - 1):
         kept.append(raw[at : starts[first]])
