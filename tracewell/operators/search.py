@@ -1,4 +1,14 @@
-"""Full-text search: postings, query rewriting, ranking and snippets."""
+"""Full-text search: postings, a stored index, query rewriting, ranking and snippets.
+
+A stored index consists of segments.  In each, messages are numbered in order of
+session and place, and every so many of them form a cell.  Postings carry the message's
+length and the term's places; a table of blocks holds for each term and cell
+the number of postings, the largest term frequency and the least length, hence a bound of
+what the term can add to a score in that cell.  A search first scores the cells with the
+highest bounds; the score of the last hit then kept rules out all cells whose bounds
+miss it, and only postings of the cells left are read.  A common word costs its
+blocks, not its postings; the ranks are those of scoring everything.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +20,8 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import text
 from tracewell.operators import steps as ST
+from tracewell.plans.ordinal import with_ordinal
+from tracewell.session import materialize
 
 #: The published ranking parameters and the floor of a term's weight.
 K1 = 1.2
@@ -17,6 +29,15 @@ B = 0.75
 MIN_IDF = 1e-6
 #: Postings of one bucket of a stored index, about.
 BUCKET_ROWS = 20_000_000
+#: Messages of a cell; cells scored first for every query; cells told to the scan by name at most.
+CELL_ROWS = 1024
+FIRST_CELLS = 4
+NAMED_CELLS = 5_000
+#: Rounding that may not let a cell be left out.
+_SLACK = 1e-7
+_SEGMENT = "segment int, n_docs long, total_len long, first_cell long, cells long, cell_rows int, buckets int"
+_POSTING = "term string, sid string, seq int, len int, tf int, places array<int>, cell long, segment int, bucket int"
+_BLOCK = "term string, cell long, n long, max_tf int, min_len int, segment int, bucket int"
 
 
 def postings(messages: DataFrame, keys: Sequence[str] = ("sid", "seq")) -> DataFrame:
@@ -26,19 +47,30 @@ def postings(messages: DataFrame, keys: Sequence[str] = ("sid", "seq")) -> DataF
 
 @dataclass(frozen=True)
 class Index:
-    """A stored index: postings by bucket of their term, message lengths, and the corpus row."""
+    """A stored index: postings and blocks by segment and bucket of their term, and a row for each segment."""
 
+    path: str
     postings: DataFrame
-    lengths: DataFrame
-    corpus: DataFrame
-    buckets: int
+    blocks: DataFrame
+    segments: tuple
 
-    def of_terms(self, terms: Sequence[str]) -> DataFrame:
-        """Postings of these terms; only their buckets are read."""
-        spark = self.postings.sparkSession
-        named = spark.createDataFrame([(t,) for t in terms] or [("",)], "term string")
-        wanted = sorted({r.bucket for r in named.select(_bucket(self.buckets).alias("bucket")).collect()})
-        return self.postings.filter(F.col("bucket").isin(wanted) & F.col("term").isin(list(terms))).drop("bucket")
+    @property
+    def n_docs(self) -> int:
+        return sum(s.n_docs for s in self.segments)
+
+    @property
+    def avg_len(self) -> float | None:
+        return sum(s.total_len for s in self.segments) / self.n_docs if self.n_docs else None
+
+    def of_terms(self, rows: DataFrame, terms: Sequence[str]) -> DataFrame:
+        """Postings or blocks of these terms; only their buckets are read."""
+        named = rows.sparkSession.createDataFrame([(t,) for t in terms] or [("",)], "term string")
+        asked = F.lit(False)
+        for buckets in sorted({s.buckets for s in self.segments}):
+            wanted = sorted({r.bucket for r in named.select(_bucket(buckets).alias("bucket")).collect()})
+            numbers = [s.segment for s in self.segments if s.buckets == buckets]
+            asked = asked | (F.col("segment").isin(numbers) & F.col("bucket").isin(wanted))
+        return rows.filter(asked & F.col("term").isin(list(terms)))
 
 
 def _bucket(buckets: int) -> Column:
@@ -53,26 +85,71 @@ def _corpus(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
 
 
-def write_index(messages: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS) -> Index:
-    """Store postings, lengths and corpus row below ``path``; the number of buckets follows from the data."""
-    lengths = f"{path}/lengths"
-    _lengths(messages).write.parquet(lengths)
-    stored = messages.sparkSession.read.parquet(lengths)
-    total = stored.agg(F.sum("len").alias("n")).first().n or 0
-    buckets = max(1, -(-total // bucket_rows))
-    _corpus(stored).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/corpus")
+def _write_parts(postings: DataFrame, path: str, segment: int) -> None:
+    """Postings (with their bucket), sorted by term and cell, and their blocks."""
+    folder = f"{path}/postings/segment={segment}"
     # a bucket is spread by session: one term may hold a large part of all rows
-    rows = postings(messages).withColumn("bucket", _bucket(buckets))
-    spread = rows.repartition("bucket", F.pmod(F.xxhash64("sid"), F.lit(8)))
-    spread.sortWithinPartitions("bucket", "term", "sid", "seq", "pos").write.partitionBy("bucket").parquet(f"{path}/postings")
+    spread = postings.repartition("bucket", F.pmod(F.xxhash64("sid"), F.lit(8)))
+    spread.sortWithinPartitions("bucket", "term", "cell", "sid", "seq").write.partitionBy("bucket").parquet(folder)
+    stored = postings.sparkSession.read.schema(_POSTING.replace(", segment int", "")).parquet(folder)
+    blocks = stored.groupBy("bucket", "term", "cell").agg(
+        F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len")
+    )
+    blocks.repartition("bucket").sortWithinPartitions("bucket", "term", "cell").write.partitionBy("bucket").parquet(f"{path}/blocks/segment={segment}")
+
+
+def _write_segment_row(spark: SparkSession, path: str, row: tuple) -> None:
+    """The row makes the segment visible, so it is written last."""
+    spark.createDataFrame([row], _SEGMENT).coalesce(1).write.json(f"{path}/segments/row={row[0]}")
+
+
+def _add_segment(messages: DataFrame, path: str, segment: int, first_cell: int, bucket_rows: int, cell_rows: int) -> None:
+    spark = messages.sparkSession
+    numbered = with_ordinal(messages.select("sid", "seq", "raw"), [F.col("sid"), F.col("seq")], "nth")
+    told = numbered.select(
+        "sid", "seq", (F.floor(F.col("nth") / cell_rows) + first_cell).cast("long").alias("cell"), text.search_tokens("raw").alias("tokens")
+    ).withColumn("len", F.size("tokens"))
+    total = told.agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("words")).first()
+    buckets = max(1, -(-(total.words or 0) // bucket_rows))
+    places = told.select("sid", "seq", "cell", "len", F.posexplode("tokens").alias("pos", "term"))
+    postings = places.groupBy("term", "sid", "seq", "cell", "len").agg(F.sort_array(F.collect_list("pos")).alias("places"))
+    postings = postings.select("term", "sid", "seq", "len", F.size("places").alias("tf"), "places", "cell", _bucket(buckets).alias("bucket"))
+    _write_parts(postings, path, segment)
+    _write_segment_row(spark, path, (segment, total.n, total.words or 0, first_cell, -(-total.n // cell_rows), cell_rows, buckets))
+
+
+def write_index(messages: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS, cell_rows: int = CELL_ROWS) -> Index:
+    """Store an index of these messages below ``path``; the number of buckets follows from the data."""
+    _add_segment(messages, path, 0, 0, bucket_rows, cell_rows)
+    return read_index(messages.sparkSession, path)
+
+
+def append_index(messages: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS) -> Index:
+    """Add messages that the index does not hold yet as a segment of its own; nothing stored is rewritten."""
+    index = read_index(messages.sparkSession, path)
+    last = index.segments[-1]
+    cell = max(s.first_cell + s.cells for s in index.segments)
+    _add_segment(messages, path, last.segment + 1, cell, bucket_rows, last.cell_rows)
     return read_index(messages.sparkSession, path)
 
 
+def merge_index(spark: SparkSession, path: str, target: str, bucket_rows: int = BUCKET_ROWS) -> Index:
+    """All segments as one below ``target``.  Messages are not tokenised again; cells keep their numbers."""
+    index = read_index(spark, path)
+    words = sum(s.total_len for s in index.segments)
+    buckets = max(1, -(-words // bucket_rows))
+    _write_parts(index.postings.drop("segment", "bucket").withColumn("bucket", _bucket(buckets)), target, 0)
+    cells = max(s.first_cell + s.cells for s in index.segments)
+    _write_segment_row(spark, target, (0, index.n_docs, words, 0, cells, index.segments[0].cell_rows, buckets))
+    return read_index(spark, target)
+
+
 def read_index(spark: SparkSession, path: str) -> Index:
-    corpus = spark.read.parquet(f"{path}/corpus")
+    segments = spark.read.schema(_SEGMENT).json(f"{path}/segments").orderBy("segment").collect()  # a row each
+    seen = F.col("segment").isin([s.segment for s in segments])
     return Index(
-        spark.read.schema("sid string, seq int, term string, pos int, bucket int").parquet(f"{path}/postings"),
-        spark.read.parquet(f"{path}/lengths"), corpus.drop("buckets"), corpus.first().buckets,
+        path, spark.read.schema(_POSTING).parquet(f"{path}/postings").filter(seen),
+        spark.read.schema(_BLOCK).parquet(f"{path}/blocks").filter(seen), tuple(segments),
     )
 
 
@@ -90,20 +167,103 @@ def terms_of(queries: DataFrame) -> DataFrame:
     )
 
 
-def _clause_hits(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """Phrase frequency per (qid, clause, sid, seq)."""
-    # the query list is given by the caller as a local list, so this side is small by construction
-    matched = index.join(F.broadcast(terms), "term")
-    starts = matched.groupBy("qid", "clause", "sid", "seq", (F.col("pos") - F.col("term_pos")).alias("start")).agg(
+def _phrases(matched: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """Phrase frequency per (qid, clause, sid, seq) of rows with pos, term_pos and n_terms."""
+    starts = matched.groupBy("qid", "clause", "sid", "seq", *more, (F.col("pos") - F.col("term_pos")).alias("start")).agg(
         F.count(F.lit(1)).alias("hit"), F.max("n_terms").alias("n_terms")
     )
     return (
         starts.filter(F.col("hit") == F.col("n_terms"))
-        .groupBy("qid", "clause", "sid", "seq")
+        .groupBy("qid", "clause", "sid", "seq", *more)
         .agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
+def _idf(n_docs: Column) -> Column:
+    return F.greatest(F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(MIN_IDF))
+
+
+def _gain(tf: str, length: str, avg_len: Column) -> Column:
+    """What one clause adds to a score for an idf of one: rises with the frequency, falls with the length."""
+    return F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(length) / avg_len))
+
+
+def _ranked(scored: DataFrame, sessions: DataFrame, source: str | None, limit: int) -> DataFrame:
+    named = scored.join(sessions.select("sid", "source", "title"), "sid")
+    if source is not None:
+        named = named.filter(F.col("source") == source)
+    return ST.top_per_group(named, ["qid"], [F.round("score", 9).desc(), F.col("sid"), F.col("seq")], limit)
+
+
+def _full_search(messages: DataFrame, sessions: DataFrame, terms: DataFrame, limit: int, source: str | None) -> DataFrame:
+    """Hits (qid, sid, seq, score, rank, source, title) by scoring all messages that hold a term."""
+    lengths = _lengths(messages)
+    corpus = _corpus(lengths)  # one row
+    # the query list is given by the caller as a local list, so this side is small by construction
+    hits = _phrases(postings(messages).join(F.broadcast(terms), "term"))
+    frequency = hits.groupBy("qid", "clause").agg(F.count(F.lit(1)).alias("df"))  # one row per clause
+    weighed = hits.join(F.broadcast(frequency), ["qid", "clause"]).join(F.broadcast(corpus))
+    with_len = weighed.join(lengths, ["sid", "seq"])
+    gain = _idf(F.col("n_docs")) * _gain("tf", "len", F.col("avg_len"))
+    return _ranked(with_len.groupBy("qid", "sid", "seq").agg(F.sum(gain).alias("score")), sessions, source, limit)
+
+
+class _BlockSearch:
+    """A search over a stored index that reads the postings of promising cells only."""
+
+    def __init__(self, index: Index, sessions: DataFrame, terms: DataFrame, limit: int, source: str | None) -> None:
+        self.index, self.sessions, self.limit, self.source = index, sessions, limit, source
+        self.average = F.lit(index.avg_len)
+        # terms are the words of the caller's own list
+        self.single = terms.filter("n_terms = 1").select("qid", "clause", "term")
+        self.words = sorted({r.term for r in self.single.select("term").collect()})
+        phrase = terms.filter("n_terms > 1")
+        listed = sorted({r.term for r in phrase.select("term").collect()})
+        self.phrase_hits = None
+        block = ["qid", "clause", "cell", "n", "max_tf", "min_len"]
+        blocks = index.of_terms(index.blocks, self.words).join(F.broadcast(self.single), "term").select(block)
+        if listed:  # how often a phrase occurs is not known before its places are compared
+            places = index.of_terms(index.postings, listed).select("term", "sid", "seq", "cell", "len", F.explode("places").alias("pos"))
+            self.phrase_hits = materialize(_phrases(places.join(F.broadcast(phrase), "term"), ("cell", "len")))
+            grouped = self.phrase_hits.groupBy("qid", "clause", "cell").agg(
+                F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
+            blocks = blocks.unionByName(grouped.select(block))
+        blocks = materialize(blocks)
+        self.weights = materialize(
+            blocks.groupBy("qid", "clause").agg(F.sum("n").alias("df")).select("qid", "clause", _idf(F.lit(index.n_docs)).alias("idf")))
+        best = F.sum(F.col("idf") * _gain("max_tf", "min_len", self.average))
+        self.bounds = materialize(blocks.join(self.weights, ["qid", "clause"]).groupBy("qid", "cell").agg(best.alias("bound")))
+
+    def scored(self, cells: DataFrame) -> DataFrame:
+        """(qid, sid, seq, score) of all hits in these cells (qid, cell)."""
+        named = [r.cell for r in cells.select("cell").distinct().limit(NAMED_CELLS + 1).collect()]
+        found = self.index.of_terms(self.index.postings, self.words)
+        if len(named) <= NAMED_CELLS:
+            found = found.filter(F.col("cell").isin(named))  # reaches the scan; files are sorted by term and cell
+        columns = ["qid", "clause", "sid", "seq", "cell", "tf", "len"]
+        hits = found.join(F.broadcast(self.single), "term").select(columns)
+        if self.phrase_hits is not None:
+            hits = hits.unionByName(self.phrase_hits.select(columns))
+        hits = hits.join(cells.select("qid", "cell"), ["qid", "cell"], "left_semi").join(self.weights, ["qid", "clause"])
+        return hits.groupBy("qid", "sid", "seq").agg(F.sum(F.col("idf") * _gain("tf", "len", self.average)).alias("score"))
+
+    def cells_left(self, first: DataFrame, best: DataFrame) -> DataFrame:
+        """(qid, cell) that may hold a better hit than the last of ``best``, but those of ``first``."""
+        last = best.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= self.limit, F.min("score")).alias("last"))
+        left = self.bounds.join(last, "qid", "left").filter(F.col("bound") >= F.coalesce("last", F.lit(0.0)) - _SLACK)
+        return left.join(first.select("qid", "cell"), ["qid", "cell"], "left_anti").select("qid", "cell")
+
+    def run(self) -> DataFrame:
+        first = materialize(ST.top_per_group(self.bounds, ["qid"], [F.desc("bound"), F.col("cell")], FIRST_CELLS))
+        best = materialize(_ranked(self.scored(first), self.sessions, self.source, self.limit))
+        left = materialize(self.cells_left(first, best))
+        if left.isEmpty():
+            return best
+        more = _ranked(self.scored(left), self.sessions, self.source, self.limit)
+        both = best.unionByName(more).drop("rank")
+        return ST.top_per_group(both, ["qid"], [F.round("score", 9).desc(), F.col("sid"), F.col("seq")], self.limit)
+
+
 def search(
     messages: DataFrame,
     sessions: DataFrame,
@@ -115,28 +275,15 @@ def search(
     """Ranked hits of every query: qid, rank, sid, seq, source, title, role, ts, snippet, score.
 
     Okapi BM25 with k1 = 1.2 and b = 0.75; ties by (sid, seq).  With a
-    stored ``index`` only the query terms' buckets are read; else all messages
+    stored ``index`` only postings of cells that may hold hits are read; else all messages
     are tokenised.
     """
     spark = messages.sparkSession
     terms = query_terms(spark, queries)
     if index is None:
-        found, lengths = postings(messages), _lengths(messages)
-        corpus = _corpus(lengths)  # one row
+        best = _full_search(messages, sessions, terms, limit, source)
     else:
-        listed = sorted({r.term for r in terms.select("term").collect()})  # words of the caller's own list
-        found, lengths, corpus = index.of_terms(listed), index.lengths, index.corpus
-    hits = _clause_hits(found, terms)
-    frequency = hits.groupBy("qid", "clause").agg(F.count(F.lit(1)).alias("df"))  # one row per clause
-    weighed = hits.join(F.broadcast(frequency), ["qid", "clause"]).join(F.broadcast(corpus))
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(MIN_IDF))
-    with_len = weighed.join(lengths, ["sid", "seq"])
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
-    scored = with_len.groupBy("qid", "sid", "seq").agg(F.sum(idf * F.col("tf") * (K1 + 1) / norm).alias("score"))
-    named = scored.join(sessions.select("sid", "source", "title"), "sid")
-    if source is not None:
-        named = named.filter(F.col("source") == source)
-    best = ST.top_per_group(named, ["qid"], [F.round("score", 9).desc(), F.col("sid"), F.col("seq")], limit)
+        best = _BlockSearch(index, sessions, terms, limit, source).run()
     # rows left: at most limit per query
     shown = best.join(messages.select("sid", "seq", "role", "ts", "raw"), ["sid", "seq"])
     texts = spark.createDataFrame([(i, q) for i, q in enumerate(queries)], "qid int, query string")

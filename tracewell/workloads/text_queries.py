@@ -87,6 +87,22 @@ def search(spark, d):
     return hits.select("qid", "rank", "sid", "seq", "source", "title", F.round("score", 6).alias("score"))
 
 
+@query(
+    "H4_indexed_search",
+    _BM25
+    + """ SELECT CAST(qid AS INTEGER) AS qid, CAST(rn AS INTEGER) AS rank, r.sid, seq, source, title, round(score,6) AS score
+FROM r JOIN csessions c ON c.sid=r.sid WHERE rn<=20""",
+)
+def indexed_search(spark, d):
+    """The same over a stored index of two segments: system and user turns first, answers added later."""
+    messages = _messages(spark, d)
+    path = f"{ensure_checkpoint_dir(spark)}/tables/index-{uuid.uuid4().hex}"
+    H.write_index(messages.filter("role <> 'assistant'"), path, bucket_rows=50_000, cell_rows=32)
+    index = H.append_index(messages.filter("role = 'assistant'"), path, bucket_rows=50_000)
+    hits = H.search(messages, _sessions(spark, d), _QUERIES, index=index)
+    return hits.select("qid", "rank", "sid", "seq", "source", "title", F.round("score", 6).alias("score"))
+
+
 #: Words of two terms are phrases.
 _PHRASES = ("of-the", "de.la", "the,of")
 _PHRASE_ROWS = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(re.split("[-.,]", p) for p in _PHRASES))
