@@ -264,6 +264,9 @@ def noise_candidates(sessions: DataFrame, messages: DataFrame, steps: DataFrame,
 
 # --- before/after evaluation -----------------------------------------------------------------
 
+#: Parts into which sessions are dealt, so that a pattern's errors of one day spread over as many tasks.
+PARTS = 8
+
 
 def evaluate_rules(
     ledger: DataFrame,
@@ -279,8 +282,9 @@ def evaluate_rules(
     """Adopted entries judged by errors before and after their boundary.
 
     Targets (note patterns, else the key) meet distinct error patterns by
-    equality or by exact substring joins; the error rows then join on the
-    pattern and are counted per window.
+    equality or by exact substring joins.  Windows are cut into days and errors, counted per pattern,
+    session and second, meet them by pattern, day and a hash of the session: only errors of a window's days
+    are joined, and one pattern with most errors is spread over days and tasks.
     """
     if window_days < 1:
         raise ValueError("window_days must be at least 1")
@@ -298,14 +302,12 @@ def evaluate_rules(
         F.explode(F.when(F.size("note_patterns") > 0, F.col("note_patterns")).otherwise(F.array("key"))).alias("target"),
     ).select("key", text.normalize_error("target").alias("target")).filter(F.col("target") != "").distinct()
     patterns = errors.select("pattern").filter(F.col("pattern") != "").distinct()
-    matched = _match_patterns(targets.select("target").distinct(), patterns)
-    hit_patterns = targets.join(matched, "target").select("key", "pattern").distinct()
+    hit_patterns = materialize(_hit_patterns(targets, patterns))
     # errors are counted per pattern, session and second before entries meet them
     cells = errors.filter(F.coalesce("ts", F.lit("")) != "").groupBy("pattern", "sid", "ts").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(~F.col("resolved")).alias("open")
     )
-    totals = errors.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    hits = hit_patterns.join(totals, "pattern").groupBy("key").agg(F.sum("n").alias("pattern_hits"))
+    hits = _count_union(hit_patterns, errors).select("key", F.col("errors").alias("pattern_hits"))
     fmt = "yyyy-MM-dd HH:mm:ss"
     bounded = entries.filter(F.col("boundary").isNotNull()).select(
         "key",
@@ -313,9 +315,17 @@ def evaluate_rules(
         F.date_format(F.col("boundary") - F.make_dt_interval(F.lit(window_days)), fmt).alias("lo"),
         F.date_format(F.col("boundary") + F.make_dt_interval(F.lit(window_days)), fmt).alias("hi"),
     )
-    placed = (
+    days = F.transform(F.sequence(F.to_date("lo"), F.to_date("hi")), lambda d: d.cast("string"))
+    windowed = (
         bounded.join(hit_patterns, "key")
-        .join(cells, "pattern")
+        .withColumn("bin", F.explode(F.concat(days, F.array(F.lit("")))))  # '' for stamps that start with no date
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    )
+    day = F.substring("ts", 1, 10)
+    dated = F.coalesce(F.expr("cast(try_cast(substring(ts, 1, 10) as date) as string)") == day, F.lit(False))
+    binned = cells.withColumn("bin", F.when(dated, day).otherwise("")).withColumn("part", F.pmod(F.xxhash64("sid"), F.lit(PARTS)).cast("int"))
+    placed = (
+        windowed.join(binned, ["pattern", "bin", "part"])
         .filter((F.col("ts") >= F.col("lo")) & (F.col("ts") < F.col("hi")))
         .withColumn("side", F.when(F.col("ts") < F.col("mid"), "before").otherwise("after"))
     )
@@ -394,6 +404,27 @@ def relative_change(before: Column, after: Column) -> Column:
     ).otherwise((after - before) / before)
 
 
+def pattern_union(targets: DataFrame, errors: DataFrame) -> DataFrame:
+    """(key, patterns, errors) of every key of ``targets`` (key, target): what its targets hit together.
+
+    An error that several targets of a key hit counts once.  Keys whose targets hit nothing have no row.
+    """
+    errors = materialize(errors.select("pattern"))
+    patterns = errors.filter(F.col("pattern") != "").distinct()
+    return _count_union(_hit_patterns(targets.select("key", "target").filter(F.col("target") != "").distinct(), patterns), errors)
+
+
+def _hit_patterns(targets: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(key, pattern), each once."""
+    matched = _match_patterns(targets.select("target").distinct(), patterns)
+    return targets.join(matched, "target").select("key", "pattern").distinct()
+
+
+def _count_union(hit_patterns: DataFrame, errors: DataFrame) -> DataFrame:
+    totals = errors.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    return hit_patterns.join(totals, "pattern").groupBy("key").agg(F.count(F.lit(1)).alias("patterns"), F.sum("n").alias("errors"))
+
+
 def _match_patterns(targets: DataFrame, patterns: DataFrame) -> DataFrame:
     """(target, pattern) equal, or one inside the other with the shorter having 8+ characters."""
     t = targets.select("target", F.col("target").alias("t_text"))

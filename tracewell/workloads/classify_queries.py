@@ -36,6 +36,37 @@ def error_class(spark, d):
     return rows.select("error", RU.error_class(F.col("error")).alias("class"))
 
 
+#: Ordered fallback families for errors that no rule matches; the first that matches counts, and the first two overlap.
+_FAMILIES = (("many_codes", (r"code 1\d", r"code 2")), ("low_code", (r"code [0-3]",)), ("files", ("cannot open",)))
+
+
+@query(
+    "K1_error_families",
+    f"""WITH {STEPS} SELECT error, CASE WHEN regexp_matches(error, 'timed out') THEN 'env'
+ WHEN regexp_matches(error, 'code 1\\d') OR regexp_matches(error, 'code 2') THEN 'many_codes' WHEN regexp_matches(error, 'code [0-3]') THEN 'low_code'
+ WHEN regexp_matches(error, 'cannot open') THEN 'files' ELSE 'unclassified' END AS class FROM steps WHERE status='error'""",
+)
+def error_families(spark, d):
+    """Rules first, then families in their order."""
+    rows = store.steps(spark, d).filter(F.col("status") == "error")
+    rules = [r for r in RU.DEFAULT_RULES if any("timed out" in m for m in r.match)]
+    return rows.select("error", RU.error_class(F.col("error"), rules, _FAMILIES).alias("class"))
+
+
+@query(
+    "G6_pattern_union",
+    f"""WITH {ERRORS}, t AS (SELECT DISTINCT tool AS key, unnest([pattern, left(pattern, 30), substr(pattern, 12)]) AS target FROM errs),
+p AS (SELECT pattern, count(*) AS n FROM errs GROUP BY pattern),
+h AS (SELECT DISTINCT key, pattern, n FROM t JOIN p ON target=pattern OR length(target)>=8 AND length(pattern)>=8 AND (contains(pattern, target) OR contains(target, pattern)))
+SELECT key, count(*) AS patterns, CAST(sum(n) AS BIGINT) AS errors FROM h GROUP BY key""",
+)
+def pattern_union(spark, d):
+    """All patterns of a tool's errors, their beginnings and ends: many of them hit the same errors."""
+    errors = _errors(spark, d)
+    parts = F.array("pattern", F.substring("pattern", 1, 30), F.expr("substring(pattern, 12)"))
+    return K.pattern_union(errors.select(F.col("tool").alias("key"), F.explode(parts).alias("target")), errors)
+
+
 @query("K2_attribution", f"WITH {ERRORS} SELECT sid, seq, {_RULE} AS rule_id, class, left({_RULE}, 3) AS short FROM errs")
 def attribution(spark, d):
     rows = K.attribute(store.steps(spark, d).filter(F.col("status") == "error"))
