@@ -1,8 +1,10 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators import similarity as J
+from tracewell.plans import contains
 from tracewell.plans.components import connected_components
 from tracewell.plans.contains import contains_pairs
 
@@ -71,7 +73,9 @@ def test_components_on_a_chain_and_a_star(spark):
     assert {got[f"x{i}"] for i in range(50)} == {"hub"}
 
 
-def test_contains_pairs(spark):
+@pytest.mark.parametrize("chars", [contains.AUTOMATON_CHARS, 0])
+def test_contains_pairs(spark, monkeypatch, chars):
+    monkeypatch.setattr(contains, "AUTOMATON_CHARS", chars)
     rng = random.Random(2)
     texts = {f"t{i}": "".join(rng.choice("abc ") for _ in range(rng.randrange(0, 60))) for i in range(30)}
     needles = {f"n{i}": "".join(rng.choice("abc ") for _ in range(rng.randrange(0, 12))) for i in range(40)}
@@ -79,6 +83,10 @@ def test_contains_pairs(spark):
     n = spark.createDataFrame(list(needles.items()), "nid string, word string")
     got = {(r.tid, r.nid) for r in contains_pairs(t, n, "tid", "body", "nid", "word").collect()}
     assert got == {(a, b) for a, x in texts.items() for b, y in needles.items() if y and y in x}
+    assert contains_pairs(t, n.limit(0), "tid", "body", "nid", "word").count() == 0
+    held = contains_pairs(t.withColumn("g", F.length("body") % 2), n.withColumn("g", F.length("word") % 2), "tid", "body", "nid", "word", ["g"])
+    same = {(a, b) for a, x in texts.items() for b, y in needles.items() if y and y in x and len(x) % 2 == len(y) % 2}
+    assert held.columns == ["g", "tid", "nid"] and {(r.tid, r.nid) for r in held.collect()} == same
 
 
 def test_seed_clusters_equal_the_sequential_greedy(spark):

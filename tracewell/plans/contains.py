@@ -1,19 +1,28 @@
 """Exact substring joins without a cross join.
 
-Every needle is represented by its rarest character gram (by how many texts
+While all needles together are small (``AUTOMATON_CHARS``, measured before
+anything is collected), tasks build one automaton of them, whose failure links find every needle in
+one pass over a text: the work grows with the texts and their hits, whatever the number
+of needles, and no text is shuffled.
+
+Larger sets of needles are joined: every needle is represented by its rarest character gram (by how many texts
 hold it); texts are exploded to distinct grams, so candidates come from an
-equi-join and are then verified with ``contains``.
+equi-join and are then verified with ``contains``.  Both ways give the same pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.session import materialize
 
+#: Characters of all distinct needles together up to which tasks hold an automaton of them (some 50 MB).
+AUTOMATON_CHARS = 500_000
 #: Gram lengths, each double the one before; a needle uses the longest one it can fill.
 TIERS = (1, 2, 4, 8)
 
@@ -36,6 +45,21 @@ def _with_grams(df: DataFrame, text: str, keep: Sequence[str], longest: int) ->
     return out
 
 
+def _found_needles(text: str, words: Sequence[str]) -> Column:
+    """The distinct needles in a text, by one automaton a task."""
+
+    @F.pandas_udf("array<string>")
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()
+        for word in words:
+            automaton.add_word(word, word)
+        automaton.make_automaton()
+        for texts in batches:
+            yield pd.Series([[] if t is None else list({word for _, word in automaton.iter(t)}) for t in texts], dtype=object)
+
+    return search(text)
+
+
 def contains_pairs(
     texts: DataFrame,
     needles: DataFrame,
@@ -56,6 +80,14 @@ def contains_pairs(
         tier = F.when(length >= t, t).otherwise(tier)
     # read several times below
     wanted = materialize(needles.filter(length >= 1).select(*group, needle_id, F.col(needle).alias("__needle"), tier.alias("__tier")))
+    distinct = wanted.select("__needle").distinct()
+    size = distinct.agg(F.sum(F.length("__needle")).alias("chars")).first().chars
+    if size is None:
+        return texts.select(*group, text_id).join(wanted.select(needle_id), F.lit(False))
+    if size <= AUTOMATON_CHARS:
+        words = [r[0] for r in distinct.collect()]
+        hits = texts.select(*group, text_id, F.explode(_found_needles(text, words)).alias("__needle"))
+        return hits.join(wanted.select(*group, needle_id, "__needle"), [*group, "__needle"]).select(*group, text_id, needle_id).distinct()
     # at most one value per tier comes back: texts are cut only to the gram lengths in use
     used = sorted(r[0] for r in wanted.select("__tier").distinct().collect()) or [TIERS[0]]
     by_tier = F.col(f"__g{used[0]}")
