@@ -66,6 +66,36 @@ def test_entropy_spans_and_allow_list():
     assert find(key + "a" * 40 + key) == [x for x in (find(key + "a" * 40 + key))] and len(find(key + "a" * 40 + key)) == 2
 
 
+def test_class_of_windows_equals_direct():
+    def direct(w):
+        body = w.replace("=", "")
+        if body.isdigit():
+            return "digits"
+        if not set(body) - set("0123456789abcdef") or not set(body) - set("0123456789ABCDEF"):
+            return "hex"
+        return "letters" if not any(c.isdigit() for c in body) else "upper" if body == body.upper() else "mixed"
+
+    rng = random.Random(8)
+    for alphabet in ("0123456789", "0123456789abcdef", "0123456789ABCDEF_", "abcdefghijklmnop-", "ABCXYZ0189", "aZ09+/_-"):
+        text = "".join(rng.choice(alphabet) for _ in range(120)) + "=="
+        assert [k for _, k in S.windows(text)] == [direct(text[i : i + 20]) for i in range(len(text) - 19)]
+
+
+def test_keys_behind_prefixes_are_found():
+    allowed = tuple(map(re.compile, S.ALLOWED))
+    rng = random.Random(7)
+    for prefix in ("", "KEY_", "key-", "prod/", "v1/", "docs/example/", "deploy_"):
+        found = 0
+        for _ in range(300):
+            key = "".join(rng.choice("0123456789ABCDEF") for _ in range(32))
+            spans = S.entropy_spans(f"see {prefix}{key}.", allowed)
+            found += any(a <= 4 + len(prefix) + 12 and b == 4 + len(prefix) + 32 or b - a >= 20 for a, _, b in spans)
+        assert found >= 285, (prefix, found)
+    secret = "Zx9Qw7Er5Ty3Ui1OpA8sKd6FgH2jLm4NbVcX0z1q"
+    (start, _, end), = S.entropy_spans(f"docs/example/{secret}", allowed)
+    assert 12 <= start <= 14 and end == 13 + len(secret)
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "é password=abcdef1234567890ff end"), (2, None), (3, "plain")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in S.redact(docs).collect()} == {1: "é [secret] end", 2: None, 3: "plain"}

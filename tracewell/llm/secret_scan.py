@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and sliding-window entropy over candidate strings.
 
 Candidates are long runs of key characters.  A window slides over each; its
-Shannon entropy is kept by incremental counts (one character enters, one
-leaves).  How much entropy is suspicious depends on the characters the candidate
-is made of.  Candidates that an allow-list entry matches add no span; spans of
-the fixed patterns are never suppressed.
+Shannon entropy and its characters' classes are kept by incremental counts (one
+character enters, one leaves).  How much entropy is suspicious depends on the class of the
+window, so a key behind a prefix or a path is judged like the key alone.  Windows that overlap a
+part of the candidate (between separators) in which the allow list has a match add no span;
+spans of the fixed patterns are never suppressed.
 """
 
 from __future__ import annotations
@@ -31,9 +32,11 @@ ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 12, 18, 16
 
 WINDOW = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-#: Bits per character from which a window is suspicious, by the characters of its candidate.
+#: Bits per character from which a window is suspicious, by the characters of the window.
 #: Digits alone reach log2(10) = 3.32 at most and are left to other operators.
 THRESHOLDS = {"hex": 3.2, "upper": 3.7, "mixed": 3.8, "letters": 4.0, "digits": math.inf}
+#: What parts of a candidate lie between: a path's or a name's parts.
+SEPARATORS = "/_-"
 ALLOWED = (
     r"(?i)example|placeholder|changeme|dummy",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
@@ -62,22 +65,38 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return spans
 
 
-def character_class(candidate: str) -> str:
-    body = candidate.rstrip("=")
-    if body.isdigit():
+#: Kinds of characters that windows count: digits, a-f, other small letters, A-F, other capitals, the rest; padding is none.
+_DIGIT, _SMALL_HEX, _SMALL, _CAPITAL_HEX, _CAPITAL, _REST = range(6)
+
+
+def _kind(character: str) -> int | None:
+    if character.isdigit():
+        return _DIGIT
+    if character.islower():
+        return _SMALL_HEX if character <= "f" else _SMALL
+    if character.isupper():
+        return _CAPITAL_HEX if character <= "F" else _CAPITAL
+    return None if character == "=" else _REST
+
+
+def class_of(kinds: list[int]) -> str:
+    """The class of a window with so many characters of each kind."""
+    digits, small_hex, small, capital_hex, capital, rest = kinds
+    if digits and not (small_hex or small or capital_hex or capital or rest):
         return "digits"
-    if all(c in "0123456789abcdef" for c in body) or all(c in "0123456789ABCDEF" for c in body):
+    if not (small or capital or rest) and not (small_hex and capital_hex):
         return "hex"
-    if not any(c.isdigit() for c in body):
+    if not digits:
         return "letters"
-    return "upper" if body == body.upper() else "mixed"
+    return "mixed" if small_hex or small else "upper"
 
 
-def window_entropies(candidate: str, window: int = WINDOW) -> Iterator[float]:
-    """Entropy in bits of every window, left to right; one window if the candidate is shorter."""
+def windows(candidate: str, window: int = WINDOW) -> Iterator[tuple[float, str]]:
+    """Entropy in bits and class of every window, left to right; one window if the candidate is shorter."""
     size = min(window, len(candidate))
     weight = [0.0] + [c * math.log2(c) for c in range(1, size + 1)]
     counts: dict[str, int] = {}
+    kinds = [0] * 6
     total = 0.0
     for i, entering in enumerate(candidate):
         if i >= size:
@@ -85,32 +104,52 @@ def window_entropies(candidate: str, window: int = WINDOW) -> Iterator[float]:
             n = counts[leaving]
             counts[leaving] = n - 1
             total += weight[n - 1] - weight[n]
+            if (kind := _kind(leaving)) is not None:
+                kinds[kind] -= 1
         n = counts.get(entering, 0)
         counts[entering] = n + 1
         total += weight[n + 1] - weight[n]
+        if (kind := _kind(entering)) is not None:
+            kinds[kind] += 1
         if i >= size - 1:
-            yield math.log2(size) - total / size
+            yield math.log2(size) - total / size, class_of(kinds)
+
+
+def window_entropies(candidate: str, window: int = WINDOW) -> Iterator[float]:
+    return (bits for bits, _ in windows(candidate, window))
+
+
+def _allowed_starts(candidate: str, allowed: tuple[re.Pattern, ...], size: int) -> set[int]:
+    """Starts of the windows that overlap a part, between separators, in which the allow list has a match."""
+    starts: set[int] = set()
+    for match in (m for a in allowed for m in a.finditer(candidate)):
+        begin = max(candidate.rfind(c, 0, match.start()) for c in SEPARATORS) + 1
+        end = min((at for c in SEPARATORS if (at := candidate.find(c, match.end())) >= 0), default=len(candidate))
+        starts.update(range(max(0, begin - size + 1), end))
+    return starts
 
 
 def entropy_spans(text: str, allowed: tuple[re.Pattern, ...], window: int = WINDOW) -> list[tuple[int, str, int]]:
-    """Unions of the suspicious windows of every candidate that no allow-list entry matches."""
+    """Unions of the suspicious windows of every candidate but those that overlap an allowed part."""
     if not _has_run(text.encode("utf-8", "surrogatepass"), _KEY_RUNS, WINDOW):
         return []
     spans = []
     for match in CANDIDATE.finditer(text):
         candidate = match[0]
-        threshold = THRESHOLDS[character_class(candidate)]
-        if threshold == math.inf or any(a.search(candidate) for a in allowed):
+        suspicious = [i for i, (bits, kind) in enumerate(windows(candidate, window)) if bits >= THRESHOLDS[kind]]
+        if not suspicious:
             continue
+        size = min(window, len(candidate))
+        skipped = _allowed_starts(candidate, allowed, size)
         first = last = None
-        for i, bits in enumerate(window_entropies(candidate, window)):
-            if bits < threshold:
+        for i in suspicious:
+            if i in skipped:
                 continue
             if last is not None and i > last:
                 spans.append((match.start() + first, "entropy", match.start() + last))
                 first = None
             first = i if first is None else first
-            last = i + min(window, len(candidate))
+            last = i + size
         if last is not None:
             spans.append((match.start() + first, "entropy", match.start() + last))
     return spans
@@ -135,7 +174,7 @@ def secrets(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
 
     Needs ``doc_id`` and ``text``; a null text is empty and has no spans.  Spans
     are kind:start:end in code points over the whole match, ordered by start,
-    then kind.  Rows that repeat a document are scanned each.  One pass, no
+    then kind; texts of any length are scanned whole, other columns are not looked at.  Rows that repeat a document are scanned each.  One pass, no
     shuffle; no row in, no row out.
     """
 
@@ -151,7 +190,10 @@ def secrets(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
 
 
 def redact(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED, mark: str = "[secret]") -> DataFrame:
-    """The documents with every span replaced by ``mark``; overlapping spans become one.  A null text stays null."""
+    """The documents with every span replaced by ``mark``; overlapping spans become one.
+
+    A null text stays null, an empty one empty; other columns, whatever their names, stay.  No row in, no row out.
+    """
 
     @F.pandas_udf("string")
     def replace(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
