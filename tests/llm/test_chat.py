@@ -1,5 +1,6 @@
 """Rendered dialogues against a plain loop."""
 
+import hashlib
 import random
 
 from tracewell.llm import chat as C
@@ -8,18 +9,18 @@ SCHEMA = "conv_id long, turn long, role string, text string, perspective string,
 
 
 def brute(rows, piece_turns):
-    clean = set()
+    clean = []
     for conv, turn, role, text in rows:
         name = (role or "").replace("\r", "\n")
         while "\n\n" in name:
             name = name.replace("\n\n", "\n")
-        clean.add((conv, turn, (name.replace("\n", " ") or "unknown").replace("<|", "< |"), (text or "").replace("<|", "< |")))
+        clean.append((conv, turn, (name.replace("\n", " ") or "unknown").replace("<|", "< |"), (text or "").replace("<|", "< |")))
     out = []
     for conv in {c for c, *_ in clean}:
-        mine = [x for x in clean if x[0] == conv]
+        mine = sorted((x for x in clean if x[0] == conv), key=lambda x: (x[1] is not None, x[1] or 0, x[2], hashlib.sha256(x[3].encode()).hexdigest()))
         for who in {s for _, _, s, _ in mine if s != "system"}:
-            for piece in {(t or 0) // piece_turns for _, t, _, _ in mine}:
-                turns = sorted((x for x in mine if (x[1] or 0) // piece_turns == piece), key=lambda x: (x[1] is not None, x[1] or 0, x[2], x[3]))
+            for piece in range(-(-len(mine) // piece_turns)):
+                turns = mine[piece * piece_turns : (piece + 1) * piece_turns]
                 text, spans, masked = "", [], 0
                 for _, _, speaker, body in turns:
                     role = "system" if speaker == "system" else "assistant" if speaker == who else f"user name={speaker}"
@@ -49,6 +50,15 @@ def test_rotation_equals_plain_loop(spark):
     assert C.perspectives(frame.limit(0)).count() == 0
 
 
+def test_rows_without_dialogue_are_cut_by_number(spark):
+    rows = [(None, None if i % 2 else 0, "ann" if i % 3 else "bob", f"text {i % 40}") for i in range(200)] + [(7, None, "ann", "hi"), (7, None, "ann", "hi"), (7, None, "bob", "yes")]
+    frame = spark.createDataFrame([(*r, "p", 9) for r in rows], SCHEMA)
+    got = C.perspectives(frame, piece_turns=16)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 16)
+    assert got.agg({"n_turns": "max"}).first()[0] == 16
+    assert {r.n_turns for r in got.filter("conv_id = 7").collect()} == {3}
+
+
 def test_masked_text_is_the_speakers_own(spark):
     rows = [(1, 0, "ann", "Hello <|im_start|>", "", 0), (1, 1, "bob", "Hi", "", 0), (1, 2, "ann", "Bye", "", 0)]
     for r in C.perspectives(spark.createDataFrame(rows, SCHEMA)).collect():

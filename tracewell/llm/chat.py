@@ -4,9 +4,10 @@ For every participant the dialogue is rendered with that speaker as assistant
 and all others as named users; the mask marks the characters a model learns
 from: the assistant's own words and the marker that ends them.
 
-A dialogue is cut into pieces of ``piece_turns`` turn numbers, so the rows that
-must be together are bounded however long a dialogue grows; repeated rows are
-combined before that.  Only built-in functions are used.
+A dialogue is cut into pieces of ``piece_turns`` rows, so the rows that must be
+together are bounded however long a dialogue grows and whatever its turn numbers.  Rows are numbered
+over ranges of dialogue and turn, so a hot dialogue, or all rows without
+dialogue, are dealt to many tasks.  Only built-in functions are used.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import plain_text
+from tracewell.plans.ordinal import with_ordinal
 
 PIECE_TURNS = 64
 SYSTEM = "system"
@@ -43,20 +45,24 @@ def perspectives(turns: DataFrame, speaker: str = "role", piece_turns: int = PIE
     Needs ``conv_id``, ``turn``, ``text`` and the speaker column.  System turns
     are rendered for everyone and are no participant; a dialogue of system
     turns alone gives no row.  A null text is empty, a null or empty speaker is
-    'unknown', a null turn counts as the first (piece 0, before all others);
-    rows without conv_id form one dialogue.  Turns of one number are ordered by
-    speaker, then text; rows equal in all four columns count once.  Names and
-    texts cannot contain turn markers.
+    'unknown', a null turn counts as the first (before all others); rows without conv_id form one dialogue.
+    Turns of one number are ordered by speaker, then hash of the text; every row is a turn, also where rows
+    are equal.  Names and texts cannot contain turn markers.  Texts of any length are rendered whole; columns of
+    other names are not looked at.  An empty table gives no row.
     """
     name = F.regexp_replace(F.coalesce(F.col(speaker), F.lit("")), r"[\r\n]+", " ")
     clean = turns.select(
         "conv_id", F.col("turn").cast("long").alias("turn"),
         _escaped(F.when(name == "", UNKNOWN).otherwise(name)).alias("speaker"), _escaped(plain_text()).alias("text"),
     )
-    piece = F.coalesce(F.floor(F.col("turn") / piece_turns), F.lit(0)).cast("long")
+    order = [F.col("conv_id"), F.asc_nulls_first("turn"), F.col("speaker"), F.sha2("text", 256)]
+    numbered = with_ordinal(clean, order, "nth")
+    starts = numbered.groupBy(F.col("conv_id").alias("within")).agg(F.min("nth").alias("start"))
+    placed = numbered.join(starts, numbered["conv_id"].eqNullSafe(starts["within"]))
+    piece = F.floor((F.col("nth") - F.col("start")) / piece_turns).cast("long")
     pieces = (
-        clean.groupBy("conv_id", piece.alias("piece"))
-        .agg(F.sort_array(F.collect_set(F.struct("turn", "speaker", "text"))).alias("turns"))
+        placed.groupBy("conv_id", piece.alias("piece"))
+        .agg(F.sort_array(F.collect_list(F.struct("nth", "speaker", "text"))).alias("turns"))
     )
     speakers = clean.filter(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")).distinct()
     views = pieces.join(speakers, pieces["conv_id"].eqNullSafe(speakers["of"])).drop("of")
@@ -89,16 +95,17 @@ def perspectives(turns: DataFrame, speaker: str = "role", piece_turns: int = PIE
 
 def oracle(piece_turns: int = PIECE_TURNS) -> str:
     """SQL for ``perspectives`` over ``conversations``."""
-    return rf"""WITH c AS (SELECT DISTINCT conv_id, turn, replace(CASE WHEN regexp_replace(coalesce(role, ''), '[\r\n]+', ' ', 'g') = '' THEN '{UNKNOWN}'
-    ELSE regexp_replace(role, '[\r\n]+', ' ', 'g') END, '<|', '< |') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS text,
-    coalesce(CAST(floor(turn / {piece_turns}) AS BIGINT), 0) AS piece FROM conversations),
+    order = "turn NULLS FIRST, speaker, sha256(text)"
+    return rf"""WITH n AS (SELECT conv_id, turn, replace(CASE WHEN regexp_replace(coalesce(role, ''), '[\r\n]+', ' ', 'g') = '' THEN '{UNKNOWN}'
+    ELSE regexp_replace(role, '[\r\n]+', ' ', 'g') END, '<|', '< |') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+  c AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY {order}) - 1) AS nth FROM n),
   p AS (SELECT DISTINCT conv_id AS of, speaker AS perspective FROM c WHERE speaker <> '{SYSTEM}'),
-  v AS (SELECT *, speaker = perspective AS own, CASE WHEN speaker = '{SYSTEM}' THEN '{START}system' WHEN speaker = perspective
+  v AS (SELECT *, nth // {piece_turns} AS piece, speaker = perspective AS own, CASE WHEN speaker = '{SYSTEM}' THEN '{START}system' WHEN speaker = perspective
       THEN '{START}assistant' ELSE '{START}user name=' || speaker END || chr(10) AS head FROM c JOIN p ON conv_id IS NOT DISTINCT FROM of),
   l AS (SELECT *, length(head) + length(text) + {len(END) + 1} AS size, sum(length(head) + length(text) + {len(END) + 1}) OVER (PARTITION BY conv_id, perspective, piece
-      ORDER BY turn NULLS FIRST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM v)
+      ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM v)
 SELECT conv_id, perspective, piece, count(*) AS n_turns,
-  string_agg(head || text || '{END}' || chr(10), '' ORDER BY turn NULLS FIRST, speaker, text) AS rendered,
-  coalesce(string_agg((upto - size + length(head)) || ':' || (upto - 1), ',' ORDER BY turn NULLS FIRST, speaker, text) FILTER (WHERE own), '') AS mask_spans,
+  string_agg(head || text || '{END}' || chr(10), '' ORDER BY nth) AS rendered,
+  coalesce(string_agg((upto - size + length(head)) || ':' || (upto - 1), ',' ORDER BY nth) FILTER (WHERE own), '') AS mask_spans,
   CAST(coalesce(sum(length(text) + {len(END)}) FILTER (WHERE own), 0) AS BIGINT) AS n_masked
 FROM l GROUP BY conv_id, perspective, piece"""
