@@ -61,3 +61,33 @@ def test_edge_cases(spark, model):
 def test_softmax_probabilities_are_a_distribution(model):
     p = model.probabilities(L.paragraph_words("Licensed under the Apache License"))
     assert abs(p.sum() - 1) < 1e-9 and len(p) == len(L.TEMPLATES) + 1
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+        "published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is licensed under the GNU Library General Public License, version 2.",
+        "Licensed under the Apache License, Version 1.1.",
+        "Licensed under CC BY-ND 4.0.",
+        "Licensed under CC BY-NC-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution 3.0 International License.",
+    ],
+)
+def test_other_licences_are_never_confirmed_as_a_known_one(model, text):
+    family, _, similarity = model.classify(text)
+    assert family == L.UNKNOWN or similarity < L.CONFIRM
+
+
+def test_sample_is_bounded_and_takes_rows_without_id(spark):
+    rows = [(i if i % 3 else None, f"An ordinary line of text number {i}\n" + "x" * 50) for i in range(900)] + [(None, None), (5000, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = L.sample_paragraphs(docs, 200)
+    assert len(lines) == 200 and all(line.startswith("An ordinary") for line in lines)
+    assert 40 <= sum(int(line.rsplit(" ", 1)[1]) % 3 == 0 for line in lines) <= 95
+    assert L.sample_paragraphs(docs, 200) == lines
+    assert L.sample_paragraphs(docs.limit(0), 5) == []
