@@ -1,4 +1,9 @@
-"""The corpus pipeline: five operators in a row, each over all its predecessor kept."""
+"""The corpus pipeline: five operators in a row, each over all its predecessor kept.
+
+All stages judge every row by itself, also where rows share an id or have none; a null text counts as empty; texts of
+any length are read whole; an empty table gives an empty one.  Columns of other names stay as they are, except that
+columns called mix_domain, mix_tokens or mix_epoch give way to those of the mixture.
+"""
 
 from __future__ import annotations
 
@@ -10,22 +15,22 @@ from tracewell.llm.common import stored, table
 
 
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; empty texts are scored like others."""
     return quality.drop_rejected(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays, of the smallest id."""
+    """Of equal texts one row stays: of the smallest id, without an id only where no row of the text has one."""
     return exact_dedup.drop_exact_rows(docs)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked fingerprints one row stays, of the smallest id."""
+    """Of linked fingerprints one row stays, of the smallest id; texts without words link with each other."""
     return simhash.drop_near_copies(docs)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated documents go; texts without words are clean."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -113,7 +113,8 @@ def exact_groups(
 def drop_exact_rows(docs: DataFrame, **options) -> DataFrame:
     """One row for each text, with all columns: of the smallest id, without an id only where no row of the text has one.
 
-    Rows that share an id, or have none, are judged each by itself.
+    Rows that share an id, or have none, are judged each by itself.  A null text counts as empty, texts of any length
+    are compared whole, and columns of any name stay as they are; an empty table stays empty.
     """
     groups = exact_groups(docs, **options)
     return keep_rows(docs, {"doc_id": F.col("doc_id"), "text_sha256": F.sha2(normalised(), 256)}, groups, "kept")

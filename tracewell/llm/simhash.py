@@ -249,7 +249,8 @@ def drop_near_copies(
 ) -> DataFrame:
     """One row of each group with all columns: of the smallest id, and of its rows the smallest fingerprint.
 
-    Rows that share an id, or have none, are judged each by itself.
+    Rows that share an id, or have none, are judged each by itself.  A null text counts as empty; texts without words
+    link with each other; of equal rows one stays.  Columns of any name stay as they are; an empty table stays empty.
     """
     placed = stored(_placed_rows(docs, words, distance, heavy), "simhash-placed")
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
