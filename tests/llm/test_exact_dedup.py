@@ -75,3 +75,48 @@ def test_hot_text_leaves_each_task_as_one_row(spark):
     groups = X.exact_groups(docs)
     assert groups.filter("keep_id = 0").count() == 1334
     assert groups.filter("kept").count() == 4000 - 1333
+
+
+def test_directory_doubles_as_far_as_the_keys_ask(spark):
+    """Keys that share their first 20 bits need more than 20 doublings; the other bucket stays shallow."""
+    shared = [(0b1011 << 60) | (k << 40) for k in range(4)]
+    keys = [(k - 2**64,) for k in shared] + [(5 << 40,)]
+    frame = spark.createDataFrame(keys, "hash_key long")
+    assert X.directory_depth(frame, 5) == 0
+    assert X.directory_depth(frame, 4) == 1
+    assert X.directory_depth(frame, 2) == 23
+    assert X.directory_depth(frame.limit(0), 2) == 0
+    depths = {r.bucket: r.depth for r in X.directory(frame.filter("hash_key < 0"), 2, 23).filter("depth = 23").collect()}
+    assert len(depths) == 2
+
+
+def test_another_directory_sends_rows_to_other_owners(spark):
+    rows = [(i, f"text {i % 200}") for i in range(400)]
+    keyed = frame(spark, rows).select("doc_id", X.normalised().alias("body")).withColumn("hash_key", X.hash_key(F.col("body")))
+    keys = keyed.groupBy("hash_key").agg(F.count("*").alias("n_rows"), F.min("doc_id").alias("first_id"))
+
+    def owners(capacity):
+        depth = X.directory_depth(keys, capacity)
+        slots = X.directory(keys, capacity, depth)
+        index = X.build_index(keyed, keys, slots, depth).collect()
+        assert sorted((r.keep_id, r.group_size) for r in index) == [(i, 2) for i in range(200)]
+        held = {}
+        for r in index:
+            held[r.bucket] = held.get(r.bucket, 0) + 1
+        assert max(held.values()) <= capacity
+        return {r.hash_key: r.owner for r in index}
+
+    wide, fine = owners(200), owners(3)
+    assert set(wide.values()) == {0}
+    assert len(set(fine.values())) > 8
+    ordered = sorted(fine, key=lambda k: k % 2**64)
+    assert [fine[k] for k in ordered] == sorted(fine.values())
+
+
+def test_copies_are_combined_before_they_reach_an_owner(spark):
+    texts = spark.range(8000, numPartitions=8).select(
+        F.lit(0).alias("owner"), F.lit(0).alias("bucket"), F.lit(0).alias("depth"), F.lit(1).cast("long").alias("hash_key"),
+        F.when(F.col("id") % 4 == 0, "b").otherwise("a").alias("body"), F.col("id").alias("doc_id"),
+    )
+    got = {(r.keep_id, r.group_size, r.chain_length, r.chain_text) for r in X.compare_in_owners(texts).collect()}
+    assert got == {(0, 2000, 2, "b"), (1, 6000, 2, "a")}
