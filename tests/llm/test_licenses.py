@@ -91,3 +91,32 @@ def test_sample_is_bounded_and_takes_rows_without_id(spark):
     assert 40 <= sum(int(line.rsplit(" ", 1)[1]) % 3 == 0 for line in lines) <= 95
     assert L.sample_paragraphs(docs, 200) == lines
     assert L.sample_paragraphs(docs.limit(0), 5) == []
+
+
+def _among(text, rng, count):
+    """The notice somewhere in ``count`` words of the given documents' kind."""
+    others = list(rng.choice("the of data a system in model text to with river and for water under this license free".split(), count))
+    at = int(rng.integers(0, count + 1))
+    return " ".join(others[:at] + [text] + others[at:])
+
+
+@pytest.mark.parametrize("count", [5, 20, 100, 5000])
+def test_notices_in_long_lines(model, count):
+    rng = np.random.default_rng(count)
+    right = total = 0
+    for family, templates in L.TEMPLATES.items():
+        for text in templates:
+            confirmed = {f for f, _, s in model.findings(_among(text, rng, count)) if s >= L.CONFIRM}
+            assert confirmed <= {family}
+            right += confirmed == {family}
+            total += 1
+    assert right / total >= 0.9
+
+
+def test_two_notices_in_one_line_and_other_versions_among_words(model):
+    rng = np.random.default_rng(1)
+    both = _among("Released under the MIT License.", rng, 60) + " " + _among("Licensed under CC BY 4.0.", rng, 60)
+    assert {f for f, _, s in model.findings(both) if s >= L.CONFIRM} == {"mit", "cc-by-4.0"}
+    assert L.scan_text(both, model)[:4] == (1, 1, 1, "cc-by-4.0,mit")
+    for other in ("This work is licensed under the GNU General Public License, version 2.", "Licensed under the Apache License, Version 1.1.", "Licensed under CC BY-ND 4.0."):
+        assert not [f for f in model.findings(_among(other, rng, 200)) if f[2] >= L.CONFIRM]
