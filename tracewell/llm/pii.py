@@ -3,9 +3,11 @@
 A Feistel network with a keyed round function permutes each value within its
 own format: payment card numbers (Luhn), telephone numbers, IPv4 addresses and
 calendar dates.  The permutation depends on key, kind and length alone, so equal
-values get equal pseudonyms in every document, in whatever layout they are
-written, and whoever has the key can turn them back (``restore``).  Values that
-fail validation are left as they are.  Only built-in functions are used; a
+values get equal pseudonyms in every document, in each of the layouts below, and
+whoever has the key can turn them back (``restore``).  Values that fail
+validation are left as they are.  A date by slashes is month first where that is
+a date, else day first; a day-first one is permuted until it can only be read so,
+so it is linked with its like, and with other layouts only where one step did it.  Only built-in functions are used; a
 document is rewritten in place, without a shuffle.
 """
 
@@ -21,11 +23,14 @@ ROUNDS = 8
 FIRST_DAY, HALF_DAYS = "1900-01-01", 270
 #: How values are written.
 DATE_ISO, DATE_DOTS, DATE_SLASHES = r"[0-9]{4}-[0-9]{2}-[0-9]{2}", r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}", r"[0-9]{2}/[0-9]{2}/[0-9]{4}"
+DATE_YEAR_SLASHES = r"[0-9]{4}/[0-9]{2}/[0-9]{2}"
 IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 PHONE = r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
+#: Other ways of writing ten national digits, with +1, 1 or neither before them, where no digits stand beside them.
+NATIONAL = r"(?<![0-9][ .-])(?:\+1[0-9]{10}|(?:\+?1[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![ .-]?[0-9])"
 _END = r"(?![0-9A-Za-z])"
 #: Values that start with a digit and are no card: a group of digits that starts one belongs to it.
-_OTHER = rf"(?:{'|'.join((DATE_ISO, DATE_DOTS, DATE_SLASHES, IPV4))}){_END}"
+_OTHER = rf"(?:{'|'.join((DATE_ISO, DATE_DOTS, DATE_SLASHES, DATE_YEAR_SLASHES, IPV4))}){_END}"
 #: Card groups by one kind of separator, besides four groups of four.
 _GROUPED = "|".join(
     rf"[0-9]{{4}}{s}[0-9]{{6}}{s}[0-9]{{4,5}}|[0-9]{{4}}{s}[0-9]{{5}}{s}[0-9]{{6}}|[0-9]{{4}}{s}[0-9]{{4}}{s}(?:[0-9]{{5}}|[0-9]{{4}}{s}(?!{_OTHER})[0-9]{{1,3}})|[0-9]{{4}}(?:{s}[0-9]{{3}}){{3}}"
@@ -37,22 +42,24 @@ FOURS = "|".join(
     rf"[0-9]{{4}}(?:{s}(?!{_OTHER})[0-9]{{4}}){{3}}{_END}(?:{s}(?!(?:{_OTHER}|(?:{_GROUPED}){_END}))[0-9]{{4}}{_END})*(?:{s}(?!{_OTHER})[0-9]{{1,3}}{_END})?" for s in " -"
 )
 BARE = "[0-9]{13,19}"
+#: Eight to fifteen digits after a plus, of another country than 1; the first two stay.
+ABROAD = rf"\+[2-9](?:(?:[ .-](?!{_OTHER}|(?:{FOUR}|{_GROUPED}|{BARE}){_END}))?[0-9]){{7,14}}"
 #: Any other grouping, where it stands alone and holds nothing that is a value by itself.
 LOOSE = rf"(?<![0-9][ -])(?!(?:[0-9]+[ -])*(?:{_OTHER}|{BARE}))(?!(?:[0-9]+[ -])+(?:{FOUR}|{_GROUPED}){_END})[0-9](?:[ -]?[0-9]){{12,18}}(?![ -]?[0-9])(?![./][0-9])"
 
 
 def _any(fours: str) -> str:
     """Any value, not inside a longer number or word; the first test spares most characters all others."""
-    shapes = (PHONE, DATE_ISO, DATE_DOTS, DATE_SLASHES, IPV4, fours, _GROUPED, BARE, LOOSE)
-    return rf"(?=[0-9+])(?<![0-9A-Za-z+])(?:{'|'.join(shapes)}){_END}"
+    shapes = (PHONE, NATIONAL, ABROAD, DATE_ISO, DATE_DOTS, DATE_SLASHES, DATE_YEAR_SLASHES, IPV4, fours, _GROUPED, BARE, LOOSE)
+    return rf"(?=[0-9+(])(?<![0-9A-Za-z+])(?:{'|'.join(shapes)}){_END}"
 
 
 #: How one value is written, and what is taken from a text: the same, but groups of four are not cut before their check digits are known.
 VALUE, SPAN = _any(FOUR), _any(FOURS)
 _MANY = r"^[0-9]{4}(?:[ -][0-9]{4}){3}[ -]"
-#: Steps of a walk; each one ends it with a chance of seven in ten or more.
+#: Steps of a walk; each one ends it with a chance of six in ten or more.
 WALK = 64
-_DATES = ((DATE_ISO, "yyyy-MM-dd"), (DATE_DOTS, "dd.MM.yyyy"), (DATE_SLASHES, "MM/dd/yyyy"))
+_DATES = ((DATE_ISO, "yyyy-MM-dd"), (DATE_DOTS, "dd.MM.yyyy"), (DATE_SLASHES, "MM/dd/yyyy"), (DATE_YEAR_SLASHES, "yyyy/MM/dd"))
 
 
 def _round(key: str, kind: Column, i: Column, half: Column) -> Column:
@@ -181,9 +188,17 @@ def _card_run(value: Column, key: str, restore: bool) -> Column:
 
 
 def _phone(value: Column, key: str, restore: bool) -> Column:
-    """The ten digits after +1."""
-    national = F.substring(_digits(value), F.lit(2), F.lit(10))
-    return _laid_out(value, F.concat(F.lit("1"), _permuted_digits(national, key, F.lit("phone"), restore)))
+    """The last ten digits; a 1 before them stays."""
+    digits = _digits(value)
+    code = F.length(digits) - 10
+    national = F.substring(digits, code + 1, F.lit(10))
+    return _laid_out(value, F.concat(F.substring(digits, F.lit(1), code), _permuted_digits(national, key, F.lit("phone"), restore)))
+
+
+def _abroad(value: Column, key: str, restore: bool) -> Column:
+    digits = _digits(value)
+    code, rest = F.substring(digits, 1, 2), F.substring(digits, F.lit(3), F.length(digits) - 2)
+    return _laid_out(value, F.concat(code, _permuted_digits(rest, key, F.concat(F.lit("phone"), code), restore)))
 
 
 def _address(value: Column, key: str, restore: bool) -> Column:
@@ -192,20 +207,41 @@ def _address(value: Column, key: str, restore: bool) -> Column:
     half = F.lit(65536).cast("long")
     moved = feistel(p[0] * 256 + p[1], p[2] * 256 + p[3], half, half, key, F.lit("ipv4"), restore)
     out = F.concat_ws(".", *[x.cast("string") for h in ("a", "b") for x in (F.floor(moved[h] / 256), moved[h] % 256)])
-    return F.when(F.array_max(part) <= 255, out).otherwise(value)
+    return F.when((F.array_max(part) <= 255) & ~value.rlike(r"(?:^|\.)0[0-9]"), out).otherwise(value)
 
 
-def _date(value: Column, pattern: str, key: str, restore: bool) -> Column:
-    days = F.datediff(F.try_to_date(value, pattern), F.lit(FIRST_DAY).cast("date"))
+def _moved_day(days: Column, key: str, restore: bool) -> Column:
+    """Days since the first day, permuted."""
     half = F.lit(HALF_DAYS).cast("long")
     moved = feistel(F.floor(days / HALF_DAYS), days % HALF_DAYS, half, half, key, F.lit("date"), restore)
-    day = F.date_add(F.lit(FIRST_DAY).cast("date"), (moved["a"] * HALF_DAYS + moved["b"]).cast("int"))
+    return (moved["a"] * HALF_DAYS + moved["b"]).cast("int")
+
+
+def _date(value: Column, pattern: str, key: str, restore: bool) -> Column:
+    first = F.lit(FIRST_DAY).cast("date")
+    days = F.datediff(F.try_to_date(value, pattern), first)
+    day = F.date_add(first, _moved_day(days, key, restore))
     return F.when(days.between(0, HALF_DAYS * HALF_DAYS - 1), F.date_format(day, pattern)).otherwise(value)
 
 
+def _day_first(value: Column, key: str, restore: bool) -> Column:
+    """A date by slashes that can't be read month first, as another such date."""
+    first = F.lit(FIRST_DAY).cast("date")
+    days = F.datediff(F.try_to_date(value, "dd/MM/yyyy"), first)
+
+    def step(s: Column, _: Column) -> Column:
+        once = F.transform(F.array(_moved_day(s["v"], key, restore)), lambda v: F.struct(v.alias("v"), (F.dayofmonth(F.date_add(first, v)) <= 12).alias("on")))
+        return F.when(s["on"], once[0]).otherwise(s)
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(days.alias("v"), F.lit(True).alias("on")), step, lambda s: s["v"])
+    return F.when(days.between(0, HALF_DAYS * HALF_DAYS - 1), F.date_format(F.date_add(first, walked), "dd/MM/yyyy")).otherwise(value)
+
+
 def pseudonym(value: Column, key: str, restore: bool = False) -> Column:
     """The pseudonym of one value as ``VALUE`` finds it (no row of groups longer than a card), or the value itself where it is not valid."""
     out = F.when(value.rlike(f"^{PHONE}$"), _phone(value, key, restore)).when(value.rlike(f"^{IPV4}$"), _address(value, key, restore))
+    out = out.when(value.rlike(f"^(?:{NATIONAL})$"), _phone(value, key, restore)).when(value.startswith("+"), _abroad(value, key, restore))
+    out = out.when(value.rlike(f"^{DATE_SLASHES}$") & F.try_to_date(value, "MM/dd/yyyy").isNull(), _day_first(value, key, restore))
     for shape, pattern in _DATES:
         out = out.when(value.rlike(f"^{shape}$"), _date(value, pattern, key, restore))
     return out.otherwise(_card(value, key, restore))
