@@ -97,18 +97,19 @@ def contains_pairs(
         *group, needle_id, "__needle", F.explode(F.array_distinct(by_tier)).alias("__gram")
     )
     text_grams = F.explode(F.array_distinct(F.concat(*[F.col(f"__g{t}") for t in used]))).alias("__gram")
+    # the planner judges exploded grams by the files they come from and would broadcast them: hence the hints
     useful = needle_rows.select("__gram").distinct()
-    text_rows = _with_grams(texts, text, [*group, text_id], used[-1]).select(*group, text_id, text_grams).join(useful, "__gram", "left_semi")
+    text_rows = _with_grams(texts, text, [*group, text_id], used[-1]).select(*group, text_id, text_grams).join(useful.hint("merge"), "__gram", "left_semi")
     frequency = text_rows.groupBy("__gram").agg(F.count(F.lit(1)).alias("__df"))
     probes = (
-        needle_rows.join(frequency, "__gram", "left")
+        needle_rows.join(frequency.hint("merge"), "__gram", "left")
         .groupBy(*group, needle_id, "__needle")
         .agg(F.min(F.struct(F.coalesce("__df", F.lit(0)).alias("df"), F.col("__gram").alias("gram"))).alias("__probe"))
         .filter(F.col("__probe.df") > 0)
         .select(*group, needle_id, "__needle", F.col("__probe.gram").alias("__gram"))
     )
-    candidates = text_rows.join(probes, [*group, "__gram"]).select(*group, text_id, needle_id, "__needle")
-    verified = candidates.join(texts.select(*group, text_id, F.col(text).alias("__text")), [*group, text_id]).filter(
+    candidates = text_rows.hint("merge").join(probes, [*group, "__gram"]).select(*group, text_id, needle_id, "__needle")
+    verified = candidates.hint("merge").join(texts.select(*group, text_id, F.col(text).alias("__text")), [*group, text_id]).filter(
         F.contains(F.col("__text"), F.col("__needle"))
     )
     return verified.select(*group, text_id, needle_id).distinct()
