@@ -150,3 +150,36 @@ def test_user_text_across_messages(spark):
     assert {r.sid: sorted(r.g) for r in J.session_grams(messages, 3, "g").collect()} == {"s": ["ab"]}
     sessions = spark.createDataFrame([("s", "x"), ("t", "y")], "sid string, title string")
     assert [r.sid for r in J.zero_user_sessions(sessions, messages).collect()] == ["t"]
+
+
+@pytest.mark.parametrize("rows, tile, bitmap", [(7, 2, 32_768), (1000, 5, 0), (1000, 2048, 32_768)])
+def test_blocks_equal_brute_force_within_groups(spark, monkeypatch, rows, tile, bitmap):
+    from tracewell.plans import similar
+
+    monkeypatch.setattr(similar, "BLOCK_ROWS", rows)
+    rng = random.Random(4)
+    words = list(range(-60, 60))
+    sets = {}
+    for i in range(90):
+        near = sets.get(f"s{rng.randrange(90):02d}")
+        grams = set(near[1]) if near and rng.random() < 0.6 else set(rng.sample(words, rng.randrange(1, 60)))
+        grams -= set(rng.sample(words, 3))
+        sets[f"s{i:02d}"] = (i % 2, grams or {7})
+    df = spark.createDataFrame([(g, k, sorted(v), len(v)) for k, (g, v) in sets.items()], "g int, cls string, grams array<bigint>, n int")
+    for t in (0.5, 0.8, 0.9):
+        want = {(a, b) for a, (g, x) in sets.items() for b, (h, y) in sets.items() if a < b and g == h and _jac(x, y) >= t - 1e-12}
+        found = similar._blocks(df, ["g"], t, []).toPandas()
+        got, forest = set(), []
+        monkeypatch.setattr(similar, "TILE", tile)
+        monkeypatch.setattr(similar, "BITMAP_GRAMS", bitmap)
+        for _, part in found.groupby(["g", "band", "x", "y"]):
+            pairs = [tuple(r) for r in similar._compared(t, [], False)(part)[["a", "b"]].to_numpy()]
+            assert len(pairs) == len(set(pairs)) and not got & set(pairs)
+            got |= set(pairs)
+            forest += [tuple(r) for r in similar._compared(t, [], True)(part)[["a", "b"]].to_numpy()]
+        assert got == want and set(forest) <= want and len(want) > 5
+        label = {k: k for k in sets}
+        for a, b in forest * 30:
+            label[a] = label[b] = min(label[a], label[b])
+        assert all(label[a] == label[b] for a, b in want)  # the forest links all that is similar
+        assert {(r.a, r.b) for r in similar.class_pairs(df, t, ["g"]).collect()} == want

@@ -143,11 +143,9 @@ def similar_pairs(items: DataFrame, threshold: float = BAND_THRESHOLD, group: Se
     group = list(group)
     members, classes = _classes(items, group, ["grams"])
     copies = members.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"))
-    pairs = similar.class_pairs(classes, threshold, group)
+    pairs = similar.class_pairs(classes.join(copies, "cls"), threshold, group, keep=["copies"])
     return (
-        pairs.join(copies.select(F.col("cls").alias("a"), F.col("copies").alias("a_copies")), "a")
-        .join(copies.select(F.col("cls").alias("b"), F.col("copies").alias("b_copies")), "b")
-        .select(
+        pairs.select(
             "a",
             "b",
             "a_copies",

@@ -3,19 +3,14 @@
 Grams are 64-bit hashes.  Equal sets are collapsed to one class first, so a mass of copies costs one
 comparison.
 
-From ``PARTS_FROM`` on classes meet through parts of their sets.  Two sets with Jaccard >= t differ in
-at most D = (1 - t) / (1 + t) (|x| + |y|) grams.  With the grams dealt into more than D parts by their hash,
-some part is equal, so its hash is a key both have.  Unrelated sets differ in so many grams that parts are seldom
-equal, whatever the grams' frequencies: rare grams that all texts of one language share do not bring them together.
-Sizes are handled by bands: D and the number of parts follow from the band, and a class has keys of its own band and of
-the next.  Keys carry a parity sketch of the whole set, a lower bound of the difference, so hardly any but similar
-sets are looked at more closely.
-
-Below ``PARTS_FROM`` parts would be too small to tell sets apart; there classes are compared by prefix
-filtering: two sets with Jaccard >= t share a gram among the rarest ``n - ceil(t n) + 1`` of each.
-
-Clusters do not need all pairs: every class is first compared with one leader per key; only classes
-still in different components after that are compared with each other.
+Classes are dealt into blocks by size: sets with Jaccard >= t have sizes in one band or in neighbouring ones.
+Every pair of blocks that may hold similar sets is one group of a grouped map.  Inside, a product of parity
+sketches bounds the difference of all sets of two tiles at once, and only what passes is counted gram by gram.  Where most
+sets share most of their grams (character bigrams of one language) no key of few grams separates them, so the
+comparisons grow with the square of a band; a comparison is a few hundred multiplications of a matrix product.
+
+Clusters do not need all pairs: a group of blocks returns the links of a spanning forest, and sets that are
+linked already are not compared again.
 """
 
 from __future__ import annotations
@@ -23,6 +18,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,13 +28,13 @@ from tracewell.session import materialize
 
 Verify = Callable[[Column, Column], Column]
 _EPS = 1e-9
-#: Words of the bitmap carried with every prefix row.
-WORDS = 16
-#: Thresholds from here on are joined by parts.
-PARTS_FROM = 0.85
-#: Words of the parity sketch carried with every part key.
-SKETCH = 4
-_ROW = ("cls", "n", "own", "sketch")
+#: Grams and classes that a block holds at most, about (two blocks meet in a task).
+BLOCK_GRAMS = 6_000_000
+BLOCK_ROWS = 32_768
+#: Classes of a side that are compared at once.
+TILE = 2048
+#: Different grams up to which the sets of a task are held as bitmaps.
+BITMAP_GRAMS = 32_768
 
 
 def with_class(sets: DataFrame, group: Sequence[str], arrays: Sequence[str]) -> DataFrame:
@@ -47,49 +44,6 @@ def with_class(sets: DataFrame, group: Sequence[str], arrays: Sequence[str]) ->
     return sets.withColumn("class_key", F.concat_ws("-", *halves))
 
 
-def _sketch() -> list[Column]:
-    """Bitmap of a set's grams as 64-bit words (aggregates over gram rows)."""
-    place = f"pmod(xxhash64(gram), {64 * WORDS})"
-    return [
-        F.expr(f"bit_or(CASE WHEN {place} DIV 64 = {w} THEN shiftleft(1L, CAST({place} % 64 AS INT)) ELSE 0L END)").alias(f"b{w}")
-        for w in range(WORDS)
-    ]
-
-
-def _prefix_rows(classes: DataFrame, group: Sequence[str], threshold: float) -> DataFrame:
-    """(group, gram, cls, n, pos, b0..): the rarest grams of every class, pos by rarity, with the set's bitmap."""
-    group = list(group)
-    rows = classes.select(*group, "cls", "n", F.explode("grams").alias("gram"))
-    frequency = rows.groupBy(*group, "gram").agg(F.count(F.lit(1)).alias("df"))
-    ordered = (
-        rows.join(frequency, [*group, "gram"])
-        .groupBy(*group, "cls", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("ranked"), *_sketch())
-    )
-    keep = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(_EPS)) + 1).cast("int")
-    bits = [f"b{w}" for w in range(WORDS)]
-    return ordered.select(*group, "cls", "n", *bits, F.posexplode(F.slice("ranked", F.lit(1), keep)).alias("pos", "r")).select(
-        *group, F.col("r.gram").alias("gram"), "cls", "n", "pos", *bits
-    )
-
-
-def _may_match(threshold: float) -> Column:
-    """Size, position and bitmap bounds for rows x and y that share a gram.
-
-    Every bit that differs needs a gram held by one side only, so the bitmap
-    distance never exceeds the symmetric difference of the sets.
-    """
-    nx, ny, px, py = F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")
-    need = F.ceil((nx + ny) * F.lit(threshold / (1 + threshold)) - F.lit(_EPS))
-    reach = F.least(px, py) + 1 + F.least(nx - px - 1, ny - py - 1)
-    apart = None
-    for w in range(WORDS):
-        d = F.bit_count(F.col(f"x.b{w}").bitwiseXOR(F.col(f"y.b{w}")))
-        apart = d if apart is None else apart + d
-    sizes = F.least(nx, ny) >= F.greatest(nx, ny) * F.lit(threshold) - F.lit(_EPS)
-    return sizes & (reach >= need) & (apart <= nx + ny - 2 * need)
-
-
 def _verify(pairs: DataFrame, classes: DataFrame, threshold: float, extra: Verify | None) -> DataFrame:
     """Keep pairs (a, b) whose sets reach the threshold; adds j."""
     columns = [c for c in classes.columns if c not in ("n",)]
@@ -105,152 +59,168 @@ def _verify(pairs: DataFrame, classes: DataFrame, threshold: float, extra: Verif
     return out.select("a", "b", "j")
 
 
-def _parity() -> Column:
-    """Sketch of a set: bit i is the parity of the number of grams that hash to i; SKETCH words."""
-
-    def word(w: int) -> Column:
-        def toggled(state: Column, gram: Column) -> Column:
-            place = F.pmod(F.xxhash64(gram), F.lit(64 * SKETCH))
-            bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
-            return F.when(F.floor(place / 64) == w, state.bitwiseXOR(bit)).otherwise(state)
-
-        return F.aggregate("grams", F.lit(0).cast("long"), toggled)
-
-    return F.struct(*[word(w).alias(f"w{w}") for w in range(SKETCH)])
-
-
-def part_keys(classes: DataFrame, group: Sequence[str], threshold: float) -> DataFrame:
-    """(group, key, cls, n, own, sketch): keys of all parts of every class; ``own`` tells those of its own size band."""
+def _blocks(classes: DataFrame, group: Sequence[str], threshold: float, keep: Sequence[str]) -> DataFrame:
+    """Classes once for every pair of blocks (``at``) in which they are compared, ``second`` for rows of its second block."""
     step = math.log(1 / threshold) * (1 + 1e-9)  # sizes that may match are at most one band apart
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step))
-    places = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own"))))
-    rows = classes.select(*group, "cls", "n", "grams", _parity().alias("sketch")).select("*", places.alias("at"))
-    largest = F.floor(F.exp((F.col("at.band") + 1) * F.lit(step)))
-    parts = (F.floor(2 * largest * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6)) + 1).cast("long")
-
-    def key(part: Column) -> Column:
-        held = F.filter("grams", lambda g: F.pmod(g, F.col("parts")) == part)
-        return F.xxhash64("at.band", part, F.aggregate(held, F.lit(0).cast("long"), lambda a, g: a.bitwiseXOR(g)))
-
-    keys = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), key)
-    return rows.withColumn("parts", parts).select(*group, F.explode(keys).alias("key"), "cls", "n", "at.own", "sketch")
-
-
-def _comparable(threshold: float) -> Column:
-    """Rows x and y of one key that are not better compared in another band, with sizes and sketches that may match."""
-    nx, ny = F.col("x.n"), F.col("y.n")
-    need = F.ceil((nx + ny) * F.lit(threshold / (1 + threshold)) - F.lit(_EPS))
-    apart = F.lit(0)
-    for w in range(SKETCH):
-        apart = apart + F.bit_count(F.col(f"x.sketch.w{w}").bitwiseXOR(F.col(f"y.sketch.w{w}")))
-    sizes = F.least(nx, ny) >= F.greatest(nx, ny) * F.lit(threshold) - F.lit(_EPS)
-    return (F.col("x.own") | F.col("y.own")) & sizes & (apart <= nx + ny - 2 * need)
-
-
-def _ordered_pairs(joined: DataFrame) -> DataFrame:
-    return joined.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-
-
-def shared_keys(classes: DataFrame, group: Sequence[str], threshold: float) -> DataFrame:
-    """Part keys that several classes have, each with ``lead``, one of these classes."""
-    group = list(group)
-    keys = materialize(part_keys(classes, group, threshold))
-    held = keys.groupBy(*group, "key").agg(F.min(F.struct(*_ROW)).alias("lead"), F.count(F.lit(1)).alias("held"))
-    return materialize(keys.join(held.filter("held > 1").drop("held"), [*group, "key"]))
-
-
-def part_candidates(classes: DataFrame, threshold: float, group: Sequence[str] = ()) -> DataFrame:
-    """(a, b), a < b: all classes that share a key and may match."""
-    met = shared_keys(classes, group, threshold).drop("lead")
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in [*group, "key"]]
-    return _ordered_pairs(met.alias("x").join(met.alias("y"), [*same, F.col("x.cls") < F.col("y.cls"), _comparable(threshold)]))
-
-
-def _part_clusters(classes: DataFrame, threshold: float, group: Sequence[str], extra: Verify | None) -> DataFrame:
-    group = list(group)
-    met = shared_keys(classes, group, threshold)
-    follows = F.col("cls") != F.col("lead.cls")
-    led = met.filter(follows).select(F.struct(*_ROW).alias("x"), F.col("lead").alias("y")).filter(_comparable(threshold))
-    first = materialize(_verify(_ordered_pairs(led), classes, threshold, extra).select("a", "b"))
-    labels = connected_components(first)
-    named = materialize(
-        met.filter(follows)  # the leader has met all others
-        .join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left")
-        .select(*group, "key", *_ROW, F.coalesce("component", "cls").alias("component"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).alias("band")
+    rows = classes.select(*group, "cls", *keep, "grams", F.col("n").cast("long").alias("n"), band)
+    held = rows.groupBy(*group, "band").agg(F.sum("n").alias("grams"), F.count(F.lit(1)).alias("rows"))
+    slots = held.select(*group, "band", F.ceil(F.greatest(F.col("grams") / BLOCK_GRAMS, F.col("rows") / BLOCK_ROWS)).alias("slots"))
+    slots = materialize(slots)
+    near = lambda shift, name: slots.select(*group, (F.col("band") + shift).alias("band"), F.col("slots").alias(name))
+    around = slots.join(near(1, "below"), [*group, "band"], "left").join(near(-1, "above"), [*group, "band"], "left")
+    own = F.pmod(F.xxhash64("cls"), F.col("slots"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def met(count: Column, band: Column, pair: Callable, second: Callable) -> Column:
+        places = F.when(count > 0, F.sequence(zero, count - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(places, lambda o: F.struct(band.alias("band"), pair(o)[0].alias("x"), pair(o)[1].alias("y"), second(o).alias("second")))
+
+    placed = rows.join(around, [*group, "band"]).withColumn("own", own)
+    mine = F.col("own")
+    kinds = F.concat(
+        # bands count twice: even numbers are pairs inside a band, odd ones with the next
+        met(F.col("slots"), F.col("band") * 2, lambda o: (F.least(mine, o), F.greatest(mine, o)), lambda o: mine > o),
+        met(F.coalesce("above", zero), F.col("band") * 2 + one, lambda o: (mine, o), lambda o: F.lit(False)),
+        met(F.coalesce("below", zero), F.col("band") * 2 - one, lambda o: (o, mine), lambda o: F.lit(True)),
     )
-    mixed = named.groupBy(*group, "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    apart = materialize(named.join(mixed.drop("lo", "hi"), [*group, "key"]))
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in [*group, "key"]]
-    crossing = _ordered_pairs(
-        apart.alias("x").join(apart.alias("y"), [*same, F.col("x.component") < F.col("y.component"), _comparable(threshold)])
+    return placed.select(*group, F.explode(kinds).alias("at"), "cls", *keep, "grams").select(
+        *group, "at.band", "at.x", "at.y", "at.second", "cls", *keep, "grams"
     )
-    second = materialize(_verify(crossing, classes, threshold, extra).select("a", "b"))
-    if second.isEmpty():
-        return labels.withColumnRenamed("node", "cls")
-    return connected_components(first.unionByName(second)).withColumnRenamed("node", "cls")
 
 
-def class_pairs(classes: DataFrame, threshold: float, group: Sequence[str] = (), extra: Verify | None = None) -> DataFrame:
-    """All pairs (a < b, j) of distinct classes at or above the threshold.
+class _Sets:
+    """Sets of a task in order of size, for comparison in tiles."""
+
+    def __init__(self, rows: pd.DataFrame, threshold: float) -> None:
+        self.rows, self.t = rows, threshold
+        self.n = rows["grams"].map(len).to_numpy()
+        self.vocabulary, grams = np.unique(np.concatenate(rows["grams"].to_numpy()), return_inverse=True)
+        self.ends = np.concatenate([[0], np.cumsum(self.n)])
+        self.grams = grams.astype(np.int32)
+        self.bits = 256
+        while self.bits < min(self.n.max() * (0.7 if threshold >= 0.85 else 3), 4096):
+            self.bits *= 2
+        mixed = (self.vocabulary.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+        self.place = (mixed % np.uint64(self.bits)).astype(np.int64)
+        self.sketch = np.empty((len(rows), self.bits), np.int8)
+        wide = len(self.vocabulary) > BITMAP_GRAMS
+        self.map = None if wide else np.empty((len(rows), -(-len(self.vocabulary) // 64)), np.uint64)
+        for at in range(0, len(rows), TILE):
+            part = slice(at, min(at + TILE, len(rows)))
+            size = part.stop - at
+            held = self.grams[self.ends[at] : self.ends[part.stop]]
+            row = np.repeat(np.arange(size), self.n[part])
+            odd = np.bincount(row * self.bits + self.place[held], minlength=size * self.bits) & 1
+            self.sketch[part] = (1 - 2 * odd).reshape(size, self.bits)
+            if not wide:
+                dense = np.zeros((size, self.map.shape[1] * 64), np.uint8)
+                dense[row, held] = 1
+                self.map[part] = np.packbits(dense, axis=1).view(np.uint64)
+
+    def tile(self, rows: np.ndarray, first: bool) -> np.ndarray:
+        """Sketches with two more columns, so that a product is at least ``bits`` where the sets may match."""
+        size, one = 2 * (1 - self.t) / (1 + self.t) * self.n[rows], np.ones(len(rows))
+        more = (size, one) if first else (one, size)
+        return np.column_stack([self.sketch[rows], *more]).astype(np.float32)
+
+    def jaccard(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        if self.map is not None:
+            both = np.concatenate([np.zeros(0, np.int64), *[np.bitwise_count(self.map[i[c : c + 50_000]] & self.map[j[c : c + 50_000]]).sum(1) for c in range(0, len(i), 50_000)]])
+        else:
+            of = lambda k: self.grams[self.ends[k] : self.ends[k + 1]]
+            both = np.array([len(np.intersect1d(of(a), of(b), assume_unique=True)) for a, b in zip(i, j)], np.int64)
+        both = both.astype(np.int64)
+        return both / (self.n[i] + self.n[j] - both)
+
+
+def _unlinked(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) link what was apart; ``label`` follows."""
+    parent = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    new = np.zeros(len(i), bool)
+    for k, (a, b) in enumerate(zip(label[i].tolist(), label[j].tolist())):
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            new[k] = True
+    if parent:
+        known, place = np.unique(label, return_inverse=True)
+        label[:] = np.array([root(x) for x in known.tolist()])[place]
+    return new
+
+
+def _compared(threshold: float, keep: Sequence[str], forest: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    names = ["a", "b", "j", *[f"a_{c}" for c in keep], *[f"b_{c}" for c in keep]]
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        # of blocks that meet themselves only, no row is second
+        rows = rows.iloc[np.argsort(rows["grams"].map(len).to_numpy(), kind="stable")].reset_index(drop=True)
+        second = rows["second"].to_numpy(bool)
+        inside = rows["x"].iat[0] == rows["y"].iat[0] and rows["band"].iat[0] % 2 == 0
+        if len(rows) < 2 or not inside and (second.all() or not second.any()):
+            return pd.DataFrame({c: pd.Series([], dtype=object if c in "ab" else float if c == "j" else rows[c[2:]].dtype) for c in names})
+        sets, label, found = _Sets(rows, threshold), np.arange(len(rows)), []
+        left = np.arange(len(rows)) if inside else np.flatnonzero(~second)
+        right = left if inside else np.flatnonzero(second)
+        for x in range(0, len(left), TILE):
+            xs = left[x : x + TILE]
+            tile = sets.tile(xs, True)
+            for y in range(x if inside else 0, len(right), TILE):
+                ys = right[y : y + TILE]
+                if sets.n[xs[-1]] < threshold * sets.n[ys[0]] - _EPS or sets.n[ys[-1]] < threshold * sets.n[xs[0]] - _EPS:
+                    continue
+                i, j = np.nonzero(tile @ sets.tile(ys, False).T >= sets.bits - 0.5)
+                i, j = xs[i], ys[j]
+                left_over = (i < j) if inside else np.ones(len(i), bool)
+                if forest:
+                    left_over &= label[i] != label[j]
+                i, j = i[left_over], j[left_over]
+                value = sets.jaccard(i, j)
+                good = value >= threshold - 1e-12
+                i, j, value = i[good], j[good], value[good]
+                if forest and len(i):
+                    good = _unlinked(label, i, j)
+                    i, j, value = i[good], j[good], value[good]
+                found.append((i, j, value))
+        i, j, value = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int),) * 3
+        cls = rows["cls"].to_numpy(object)
+        swap = cls[i] > cls[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        more = {f"{side}_{c}": rows[c].to_numpy()[k] for side, k in (("a", i), ("b", j)) for c in keep}
+        ids = {"a": pd.Series(cls[i], dtype=object), "b": pd.Series(cls[j], dtype=object)}
+        return pd.DataFrame({**ids, "j": value.astype(float), **more})[names]
+
+    return compare
+
+
+def _met(classes: DataFrame, threshold: float, group: Sequence[str], keep: Sequence[str] = (), forest: bool = False) -> DataFrame:
+    kind = dict(classes.dtypes)
+    schema = f"a {kind['cls']}, b {kind['cls']}, j double" + "".join(f", {side}_{c} {kind[c]}" for side in "ab" for c in keep)
+    blocks = _blocks(classes, list(group), threshold, keep)
+    return blocks.groupBy(*group, "band", "x", "y").applyInPandas(_compared(threshold, keep, forest), schema)
+
+
+def class_pairs(
+    classes: DataFrame, threshold: float, group: Sequence[str] = (), extra: Verify | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """All pairs (a < b, j) of distinct classes at or above the threshold, with columns to ``keep`` as a_ and b_.
 
     ``classes`` has group columns, cls, grams (distinct, not empty) and n.
     """
-    group = list(group)
-    if threshold >= PARTS_FROM:
-        return _verify(part_candidates(classes, threshold, group), classes, threshold, extra)
-    prefix = _prefix_rows(classes, group, threshold)
-    candidates = (
-        prefix.alias("x")
-        .join(
-            prefix.alias("y"),
-            [F.col(f"x.{c}") == F.col(f"y.{c}") for c in [*group, "gram"]]
-            + [F.col("x.cls") < F.col("y.cls"), _may_match(threshold)],
-        )
-        .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-        .distinct()
-    )
-    return _verify(candidates, classes, threshold, extra)
+    pairs = _met(classes, threshold, group, keep)
+    return pairs if extra is None else _verify(pairs.select("a", "b"), classes, threshold, extra)
 
 
 def class_clusters(
     classes: DataFrame, threshold: float, group: Sequence[str] = (), extra: Verify | None = None
 ) -> DataFrame:
     """(cls, component) for classes that have a partner; others are absent."""
-    group = list(group)
-    if threshold >= PARTS_FROM:
-        return _part_clusters(classes, threshold, group, extra)
-    prefix = materialize(_prefix_rows(classes, group, threshold))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1 / threshold))).alias("band")
-    banded = prefix.select(*prefix.columns, band)
-    bits = [f"b{w}" for w in range(WORDS)]
-    leaders = banded.groupBy(*group, "gram", "band").agg(F.min(F.struct("cls", "n", "pos", *bits)).alias("lead"))
-    led = (
-        banded.alias("x")
-        .join(
-            leaders.select(*group, "gram", "band", "lead.*").alias("y"),
-            [F.col(f"x.{c}") == F.col(f"y.{c}") for c in [*group, "gram", "band"]]
-            + [F.col("x.cls") != F.col("y.cls"), _may_match(threshold)],
-        )
-        .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
-        .distinct()
-    )
-    first = materialize(_verify(led, classes, threshold, extra).select("a", "b"))
-    labels = connected_components(first)
-    named = prefix.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn(
-        "component", F.coalesce("component", "cls")
-    )
-    crossing = (
-        named.alias("x")
-        .join(
-            named.alias("y"),
-            [F.col(f"x.{c}") == F.col(f"y.{c}") for c in [*group, "gram"]]
-            + [F.col("x.component") < F.col("y.component"), _may_match(threshold)],
-        )
-        .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
-        .distinct()
-    )
-    second = materialize(_verify(crossing, classes, threshold, extra).select("a", "b"))
-    if second.limit(1).count() == 0:
-        return labels.withColumnRenamed("node", "cls")
-    edges = first.unionByName(second)
-    return connected_components(edges).withColumnRenamed("node", "cls")
+    links = _met(classes, threshold, group, forest=True) if extra is None else class_pairs(classes, threshold, group, extra)
+    return connected_components(materialize(links.select("a", "b"))).withColumnRenamed("node", "cls")
