@@ -183,3 +183,22 @@ def test_blocks_equal_brute_force_within_groups(spark, monkeypatch, rows, tile,
             label[a] = label[b] = min(label[a], label[b])
         assert all(label[a] == label[b] for a, b in want)  # the forest links all that is similar
         assert {(r.a, r.b) for r in similar.class_pairs(df, t, ["g"]).collect()} == want
+
+
+@pytest.mark.parametrize("prefix", [4, 4096])
+def test_candidate_clusters_list_no_pairs(spark, monkeypatch, prefix):
+    rng = random.Random(5)
+    names = [f"{c}{d}" for c in "abcdef" for d in "xyz"]
+    pick = lambda n: sorted(rng.sample(names, rng.randrange(n)))
+    rows = [(f"s{i:03d}", pick(9), pick(12), sorted(rng.sample(["t1", "t2", "t3"], rng.randrange(3)))) for i in range(150)]
+    rows += [("n", ["ax", "by"], None, ["t1"]), ("n2", ["ax", "by"], None, None)]
+    df = spark.createDataFrame(rows, "sid string, title_grams array<string>, first_grams array<string>, tools array<string>")
+    want = {(r.seed, r.sid, r.sim, r.size) for r in J.seed_clusters(J.candidate_pairs(df)).collect()}
+    for name, value in (("PREFIX", prefix), ("TILE", 16), ("COLUMNS", 5), ("BLOCK_ROWS", 40)):
+        monkeypatch.setattr(J.alike, name, value)
+    raised = lambda *a, **b: pytest.fail("pairs were listed")
+    for name in ("candidate_pairs", "connected_components"):
+        monkeypatch.setattr(J, name, raised)
+    got = {(r.seed, r.sid, r.sim, r.size) for r in J.candidate_clusters(df).collect()}
+    assert got == want and len({r[0] for r in got}) > 3
+    assert J.candidate_clusters(df.limit(0)).count() == 0

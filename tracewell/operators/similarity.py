@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import rules as R
 from tracewell.functions import text
 from tracewell.operators import steps as ST
-from tracewell.plans import similar
+from tracewell.plans import alike, similar
 from tracewell.plans.components import connected_components
 from tracewell.plans.contains import contains_pairs
 from tracewell.plans.scan import Running, running_scan, seq_block
@@ -207,23 +207,6 @@ def candidate_features(
     )
 
 
-def _feature_keys(features: DataFrame, column: str, with_tools: float, without: float) -> DataFrame:
-    """(sid, feature, gram, sizes) of the grams through which a session's pairs can reach the similarity by this feature.
-
-    Sets of Jaccard >= t share one of the rarest ``n - ceil(t n) + 1`` grams of each; sessions with tools
-    need a lower t, as the tools may add their whole weight.
-    """
-    rows = features.select("sid", "sizes", F.size(column).alias("n"), F.explode(column).alias("gram"))
-    counted = rows.join(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "gram")
-    rank = F.row_number().over(Window.partitionBy("sid").orderBy("held", "gram"))
-    least = F.when(F.col("sizes.tools") > 0, F.lit(with_tools)).otherwise(F.lit(without))
-    keep = F.col("n") - F.greatest(F.ceil(F.col("n") * least - F.lit(1e-9)), F.lit(1)) + 1
-    # grams that no other session has are the rarest of all and key nothing
-    shared = counted.groupBy("sid").agg(F.count(F.lit(1)).alias("shared"))
-    ranked = counted.join(shared, "sid").withColumn("rank", rank + F.col("n") - F.col("shared"))
-    return ranked.filter(F.col("rank") <= keep).select("sid", F.lit(column).alias("feature"), "gram", "sizes")
-
-
 def _may_reach(weights: dict[str, float], min_sim: float) -> Column:
     """Whether the sizes of rows x and y allow the similarity: a Jaccard is at most the ratio of the sizes."""
     top, base = F.lit(0.0), F.lit(0.0)
@@ -236,6 +219,11 @@ def _may_reach(weights: dict[str, float], min_sim: float) -> Column:
     return (base > 0) & (top >= base * min_sim - F.lit(1e-9))
 
 
+def _weights(weights: dict[str, float] | None) -> dict[str, float]:
+    merged = {**WEIGHTS, **(weights or {})}
+    return {c: float(merged[n]) for n, c in _FEATURES.items()}
+
+
 def candidate_pairs(
     features: DataFrame, weights: dict[str, float] | None = None, min_sim: float = MIN_SIM, max_posting: int | None = None
 ) -> DataFrame:
@@ -244,37 +232,21 @@ def candidate_pairs(
     ``max_posting`` leaves out grams that more sessions hold; there is no limit
     by default.  Features missing on either side drop out of the weights.
 
-    Sessions that have both title and opening meet through rare grams of one of the two: what the other features can
-    add at most tells how similar these must be, and sizes alone rule many pairs out before they are built.
-    Where a session lacks one of the two, tools may carry a pair that shares a single gram; such sessions, and only
-    they, meet others through all their grams.
+    Most sessions of one language share most grams, so sessions are compared in pairs of blocks (``plans/alike.py``).
+    The pairs themselves grow with the square of like sessions; ``candidate_clusters`` needs none of them.
     """
+    if max_posting is None:
+        return alike.near_pairs(alike.hashed(features, list(_FEATURES.values())), alike.rule(_weights(weights), min_sim))
     weights = {**WEIGHTS, **(weights or {})}
     features = materialize(
         features.select("sid", *[F.transform(c, lambda g: F.xxhash64(g)).alias(c) for c in _FEATURES.values()]).withColumn(
             "sizes", F.struct(*[F.size(c).alias(n) for n, c in _FEATURES.items()]))
     )
     reach = _may_reach(weights, min_sim)
-    if max_posting is None:
-        body = weights["title"] + weights["first"]
-        with_tools = max((min_sim * (body + weights["tools"]) - weights["tools"]) / body, 0.0)
-        full = features.filter((F.col("sizes.title") > 0) & (F.col("sizes.first") > 0))
-        keys = [_feature_keys(full, c, min(with_tools, min_sim), min_sim) for c in ("title_grams", "first_grams")]
-        rows = materialize(keys[0].unionByName(keys[1]))
-        meet = (F.col("x.feature") == F.col("y.feature")) & (F.col("x.gram") == F.col("y.gram"))
-        pairs = _met(rows, rows, meet & (F.col("x.sid") < F.col("y.sid")) & reach)
-        lacking = features.filter((F.col("sizes.title") == 0) | (F.col("sizes.first") == 0))
-        if not lacking.isEmpty():
-            every = lambda df: df.select("sid", "sizes", F.explode(F.array_union("title_grams", "first_grams")).alias("gram"))
-            few, many = every(lacking), every(full)
-            same = F.col("x.gram") == F.col("y.gram")
-            pairs = pairs.unionByName(_met(few, few, same & (F.col("x.sid") < F.col("y.sid")) & reach))
-            pairs = pairs.unionByName(_met(few, many, same & reach)).distinct()
-    else:
-        rows = features.select("sid", "sizes", F.explode(F.array_union("title_grams", "first_grams")).alias("gram"))
-        common = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= 2) & (F.col("n") <= max_posting))
-        side = rows.join(common.select("gram"), "gram", "left_semi")
-        pairs = _met(side, side, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.sid") < F.col("y.sid")) & reach)
+    rows = features.select("sid", "sizes", F.explode(F.array_union("title_grams", "first_grams")).alias("gram"))
+    common = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= 2) & (F.col("n") <= max_posting))
+    side = rows.join(common.select("gram"), "gram", "left_semi")
+    pairs = _met(side, side, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.sid") < F.col("y.sid")) & reach)
     payload = F.struct(*_FEATURES.values())
     joined = pairs.join(features.select(F.col("sid").alias("a"), payload.alias("fa")), "a").join(
         features.select(F.col("sid").alias("b"), payload.alias("fb")), "b"
@@ -297,6 +269,20 @@ def _met(x: DataFrame, y: DataFrame, condition: Column) -> DataFrame:
     return joined.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
 
 
+def candidate_clusters(
+    features: DataFrame, weights: dict[str, float] | None = None, min_sim: float = MIN_SIM, min_size: int = 2
+) -> DataFrame:
+    """``seed_clusters`` of the candidate pairs, without listing these: (seed, sid, sim, size)."""
+    sets = alike.hashed(features, list(_FEATURES.values()))
+    return _sized(alike.near_clusters(sets, alike.rule(_weights(weights), min_sim)), min_size)
+
+
+def _sized(rows: DataFrame, min_size: int) -> DataFrame:
+    rows = rows.withColumn("sim", F.round("sim", 3))
+    counted = rows.groupBy("seed").agg(F.count(F.lit(1)).alias("size"))
+    return rows.join(counted.filter(F.col("size") >= min_size), "seed")
+
+
 def _greedy(edges: pd.DataFrame) -> pd.DataFrame:
     """Seeds of one component visited one by one: degree descending, then sid; each takes its neighbours that are left."""
     near: dict[str, list[tuple[str, float]]] = {}
@@ -328,9 +314,7 @@ def seed_clusters(pairs: DataFrame, min_size: int = 2, component_edges: int = CO
     rows = small.groupBy("component").applyInPandas(_greedy, "seed string, sid string, sim double")
     if not large.isEmpty():
         rows = rows.unionByName(_seeds_in_rounds(placed.join(large, "component", "left_semi").drop("component")))
-    rows = rows.withColumn("sim", F.round("sim", 3))
-    counted = rows.groupBy("seed").agg(F.count(F.lit(1)).alias("size"))
-    return rows.join(counted.filter(F.col("size") >= min_size), "seed")
+    return _sized(rows, min_size)
 
 
 def _seeds_in_rounds(pairs: DataFrame) -> DataFrame:

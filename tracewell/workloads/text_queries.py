@@ -478,7 +478,7 @@ cs AS (SELECT *, count(*) OVER (PARTITION BY seed) AS size FROM cl)"""
 
 @query("J5_topic_candidates", f"WITH RECURSIVE {_SEEDS} SELECT seed, sid, round(sim, 3) AS sim, size FROM cs WHERE size>=2")
 def topic_candidates(spark, d):
-    clusters = J.seed_clusters(J.candidate_pairs(_features(spark, d)))
+    clusters = J.candidate_clusters(_features(spark, d))
     return clusters.select("seed", "sid", "sim", "size")
 
 
@@ -489,7 +489,7 @@ rn AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY n DESC, gram) AS
 )
 def cluster_keywords(spark, d):
     features = _features(spark, d)
-    return J.cluster_keywords(J.seed_clusters(J.candidate_pairs(features)), features)
+    return J.cluster_keywords(J.candidate_clusters(features), features)
 
 
 @query(
