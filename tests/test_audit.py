@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import audit as A
 from tracewell.plans import contains
+from tracewell.workloads import QUERIES
 
 
 @pytest.mark.parametrize("at_once", [100, 1, 0])
@@ -40,3 +41,12 @@ def test_exploded_grams_are_not_broadcast(spark, monkeypatch, tmp_path):
                     break
                 below.append(other)
             assert not any("Generate" in x for x in below)
+
+
+def test_plan_rows_read_the_triage_once(spark, monkeypatch):
+    """Four reads of it in one stage meant four times its sorts, and the grams of all turns, in every task."""
+    raised = lambda *a, **b: pytest.fail("coherence is not asked for")
+    monkeypatch.setattr("tracewell.operators.sequence.coherence", raised)
+    plan = QUERIES["L1_plan_rows"](spark, "/root/testdata/sf0.001")
+    scans = plan._jdf.queryExecution().executedPlan().toString().count("Scan parquet")
+    assert scans <= 4 and plan.count() > 0  # the topics'

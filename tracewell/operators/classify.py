@@ -198,8 +198,12 @@ def intent_triage(
     craft_words: Sequence[str],
     max_turns: int = 3,
     include_deep: bool = False,
+    coherence: bool = True,
 ) -> DataFrame:
-    """Verdict per unassigned session; sessions over max_turns are never noise."""
+    """Verdict per unassigned session; sessions over max_turns are never noise.
+
+    Without ``coherence`` that column is left out, and the grams of all turns with it.
+    """
     users = messages.filter(F.col("role") == "user").select("sid", "seq", "role", F.coalesce("raw", F.lit("")).alias("raw"))
     filled = text.strip("raw") != ""
     counts = users.groupBy("sid").agg(
@@ -216,9 +220,11 @@ def intent_triage(
     )
     if not include_deep:
         open_sessions = open_sessions.filter(F.col("user_turns") <= max_turns)
-    hints = topic_hints(open_sessions, topics)
-    flow = SQ.coherence(messages).select("sid", "coherence")
-    joined = open_sessions.join(hints, "sid", "left").join(flow, "sid", "left")
+    # read twice below; the stage that joins the hints then sorts these rows only
+    open_sessions = materialize(open_sessions)
+    joined = open_sessions.join(topic_hints(open_sessions, topics), "sid", "left")
+    if coherence:
+        joined = joined.join(SQ.coherence(messages).select("sid", "coherence"), "sid", "left")
     lookup = text.contains_any("first_user", lookup_words)
     integrate = text.contains_any("first_user", integrate_words)
     craft = text.contains_any("first_user", craft_words)
@@ -244,7 +250,7 @@ def intent_triage(
         integrate.alias("integrate"),
         craft.alias("craft"),
         "turns",
-        F.round("coherence", 3).alias("coherence"),
+        *([F.round("coherence", 3).alias("coherence")] if coherence else []),
     )
 
 

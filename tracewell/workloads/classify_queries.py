@@ -211,6 +211,7 @@ def _triage(spark, d, deep=True):
         craft_words=_CRAFT,
         max_turns=2,
         include_deep=deep,
+        coherence=False,  # no query shows it
     )
 
 
