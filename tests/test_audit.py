@@ -50,3 +50,17 @@ def test_plan_rows_read_the_triage_once(spark, monkeypatch):
     plan = QUERIES["L1_plan_rows"](spark, "/root/testdata/sf0.001")
     scans = plan._jdf.queryExecution().executedPlan().toString().count("Scan parquet")
     assert scans <= 4 and plan.count() > 0  # the topics'
+
+
+@pytest.mark.parametrize("held", [2_000_000, 0])
+def test_long_needles_meet_few_texts(spark, monkeypatch, held):
+    """Every eight characters of these texts are common; only whole needles are rare."""
+    for name, value in (("AUTOMATON_CHARS", 0), ("TASK_HASHES", held), ("HASHED_CHARS", 300)):
+        monkeypatch.setattr(contains, name, value, raising=True)
+    words = [f"{'tionwhere' * 2}{i:03d}{'tionwhere' * 2}" for i in range(60)]
+    texts = [(f"t{i}", None if i == 7 else f"é\U0001f600{words[i]}{words[(i * 7) % 60]}") for i in range(60)] + [("e", "")]
+    needles = [(f"n{i}", w[2:38]) for i, w in enumerate(words)] + [("s", "é"), ("u", "\U0001f600t"), ("m", "tionwhereX")]
+    t = spark.createDataFrame(texts, "tid string, body string")
+    n = spark.createDataFrame(needles, "nid string, word string")
+    got = {(r.tid, r.nid) for r in contains.contains_pairs(t, n, "tid", "body", "nid", "word").collect()}
+    assert got == {(a, b) for a, x in texts for b, y in needles if x and y in x} and len(got) > 200
