@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import keep_rows, plain_text, stored
+from tracewell.llm.common import keep_rows, narrow, plain_text, stored
 
 BUCKET_CAPACITY = 16_384
 HASH_BITS = 64
@@ -114,8 +114,8 @@ def compare_in_owners(texts: DataFrame) -> DataFrame:
 def build_index(keyed: DataFrame, keys: DataFrame, slots: DataFrame, depth: int) -> DataFrame:
     """Index rows (owner, bucket, depth, hash_key, chain_no, chain_length, keep_id, group_size, chain_text).
 
-    ``keyed`` has doc_id, hash_key and body, ``keys`` the distinct hash_key with n_rows and first_id.  Whether the directory
-    and the repeated keys are broadcast is left to the planner, which knows the sizes of stored tables.
+    ``keyed`` has doc_id, hash_key and body, ``keys`` the distinct hash_key with n_rows and first_id.  Up to
+    ``common.BROADCAST_KEYS`` repeated keys are broadcast; beyond, and for the directory, it is left to the planner.
     """
     routed = keys.withColumn("slot", _slot(depth)).join(slots, "slot").drop("slot")
     alone = routed.filter("n_rows = 1").select(
@@ -123,7 +123,7 @@ def build_index(keyed: DataFrame, keys: DataFrame, slots: DataFrame, depth: int)
         F.col("first_id").alias("keep_id"), F.col("n_rows").alias("group_size"), F.lit(None).cast("string").alias("chain_text"),
     )
     repeated = stored(routed.filter("n_rows > 1").select("owner", "bucket", "depth", "hash_key"), "exact-repeated")
-    return alone.unionByName(compare_in_owners(keyed.join(repeated, "hash_key")))
+    return alone.unionByName(compare_in_owners(keyed.join(narrow(repeated), "hash_key")))
 
 
 def exact_groups(
