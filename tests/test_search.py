@@ -66,3 +66,16 @@ def test_an_empty_index(spark, corpus, tmp_path):
     messages, sessions = corpus
     index = H.write_index(messages.limit(0), str(tmp_path / "index"))
     assert H.search(messages, sessions, ["the"], index=index).count() == 0
+
+
+def test_small_buckets_share_files(spark, corpus, tmp_path, monkeypatch):
+    messages, sessions = corpus
+    want = ranks(H.search(messages, sessions, QUERIES, limit=5))
+    index = H.write_index(messages, str(tmp_path / "index"), bucket_rows=50, cell_rows=16)
+    assert index.segments[0].buckets > 500
+    assert len(list((tmp_path / "index" / "postings").rglob("*.parquet"))) <= 8 and len(list((tmp_path / "index" / "blocks").rglob("*.parquet"))) == 1
+    assert ranks(H.search(messages, sessions, QUERIES, limit=5, index=index)) == want
+    monkeypatch.setattr(H, "SHELF_ROWS", 10_000)
+    several = H.write_index(messages, str(tmp_path / "several"), bucket_rows=50, cell_rows=16)
+    assert several.segments[0].shelves > 3
+    assert ranks(H.search(messages, sessions, QUERIES, limit=5, index=several)) == want

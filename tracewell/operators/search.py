@@ -29,15 +29,17 @@ B = 0.75
 MIN_IDF = 1e-6
 #: Postings of one bucket of a stored index, about.
 BUCKET_ROWS = 20_000_000
+#: Postings of one folder, about: small buckets share one, so files grow with the postings and not with the buckets.
+SHELF_ROWS = 2_000_000
 #: Messages of a cell; cells scored first for every query; cells told to the scan by name at most.
 CELL_ROWS = 1024
 FIRST_CELLS = 4
 NAMED_CELLS = 5_000
 #: Rounding that may not let a cell be left out.
 _SLACK = 1e-7
-_SEGMENT = "segment int, n_docs long, total_len long, first_cell long, cells long, cell_rows int, buckets int"
-_POSTING = "term string, sid string, seq int, len int, tf int, places array<int>, cell long, segment int, bucket int"
-_BLOCK = "term string, cell long, n long, max_tf int, min_len int, segment int, bucket int"
+_SEGMENT = "segment int, n_docs long, total_len long, first_cell long, cells long, cell_rows int, buckets int, shelves int"
+_POSTING = "term string, sid string, seq int, len int, tf int, places array<int>, cell long, bucket int, segment int, shelf int"
+_BLOCK = "term string, cell long, n long, max_tf int, min_len int, bucket int, segment int, shelf int"
 
 
 def postings(messages: DataFrame, keys: Sequence[str] = ("sid", "seq")) -> DataFrame:
@@ -47,7 +49,10 @@ def postings(messages: DataFrame, keys: Sequence[str] = ("sid", "seq")) -> DataF
 
 @dataclass(frozen=True)
 class Index:
-    """A stored index: postings and blocks by segment and bucket of their term, and a row for each segment."""
+    """A stored index: postings and blocks by segment and bucket of their term, and a row for each segment.
+
+    Files lie in a folder for each shelf (consecutive buckets) and are sorted by bucket and term.
+    """
 
     path: str
     postings: DataFrame
@@ -63,13 +68,14 @@ class Index:
         return sum(s.total_len for s in self.segments) / self.n_docs if self.n_docs else None
 
     def of_terms(self, rows: DataFrame, terms: Sequence[str]) -> DataFrame:
-        """Postings or blocks of these terms; only their buckets are read."""
+        """Postings or blocks of these terms; only the shelves of their buckets are opened, and of these files the pages of the buckets read."""
         named = rows.sparkSession.createDataFrame([(t,) for t in terms] or [("",)], "term string")
         asked = F.lit(False)
-        for buckets in sorted({s.buckets for s in self.segments}):
-            wanted = sorted({r.bucket for r in named.select(_bucket(buckets).alias("bucket")).collect()})
-            numbers = [s.segment for s in self.segments if s.buckets == buckets]
-            asked = asked | (F.col("segment").isin(numbers) & F.col("bucket").isin(wanted))
+        for buckets, shelves in sorted({(s.buckets, s.shelves) for s in self.segments}):
+            places = named.select(_bucket(buckets).alias("bucket")).select("bucket", _shelf(buckets, shelves).alias("shelf")).collect()
+            numbers = [s.segment for s in self.segments if (s.buckets, s.shelves) == (buckets, shelves)]
+            inside = F.col("shelf").isin(sorted({r.shelf for r in places})) & F.col("bucket").isin(sorted({r.bucket for r in places}))
+            asked = asked | (F.col("segment").isin(numbers) & inside)
         return rows.filter(asked & F.col("term").isin(list(terms)))
 
 
@@ -77,6 +83,15 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
 
+def _shelf(buckets: int, shelves: int) -> Column:
+    return F.floor(F.col("bucket").cast("long") * shelves / buckets).cast("int")
+
+
+def _sizes(words: int, bucket_rows: int) -> tuple[int, int]:
+    """Numbers of buckets and of shelves for so many words."""
+    return max(1, -(-words // bucket_rows)), max(1, -(-words // max(bucket_rows, SHELF_ROWS)))
+
+
 def _lengths(messages: DataFrame) -> DataFrame:
     return messages.select("sid", "seq", F.size(text.search_tokens("raw")).alias("len"))
 
@@ -85,17 +100,19 @@ def _corpus(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
 
 
-def _write_parts(postings: DataFrame, path: str, segment: int) -> None:
-    """Postings (with their bucket), sorted by term and cell, and their blocks."""
+def _write_parts(postings: DataFrame, path: str, segment: int, buckets: int, shelves: int) -> None:
+    """Postings, sorted by bucket, term and cell, and their blocks."""
     folder = f"{path}/postings/segment={segment}"
-    # a bucket is spread by session: one term may hold a large part of all rows
-    spread = postings.repartition("bucket", F.pmod(F.xxhash64("sid"), F.lit(8)))
-    spread.sortWithinPartitions("bucket", "term", "cell", "sid", "seq").write.partitionBy("bucket").parquet(folder)
+    placed = postings.withColumn("bucket", _bucket(buckets)).withColumn("shelf", _shelf(buckets, shelves))
+    # a shelf is spread by session: one term may hold a large part of all rows
+    spread = placed.repartition("shelf", F.pmod(F.xxhash64("sid"), F.lit(8)))
+    spread.sortWithinPartitions("shelf", "bucket", "term", "cell", "sid", "seq").write.partitionBy("shelf").parquet(folder)
     stored = postings.sparkSession.read.schema(_POSTING.replace(", segment int", "")).parquet(folder)
-    blocks = stored.groupBy("bucket", "term", "cell").agg(
+    blocks = stored.groupBy("shelf", "bucket", "term", "cell").agg(
         F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len")
     )
-    blocks.repartition("bucket").sortWithinPartitions("bucket", "term", "cell").write.partitionBy("bucket").parquet(f"{path}/blocks/segment={segment}")
+    ordered = blocks.repartition("shelf").sortWithinPartitions("shelf", "bucket", "term", "cell")
+    ordered.write.partitionBy("shelf").parquet(f"{path}/blocks/segment={segment}")
 
 
 def _write_segment_row(spark: SparkSession, path: str, row: tuple) -> None:
@@ -110,12 +127,12 @@ def _add_segment(messages: DataFrame, path: str, segment: int, first_cell: int,
         "sid", "seq", (F.floor(F.col("nth") / cell_rows) + first_cell).cast("long").alias("cell"), text.search_tokens("raw").alias("tokens")
     ).withColumn("len", F.size("tokens"))
     total = told.agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("words")).first()
-    buckets = max(1, -(-(total.words or 0) // bucket_rows))
+    buckets, shelves = _sizes(total.words or 0, bucket_rows)
     places = told.select("sid", "seq", "cell", "len", F.posexplode("tokens").alias("pos", "term"))
     postings = places.groupBy("term", "sid", "seq", "cell", "len").agg(F.sort_array(F.collect_list("pos")).alias("places"))
-    postings = postings.select("term", "sid", "seq", "len", F.size("places").alias("tf"), "places", "cell", _bucket(buckets).alias("bucket"))
-    _write_parts(postings, path, segment)
-    _write_segment_row(spark, path, (segment, total.n, total.words or 0, first_cell, -(-total.n // cell_rows), cell_rows, buckets))
+    postings = postings.select("term", "sid", "seq", "len", F.size("places").alias("tf"), "places", "cell")
+    _write_parts(postings, path, segment, buckets, shelves)
+    _write_segment_row(spark, path, (segment, total.n, total.words or 0, first_cell, -(-total.n // cell_rows), cell_rows, buckets, shelves))
 
 
 def write_index(messages: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS, cell_rows: int = CELL_ROWS) -> Index:
@@ -137,10 +154,10 @@ def merge_index(spark: SparkSession, path: str, target: str, bucket_rows: int =
     """All segments as one below ``target``.  Messages are not tokenised again; cells keep their numbers."""
     index = read_index(spark, path)
     words = sum(s.total_len for s in index.segments)
-    buckets = max(1, -(-words // bucket_rows))
-    _write_parts(index.postings.drop("segment", "bucket").withColumn("bucket", _bucket(buckets)), target, 0)
+    buckets, shelves = _sizes(words, bucket_rows)
+    _write_parts(index.postings.drop("segment", "bucket", "shelf"), target, 0, buckets, shelves)
     cells = max(s.first_cell + s.cells for s in index.segments)
-    _write_segment_row(spark, target, (0, index.n_docs, words, 0, cells, index.segments[0].cell_rows, buckets))
+    _write_segment_row(spark, target, (0, index.n_docs, words, 0, cells, index.segments[0].cell_rows, buckets, shelves))
     return read_index(spark, target)
 
 
