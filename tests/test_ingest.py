@@ -241,3 +241,22 @@ def test_exports_are_written(spark, tmp_path):
     assert {(r.category, str(r.month)) for r in back.select("category", "month").distinct().collect()} == {("uncategorised", "2024-03"), ("c", "2023-01")}
     B.write_corpus(B.corpus_lines(sessions, messages), str(tmp_path / "corpus"))
     assert "## [assistant] · t" in "".join(r.value for r in spark.read.text(str(tmp_path / "corpus")).collect())
+
+
+def test_latest_threads_of_many_documents_take_one_python_step(spark):
+    """More documents than a slice holds, one without nodes' children, and no second worker for a filter."""
+    def node(children, at, *texts):
+        return {"children": children, "message": json.dumps({"inserted_at": at, "fragments": [{"type": "RESPONSE", "content": t} for t in texts]})}
+
+    docs = []
+    for i in range(2 * FM.SLICE_DOCS + 3):
+        late = "2024-01-03" if i % 2 else "2024-01-01"
+        tree = {"root": node(["1"], ""), "1": node(["2", "3"], "2024-01-01", f"a{i}"), "2": node(None, "2024-01-02", "two"), "3": node([], late, "three")}
+        docs.append((json.dumps({"id": f"t{i}", "mapping": tree}),))
+    frame = spark.createDataFrame(docs, "doc string").coalesce(1)
+    threads = {r.session_id: (r.thread, r.branch_points) for r in FM.tree_threads(frame).collect()}
+    assert threads == {f"t{i}": (["1", "3" if i % 2 else "2"], 1) for i in range(len(docs))}
+    parsed = FM.parse_fragment_tree(frame)
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    said = {(r.session_id, r.seq): r.text for r in parsed.collect()}
+    assert said[("t1", 0)] == "a1" and said[("t1", 1)] == "three" and said[("t2", 1)] == "two" and len(said) == 2 * len(docs)

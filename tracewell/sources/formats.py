@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -197,8 +198,13 @@ def parse_linear_chat(docs: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.StructType([T.StructField("thread", T.ArrayType(T.StringType())), T.StructField("branch_points", T.IntegerType())]))
-def _latest_thread(ids: pd.Series, children: pd.Series, stamps: pd.Series, places: pd.Series) -> pd.DataFrame:
+#: Documents that a helper holds as Python objects at a time, whatever the size of a batch.
+SLICE_DOCS = 256
+_THREAD = T.StructType([T.StructField("thread", T.ArrayType(T.StringType())), T.StructField("branch_points", T.IntegerType())])
+
+
+@F.arrow_udf(_THREAD)
+def _latest_thread(ids: pa.Array, children: pa.Array, stamps: pa.Array, places: pa.Array) -> pa.Array:
     """Root-to-leaf walk; at a branch the child with the latest stamp in its subtree, then the higher place, then the last."""
 
     def walk(keys, kids, times, order):
@@ -222,8 +228,17 @@ def _latest_thread(ids: pd.Series, children: pd.Series, stamps: pd.Series, place
             thread.append(node)
         return thread, branches
 
-    rows = [walk(list(i), c, s, p) if i is not None else ([], 0) for i, c, s, p in zip(ids, children, stamps, places)]
-    return pd.DataFrame(rows, columns=["thread", "branch_points"])
+    kind = pa.struct([("thread", pa.list_(pa.string())), ("branch_points", pa.int32())])
+    parts = [pa.array([], kind)]
+    for at in range(0, len(ids), SLICE_DOCS):
+        held = zip(*(column.slice(at, SLICE_DOCS).to_pylist() for column in (ids, children, stamps, places)))
+        rows = [walk(i, c, s, p) if i is not None else ([], 0) for i, c, s, p in held]
+        parts.append(pa.array([{"thread": thread, "branch_points": branches} for thread, branches in rows], kind))
+    return pa.concat_arrays(parts)
+
+
+#: The planner may not repeat the walk in a filter before the threads are exploded: a task has one Python worker, not two.
+_latest_thread = _latest_thread.asNondeterministic()
 
 
 def tree_threads(docs: DataFrame) -> DataFrame:
