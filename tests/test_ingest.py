@@ -260,3 +260,28 @@ def test_latest_threads_of_many_documents_take_one_python_step(spark):
     assert parsed._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
     said = {(r.session_id, r.seq): r.text for r in parsed.collect()}
     assert said[("t1", 0)] == "a1" and said[("t1", 1)] == "three" and said[("t2", 1)] == "two" and len(said) == 2 * len(docs)
+
+
+def test_stream_reads_small_files_once(spark, tmp_path):
+    """Each archive file of a batch is read by one scan only."""
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    for i in range(200):
+        text = {"source": "live", "session_id": str(i), "updated_at": "2024-01-01", "messages": [{"role": "user", "text": f"t{i}"}]}
+        (inbox / f"f{i}.json").write_text(json.dumps(text))
+    held = []
+    original = S.latest_per_sid
+
+    def seen(records):
+        held.append(records._jdf.queryExecution().analyzed().toString())
+        return original(records)
+
+    S.latest_per_sid = seen
+    try:
+        S.start_ingestion(spark, str(inbox), str(tmp_path / "store"), str(tmp_path / "progress")).awaitTermination()
+    finally:
+        S.latest_per_sid = original
+    (plan,) = held
+    assert plan.startswith("LogicalRDD"), plan
+    tables = S.current_tables(spark, str(tmp_path / "store"))
+    assert sorted(r.raw for r in tables["messages"].collect()) == sorted(f"t{i}" for i in range(200))

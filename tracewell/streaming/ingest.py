@@ -57,7 +57,9 @@ def start_ingestion(
     )
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        write_batch(formats.archive_records(batch, inbox, suppressed), root, batch_id)
+        # every file is opened once, before anything is joined
+        records = materialize(formats.archive_records(batch, inbox, suppressed))
+        write_batch(records, root, batch_id)
 
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
