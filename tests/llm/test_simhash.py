@@ -7,6 +7,7 @@ import pytest
 import xxhash
 
 from tracewell.llm import simhash as S
+from tracewell.plans import components as C
 
 SCHEMA = "doc_id long, text string, key string, fingerprint int, part double"
 
@@ -96,3 +97,42 @@ def test_stage_keeps_one_of_each_group(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
     assert S.near_groups(docs.limit(0)).count() == 0
+
+
+def near_prints(count, seed):
+    """Distinct fingerprints around one, that differ from it by up to three bits."""
+    rng = random.Random(seed)
+    centre, found = rng.getrandbits(63), set()
+    while len(found) < count:
+        found.add(centre ^ sum({1 << rng.randrange(63) for _ in range(rng.randrange(1, 4))}))
+    return sorted(found)
+
+
+def test_runs_give_fewer_links_than_rows():
+    for count in (2, 40, S.SMALL, S.SMALL + 1, 300):
+        prints = np.array(near_prints(count, count), dtype=np.uint64)
+        a, b = S.bucket_links(np.repeat([1, 2], count), np.tile(prints, 2), 4)
+        assert len(a) <= 2 * (count - 1)
+        assert (np.bitwise_count(a ^ b) <= 4).all()
+
+
+@pytest.mark.parametrize("heavy", [S.HEAVY, 4])
+def test_edges_grow_with_the_group_not_its_square(spark, monkeypatch, heavy):
+    plain, seen = C.connected_components, []
+    monkeypatch.setattr(C, "connected_components", lambda edges: seen.append(edges.count()) or plain(edges))
+    for count in (60, 240):
+        prints = near_prints(count, 7)
+        seen.clear()
+        got = S.fingerprint_components(spark.createDataFrame([(p,) for p in prints], "fingerprint long"), heavy=heavy).collect()
+        every = brute([(p, "") for p in prints], prints)
+        assert sorted((r.fingerprint, f"{r.fingerprint:016x}", r.component) for r in got) == sorted(e for e in every if [x[2] for x in every].count(e[2]) > 1)
+        assert seen and sum(seen) <= 1.5 * count
+
+
+def test_contraction_changes_no_component(spark):
+    rng = random.Random(3)
+    edges = {(rng.randrange(150), rng.randrange(150)) for _ in range(110)} | {(1000 + i, 1001 + i) for i in range(40)}
+    edges |= {(3000 + i, 3000 + j) for i in range(12) for j in range(i)} | {(4000 - i, 4100 + j) for i in range(9) for j in range(9)} | {(5000, 5000)}
+    df = spark.createDataFrame(sorted(edges), "a long, b long")
+    assert sorted(C.contracted_components(df).collect()) == sorted(C.connected_components(df).collect())
+    assert C.contracted_components(df.limit(0)).count() == 0

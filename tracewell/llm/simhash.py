@@ -7,7 +7,10 @@ link share a key; an equality join on the key and a comparison of all 64 bits
 finds them.
 
 Only distinct fingerprints are indexed.  The rows of a key are brought together
-once, and a task emits links that connect what is linked there, not all pairs.
+once, and a task emits links that connect what is linked there, fewer than the
+key has rows.  As near fingerprints share many keys, the links of all keys are
+joined up in two steps: first each fingerprint's link to the smallest one, then
+what links lead from one component of these to another.
 Keys that more than ``HEAVY`` fingerprints share are known beforehand from
 counts of whole segments; their rows stay spread over the cluster: each is
 compared with one leader of its key, and then only those outside the key's
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import keep_rows, plain_text, stored
-from tracewell.plans.components import connected_components
+from tracewell.plans.components import connected_components, contracted_components
 
 BITS = 64
 SHINGLE_WORDS = 4
@@ -122,19 +125,38 @@ def heavy_keys(prints: DataFrame, distance: int = MAX_DISTANCE, heavy: int = HEA
     return reduce(DataFrame.unionByName, keys).distinct()
 
 
+def spanning_links(a: np.ndarray, b: np.ndarray, rows: int) -> np.ndarray:
+    """Places of links (a, b) among row numbers that connect what all of them connect, without a circle."""
+    root, left, chosen = np.arange(rows), np.arange(len(a)), [np.empty(0, dtype=np.int64)]
+    while len(left):
+        high, low = np.maximum(root[a[left]], root[b[left]]), np.minimum(root[a[left]], root[b[left]])
+        apart = high != low
+        left, low = left[apart], low[apart]
+        hung, place = np.unique(high[apart], return_index=True)  # each root goes below a smaller one, by one link
+        chosen.append(left[place])
+        root[hung] = low[place]
+        while (root[root] != root).any():
+            root = root[root]
+    return np.concatenate(chosen)
+
+
 def bucket_links(keys: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what is linked within each run of equal keys; all of them in runs of up to SMALL rows."""
+    """Links that connect what is linked within each run of equal keys, fewer than the run has rows."""
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.append(starts, len(keys)))
-    a, b = [], []
+    a, b, steps = [], [], []
     small = np.repeat(sizes <= SMALL, sizes)
     for step in range(1, min(SMALL, int(sizes.max(initial=0)))):
         same = np.flatnonzero((keys[step:] == keys[:-step]) & small[step:])
         if not len(same):
             break
         near = same[np.bitwise_count(prints[same] ^ prints[same + step]) <= distance]
-        a.append(prints[near])
-        b.append(prints[near + step])
+        steps.append(np.stack((near, near + step)))
+    if steps:
+        pairs = np.concatenate(steps, axis=1)
+        pairs = pairs[:, spanning_links(*pairs, len(keys))]
+        a.append(prints[pairs[0]])
+        b.append(prints[pairs[1]])
     for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
         left = prints[start : start + size]
         while len(left):  # a breadth-first walk: what it reaches is compared no more
@@ -178,17 +200,16 @@ def fingerprint_components(prints: DataFrame, distance: int = MAX_DISTANCE, heav
     variants = spread.select(F.explode(deletion_variants("fingerprint", distance)).alias("key"), "fingerprint")
     crowded = stored(heavy_keys(prints, distance, heavy), "simhash-heavy")
     if crowded.isEmpty():
-        return connected_components(_linked_in_buckets(variants, distance)).withColumnRenamed("node", "fingerprint")
+        links = stored(_linked_in_buckets(variants, distance), "simhash-links")
+        return contracted_components(links).withColumnRenamed("node", "fingerprint")
 
     links = _linked_in_buckets(variants.join(crowded, "key", "left_anti"), distance)
     shared = stored(variants.join(crowded, "key", "left_semi"), "simhash-shared")
     leaders = shared.groupBy("key").agg(F.min("fingerprint").alias("leader"))
     led = shared.join(leaders, "key").filter((F.col("fingerprint") != F.col("leader")) & _near("fingerprint", "leader", distance))
-    first = stored(
-        connected_components(links.unionByName(led.select(F.col("fingerprint").alias("a"), F.col("leader").alias("b"))).distinct())
-        .withColumnRenamed("node", "fingerprint"),
-        "simhash-first",
-    )
+    led = led.select(F.col("fingerprint").alias("a"), F.col("leader").alias("b"))
+    links = stored(links.unionByName(led).distinct(), "simhash-links")
+    first = stored(contracted_components(links).withColumnRenamed("node", "fingerprint"), "simhash-first")
     members = stored(
         shared.join(first, "fingerprint", "left").select("key", "fingerprint", F.coalesce("component", "fingerprint").alias("part")),
         "simhash-members",

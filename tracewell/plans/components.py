@@ -37,3 +37,25 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         labels = stepped.select("node", "label")
         if moved == 0:
             return labels.withColumnRenamed("label", "component")
+
+
+def contracted_components(edges: DataFrame) -> DataFrame:
+    """Same as ``connected_components`` of (a, b), for edge lists with many more edges than nodes; reads ``edges`` twice.
+
+    First only each node's edge to its smallest neighbour counts, so there are no more edges than nodes.  That leaves
+    half as many components at most (without edges from a node to itself); the other edges then count once for each
+    two of them that they connect.
+    """
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    first = connected_components(both.groupBy("a").agg(F.min("b").alias("b")))
+    for end in ("a", "b"):
+        edges = edges.join(first.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part")), end)
+    rest = materialize(
+        edges.filter("a_part != b_part")
+        .select(F.least("a_part", "b_part").alias("a"), F.greatest("a_part", "b_part").alias("b"))
+        .distinct()
+    )
+    if rest.isEmpty():
+        return first
+    second = connected_components(rest).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return first.join(second, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
