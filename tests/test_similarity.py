@@ -202,3 +202,61 @@ def test_candidate_clusters_list_no_pairs(spark, monkeypatch, prefix):
     got = {(r.seed, r.sid, r.sim, r.size) for r in J.candidate_clusters(df).collect()}
     assert got == want and len({r[0] for r in got}) > 3
     assert J.candidate_clusters(df.limit(0)).count() == 0
+
+
+def _like_sets(rng, n, groups):
+    words = list(range(-60, 60))
+    sets = {}
+    for i in range(n):
+        near = sets.get(f"s{rng.randrange(n):03d}")
+        grams = set(near[1]) if near and rng.random() < 0.6 else set(rng.sample(words, rng.randrange(30, 60)))
+        sets[f"s{i:03d}"] = (i % groups, grams - set(rng.sample(words, 3)))
+    return sets
+
+
+@pytest.mark.parametrize("forest", [False, True])
+def test_sets_of_many_blocks_are_written_once(spark, monkeypatch, forest):
+    """Sets went by shuffle to every block of their band and the two beside it."""
+    from tracewell.plans import similar
+
+    written = []
+    monkeypatch.setattr(similar, "materialize", lambda df, f=similar.materialize: written.append(f(df)) or written[-1])
+    monkeypatch.setattr(similar, "BLOCK_ROWS", 8)
+    sets = _like_sets(random.Random(6), 120, 1)
+    df = spark.createDataFrame([(k, sorted(v, reverse=True), len(v), i) for i, (k, (_, v)) in enumerate(sets.items())], "cls string, grams array<bigint>, n int, place int")
+    pairs = similar._met(df, 0.8, [], ["place"], forest)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    got = {(r.a, r.b): (round(r.j, 9), r.a_place, r.b_place) for r in pairs.collect()}
+    ids = sorted(sets)
+    want = {(a, b): (round(_jac(sets[a][1], sets[b][1]), 9), int(a[1:]), int(b[1:])) for a in ids for b in ids if a < b and _jac(sets[a][1], sets[b][1]) >= 0.8}
+    assert got.items() <= want.items() and len(want) > 20 and (forest or got == want)
+    blocks = [bytes(r.block) for df in written if "block" in df.columns for r in df.collect()]
+    held = {}
+    for block in blocks:
+        cls, n, vocabulary, grams, _ = similar._unpack(block)
+        ends = n.cumsum()
+        for c, size, end in zip(cls, n, ends):
+            assert c not in held
+            held[c] = set(vocabulary[grams[end - size : end]].tolist())
+    assert held == {k: v for k, (_, v) in sets.items()} and len(blocks) > 12
+
+
+@pytest.mark.parametrize("rows", [5, 32_768])
+def test_clusters_of_large_and_small_groups(spark, monkeypatch, rows):
+    """Also with copies, items without grams, a missing group and items that are known."""
+    from tracewell.plans import similar
+
+    monkeypatch.setattr(similar, "BLOCK_ROWS", rows)
+    sets = _like_sets(random.Random(8), 90, 4)
+    large = {k: (min(g, 2), {f"w{x}" for x in v}) for k, (g, v) in sets.items()}
+    large |= {f"z{i}": (i % 3, large["s002"][1]) for i in range(6)} | {"y0": (7, {"a", "b"}), "y1": (7, {"b", "a"}), "y2": (7, set()), "x0": (None, {"a", "b"})}
+    df = spark.createDataFrame([(k, None, g, sorted(v)) for k, (g, v) in large.items()], "sid string, created_at string, g int, grams array<string>")
+    want = {}
+    for g in (0, 1, 2, 7):
+        want |= _brute({k: v for k, (h, v) in large.items() if h == g}, 0.9)
+    got = J.duplicate_clusters(df, group=["g"])
+    assert {r.sid: (r.rep, r.jaccard) for r in got.collect()} == want and len(want) > 10
+    known = spark.createDataFrame([("s002",), ("y0",), ("s010",), ("none",)], "sid string")
+    rest = {k: v for k, (_, v) in large.items() if k not in ("s002", "y0", "s010")}
+    assert {r.sid: (r.rep, r.jaccard) for r in J.duplicate_candidates(df.drop("g"), known).collect()} == _brute(rest, 0.9)

@@ -15,7 +15,7 @@ from tracewell.plans import alike, similar
 from tracewell.plans.components import connected_components
 from tracewell.plans.contains import contains_pairs
 from tracewell.plans.scan import Running, running_scan, seq_block
-from tracewell.session import materialize
+from tracewell.session import materialize, stored
 
 #: Similarity limits of the duplicate search.
 DUP_THRESHOLD = 0.90
@@ -66,24 +66,29 @@ def no_text_sessions(sessions: DataFrame, grams: DataFrame) -> DataFrame:
     return sessions.join(grams.select("sid"), "sid", "left_anti").select("sid")
 
 
-def _classes(items: DataFrame, group: Sequence[str], arrays: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def _classes(
+    items: DataFrame, group: Sequence[str], arrays: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
     """Items with their class, and one row per class; grams become 64-bit hashes.
 
-    Texts are turned into gram sets once; both results are read from that.
+    Texts are turned into gram sets once and stored in order, which packs well; both results are read from that.
+    Sets are shuffled once, the rest works on ids.
     """
     hashed = items.select(
         "sid",
         F.coalesce("created_at", F.lit("")).alias("created_at"),
         *group,
-        *[F.transform(a, lambda g: F.xxhash64(g)).alias(a) for a in arrays],
+        *[F.array_sort(F.transform(a, lambda g: F.xxhash64(g))).alias(a) for a in arrays],
     )
-    keyed = materialize(similar.with_class(hashed, group, arrays))
+    keyed = stored(similar.with_class(hashed, group, arrays).withColumns({f"n_{a}": F.size(a) for a in arrays}))
     for a in arrays:
-        keyed = keyed.filter(F.size(a) > 0)
-    first = keyed.groupBy(*group, "class_key").agg(F.min_by(F.struct("sid", *arrays), "sid").alias("c"))
-    classes = materialize(first.select(*group, "class_key", F.col("c.sid").alias("cls"), *[F.col(f"c.{a}").alias(a) for a in arrays]))
-    members = keyed.select("sid", "created_at", *group, "class_key").join(classes.select("class_key", "cls"), "class_key")
-    return materialize(members.drop("class_key")), classes.drop("class_key").withColumn("n", F.size("grams"))
+        keyed = keyed.filter(F.col(f"n_{a}") > 0)
+    members = keyed.select("sid", "created_at", *group, "class_key")
+    named = members.groupBy("class_key").agg(F.min("sid").alias("cls"), F.count(F.lit(1)).alias("copies"))
+    sets = keyed.groupBy("class_key").agg(F.first(F.struct(*group, *arrays)).alias("c"))
+    columns = [F.col(f"c.{c}").alias(c) for c in [*group, *arrays]]
+    classes = stored(sets.join(named, "class_key").select("class_key", "cls", "copies", *columns, F.size("c.grams").alias("n")))
+    return materialize(members.join(classes.select("class_key", "cls"), "class_key").drop("class_key")), classes.drop("class_key")
 
 
 def duplicate_clusters(
@@ -99,6 +104,7 @@ def duplicate_clusters(
     group = list(group)
     arrays = ["grams", "head_grams"] if parity else ["grams"]
     members, classes = _classes(items, group, arrays)
+    classes = classes.drop("copies")
     extra = _passes_prefilter if parity else None
     comps = similar.class_clusters(classes, threshold, group, extra)
     labelled = members.join(comps, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
@@ -109,7 +115,10 @@ def duplicate_clusters(
     pairs = clustered.select(
         F.least("cls", "rep.cls").alias("a"), F.greatest("cls", "rep.cls").alias("b")
     ).filter(F.col("a") != F.col("b")).distinct()
-    direct = similar._verify(pairs, classes, threshold, extra)
+    pairs = materialize(pairs)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    compared = materialize(classes.select("cls", *arrays).join(ends, "cls", "left_semi"))
+    direct = similar._verify(pairs, compared, threshold, extra)
     placed = clustered.select(
         *group,
         F.col("rep.sid").alias("rep"),
@@ -141,9 +150,8 @@ def similar_pairs(items: DataFrame, threshold: float = BAND_THRESHOLD, group: Se
     with the number of holders: copies are counted, not paired.
     """
     group = list(group)
-    members, classes = _classes(items, group, ["grams"])
-    copies = members.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"))
-    pairs = similar.class_pairs(classes.join(copies, "cls"), threshold, group, keep=["copies"])
+    _, classes = _classes(items, group, ["grams"])
+    pairs = similar.class_pairs(classes, threshold, group, keep=["copies"])
     return (
         pairs.select(
             "a",

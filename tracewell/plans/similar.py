@@ -4,8 +4,10 @@ Grams are 64-bit hashes.  Equal sets are collapsed to one class first, so a mass
 comparison.
 
 Classes are dealt into blocks by size: sets with Jaccard >= t have sizes in one band or in neighbouring ones.
-Every pair of blocks that may hold similar sets is one group of a grouped map.  Inside, a product of parity
-sketches bounds the difference of all sets of two tiles at once, and only what passes is counted gram by gram.  Where most
+In groups that fit one block every pair of neighbouring bands is one group of a grouped map, so a set is sent three
+times at most.  The blocks of larger groups are rows of a table, written once with their sets packed; tasks
+read the pairs of blocks that may hold similar sets (a Cartesian product of partitions), and no copies are shuffled.
+Inside, a product of parity sketches bounds the difference of all sets of two tiles at once, and only what passes is counted gram by gram.  Where most
 sets share most of their grams (character bigrams of one language) no key of few grams separates them, so the
 comparisons grow with the square of a band; a comparison is a few hundred multiplications of a matrix product.
 
@@ -16,7 +18,9 @@ linked already are not compared again.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+import pickle
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -35,6 +39,8 @@ BLOCK_ROWS = 32_768
 TILE = 2048
 #: Different grams up to which the sets of a task are held as bitmaps.
 BITMAP_GRAMS = 32_768
+#: Partitions of packed blocks at least; tasks are pairs of partitions.
+LEAST_BINS = 12
 
 
 def with_class(sets: DataFrame, group: Sequence[str], arrays: Sequence[str]) -> DataFrame:
@@ -59,14 +65,20 @@ def _verify(pairs: DataFrame, classes: DataFrame, threshold: float, extra: Verif
     return out.select("a", "b", "j")
 
 
-def _blocks(classes: DataFrame, group: Sequence[str], threshold: float, keep: Sequence[str]) -> DataFrame:
-    """Classes once for every pair of blocks (``at``) in which they are compared, ``second`` for rows of its second block."""
+def _band(threshold: float) -> Column:
     step = math.log(1 / threshold) * (1 + 1e-9)  # sizes that may match are at most one band apart
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).alias("band")
-    rows = classes.select(*group, "cls", *keep, "grams", F.col("n").cast("long").alias("n"), band)
+    return F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).alias("band")
+
+
+def _slots(rows: DataFrame, group: Sequence[str]) -> DataFrame:
     held = rows.groupBy(*group, "band").agg(F.sum("n").alias("grams"), F.count(F.lit(1)).alias("rows"))
-    slots = held.select(*group, "band", F.ceil(F.greatest(F.col("grams") / BLOCK_GRAMS, F.col("rows") / BLOCK_ROWS)).alias("slots"))
-    slots = materialize(slots)
+    return held.select(*group, "band", F.ceil(F.greatest(F.col("grams") / BLOCK_GRAMS, F.col("rows") / BLOCK_ROWS)).alias("slots"))
+
+
+def _blocks(classes: DataFrame, group: Sequence[str], threshold: float, keep: Sequence[str]) -> DataFrame:
+    """Classes once for every pair of blocks (``at``) in which they are compared, ``second`` for rows of its second block."""
+    rows = classes.select(*group, "cls", *keep, "grams", F.col("n").cast("long").alias("n"), _band(threshold))
+    slots = materialize(_slots(rows, group))
     near = lambda shift, name: slots.select(*group, (F.col("band") + shift).alias("band"), F.col("slots").alias(name))
     around = slots.join(near(1, "below"), [*group, "band"], "left").join(near(-1, "above"), [*group, "band"], "left")
     own = F.pmod(F.xxhash64("cls"), F.col("slots"))
@@ -90,24 +102,22 @@ def _blocks(classes: DataFrame, group: Sequence[str], threshold: float, keep: Se
 
 
 class _Sets:
-    """Sets of a task in order of size, for comparison in tiles."""
+    """Sets of a task in order of size, for comparison in tiles: sizes, and places of all grams in the vocabulary."""
 
-    def __init__(self, rows: pd.DataFrame, threshold: float) -> None:
-        self.rows, self.t = rows, threshold
-        self.n = rows["grams"].map(len).to_numpy()
-        self.vocabulary, grams = np.unique(np.concatenate(rows["grams"].to_numpy()), return_inverse=True)
+    def __init__(self, n: np.ndarray, vocabulary: np.ndarray, grams: np.ndarray, threshold: float) -> None:
+        self.n, self.vocabulary, self.t = n, vocabulary, threshold
         self.ends = np.concatenate([[0], np.cumsum(self.n)])
-        self.grams = grams.astype(np.int32)
+        self.grams = grams.astype(np.int32, copy=False)
         self.bits = 256
         while self.bits < min(self.n.max() * (0.7 if threshold >= 0.85 else 3), 4096):
             self.bits *= 2
         mixed = (self.vocabulary.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
         self.place = (mixed % np.uint64(self.bits)).astype(np.int64)
-        self.sketch = np.empty((len(rows), self.bits), np.int8)
+        self.sketch = np.empty((len(n), self.bits), np.int8)
         wide = len(self.vocabulary) > BITMAP_GRAMS
-        self.map = None if wide else np.empty((len(rows), -(-len(self.vocabulary) // 64)), np.uint64)
-        for at in range(0, len(rows), TILE):
-            part = slice(at, min(at + TILE, len(rows)))
+        self.map = None if wide else np.empty((len(n), -(-len(self.vocabulary) // 64)), np.uint64)
+        for at in range(0, len(n), TILE):
+            part = slice(at, min(at + TILE, len(n)))
             size = part.stop - at
             held = self.grams[self.ends[at] : self.ends[part.stop]]
             row = np.repeat(np.arange(size), self.n[part])
@@ -156,55 +166,175 @@ def _unlinked(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return new
 
 
-def _compared(threshold: float, keep: Sequence[str], forest: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    names = ["a", "b", "j", *[f"a_{c}" for c in keep], *[f"b_{c}" for c in keep]]
+def _matches(sets: _Sets, second: np.ndarray | None, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i, j, Jaccard) of sets that match, a row of tiles at a time: with each other, or with those that are ``second``."""
+    threshold, label = sets.t, np.arange(len(sets.n))
+    left = label.copy() if second is None else np.flatnonzero(~second)
+    right = left if second is None else np.flatnonzero(second)
+    for x in range(0, len(left), TILE):
+        xs, found = left[x : x + TILE], []
+        tile = sets.tile(xs, True)
+        for y in range(x if second is None else 0, len(right), TILE):
+            ys = right[y : y + TILE]
+            if sets.n[xs[-1]] < threshold * sets.n[ys[0]] - _EPS or sets.n[ys[-1]] < threshold * sets.n[xs[0]] - _EPS:
+                continue
+            i, j = np.nonzero(tile @ sets.tile(ys, False).T >= sets.bits - 0.5)
+            i, j = xs[i], ys[j]
+            left_over = (i < j) if second is None else np.ones(len(i), bool)
+            if forest:
+                left_over &= label[i] != label[j]
+            i, j = i[left_over], j[left_over]
+            value = sets.jaccard(i, j)
+            good = value >= threshold - 1e-12
+            i, j, value = i[good], j[good], value[good]
+            if forest and len(i):
+                good = _unlinked(label, i, j)
+                i, j, value = i[good], j[good], value[good]
+            found.append((i, j, value))
+        if any(len(i) for i, _, _ in found):
+            yield tuple(np.concatenate(c) for c in zip(*found))
+
 
+def _named(i: np.ndarray, j: np.ndarray, value: np.ndarray, cls: np.ndarray, kept: dict[str, np.ndarray]) -> pd.DataFrame:
+    swap = cls[i] > cls[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    more = {f"{side}_{c}": held[k] for side, k in (("a", i), ("b", j)) for c, held in kept.items()}
+    ids = {"a": pd.Series(cls[i], dtype=object), "b": pd.Series(cls[j], dtype=object)}
+    return pd.DataFrame({**ids, "j": value.astype(float), **more})
+
+
+def _compared(threshold: float, keep: Sequence[str], forest: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         # of blocks that meet themselves only, no row is second
         rows = rows.iloc[np.argsort(rows["grams"].map(len).to_numpy(), kind="stable")].reset_index(drop=True)
         second = rows["second"].to_numpy(bool)
         inside = rows["x"].iat[0] == rows["y"].iat[0] and rows["band"].iat[0] % 2 == 0
-        if len(rows) < 2 or not inside and (second.all() or not second.any()):
-            return pd.DataFrame({c: pd.Series([], dtype=object if c in "ab" else float if c == "j" else rows[c[2:]].dtype) for c in names})
-        sets, label, found = _Sets(rows, threshold), np.arange(len(rows)), []
-        left = np.arange(len(rows)) if inside else np.flatnonzero(~second)
-        right = left if inside else np.flatnonzero(second)
-        for x in range(0, len(left), TILE):
-            xs = left[x : x + TILE]
-            tile = sets.tile(xs, True)
-            for y in range(x if inside else 0, len(right), TILE):
-                ys = right[y : y + TILE]
-                if sets.n[xs[-1]] < threshold * sets.n[ys[0]] - _EPS or sets.n[ys[-1]] < threshold * sets.n[xs[0]] - _EPS:
-                    continue
-                i, j = np.nonzero(tile @ sets.tile(ys, False).T >= sets.bits - 0.5)
-                i, j = xs[i], ys[j]
-                left_over = (i < j) if inside else np.ones(len(i), bool)
-                if forest:
-                    left_over &= label[i] != label[j]
-                i, j = i[left_over], j[left_over]
-                value = sets.jaccard(i, j)
-                good = value >= threshold - 1e-12
-                i, j, value = i[good], j[good], value[good]
-                if forest and len(i):
-                    good = _unlinked(label, i, j)
-                    i, j, value = i[good], j[good], value[good]
-                found.append((i, j, value))
+        found = []
+        if len(rows) > 1 and (inside or second.any() and not second.all()):
+            vocabulary, grams = np.unique(np.concatenate(rows["grams"].to_numpy()), return_inverse=True)
+            sets = _Sets(rows["grams"].map(len).to_numpy(), vocabulary, grams, threshold)
+            found = list(_matches(sets, None if inside else second, forest))
         i, j, value = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int),) * 3
-        cls = rows["cls"].to_numpy(object)
-        swap = cls[i] > cls[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        more = {f"{side}_{c}": rows[c].to_numpy()[k] for side, k in (("a", i), ("b", j)) for c in keep}
-        ids = {"a": pd.Series(cls[i], dtype=object), "b": pd.Series(cls[j], dtype=object)}
-        return pd.DataFrame({**ids, "j": value.astype(float), **more})[names]
+        return _named(i, j, value, rows["cls"].to_numpy(object), {c: rows[c].to_numpy() for c in keep})
 
     return compare
 
 
+def _pack(rows: pd.DataFrame, keep: Sequence[str]) -> bytes:
+    """Sets of a block in order of size: own vocabulary, and steps from gram to gram in it."""
+    rows = rows.iloc[np.argsort(rows["grams"].map(len).to_numpy(), kind="stable")]
+    n = rows["grams"].map(len).to_numpy()
+    vocabulary, grams = np.unique(np.concatenate(rows["grams"].to_numpy()), return_inverse=True)
+    start = np.repeat(np.arange(len(n)) * len(vocabulary), n)
+    grams = np.sort(start + grams) - start
+    steps = np.diff(grams, prepend=0)
+    first = np.cumsum(n) - n
+    steps[first] = grams[first]
+    kind = np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32
+    kept = {c: rows[c].to_numpy() for c in keep}
+    return zlib.compress(pickle.dumps((rows["cls"].to_numpy(object), n, vocabulary, steps.astype(kind), kept), 5), 1)
+
+
+def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    cls, n, vocabulary, steps, kept = pickle.loads(zlib.decompress(block))
+    total = np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
+    return cls, n, vocabulary, total[1:] - np.repeat(total[np.cumsum(n) - n], n), kept
+
+
+def _packed(keys: Sequence[str], keep: Sequence[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows in order of the keys become a row per block."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def block() -> pd.DataFrame:
+            return pd.DataFrame({**{k: held[0][k].iloc[:1].array for k in keys}, "block": [_pack(pd.concat(held), keep)]})
+
+        held, key = [], None
+        for batch in batches:
+            values = [batch[k].to_numpy() for k in keys]
+            turns = np.flatnonzero(np.any([v[1:] != v[:-1] for v in values], axis=0)) + 1
+            for a, b in zip([0, *turns], [*turns, len(batch)]):
+                at = tuple(v[a] for v in values)
+                if held and at != key:
+                    yield block()
+                    held = []
+                key = at
+                held.append(batch.iloc[a:b])
+        if held:
+            yield block()
+
+    return pack
+
+
+def _compared_blocks(threshold: float, forest: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for inside, x, y in zip(batch["inside"], batch["x"], batch["y"]):
+                cls, n, vocabulary, grams, kept = _unpack(x)
+                second = None
+                if not inside:
+                    of_y = _unpack(y)
+                    second = np.repeat([False, True], [len(n), len(of_y[1])])
+                    both = np.union1d(vocabulary, of_y[2])
+                    grams = np.concatenate([np.searchsorted(both, v)[g] for v, g in ((vocabulary, grams), of_y[2:4])])
+                    vocabulary, n, cls = both, np.concatenate([n, of_y[1]]), np.concatenate([cls, of_y[0]])
+                    kept = {c: np.concatenate([v, of_y[4][c]]) for c, v in kept.items()}
+                    order = np.argsort(n, kind="stable")
+                    first, n, second, cls = (np.cumsum(n) - n)[order], n[order], second[order], cls[order]
+                    grams = grams[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(grams))]
+                    kept = {c: v[order] for c, v in kept.items()}
+                for i, j, value in _matches(_Sets(n, vocabulary, grams, threshold), second, forest):
+                    yield _named(i, j, value, cls, kept)
+
+    return compare
+
+
+def _met_blocks(
+    classes: DataFrame, threshold: float, group: Sequence[str], keep: Sequence[str], forest: bool, schema: str, bins: int
+) -> DataFrame:
+    """Pairs in groups of many blocks.  The blocks lie in ``bins`` partitions, and a task compares those of two partitions."""
+    rows = classes.select(*group, "cls", *keep, "grams", F.col("n").cast("long").alias("n"), _band(threshold))
+    shared = _slots(rows, group).filter(F.col("slots") > 1)  # no more rows than all sets fill blocks
+    placed = rows.join(F.broadcast(shared), [*group, "band"], "left")
+    keys = [*group, "band", "slot"]
+    placed = placed.withColumn("slot", F.pmod(F.xxhash64("cls"), F.coalesce("slots", F.lit(1).cast("long"))))
+    kind = dict(placed.dtypes)
+    dealt = placed.select(*keys, "cls", *keep, "grams").repartitionById(bins, F.pmod(F.hash(*keys), F.lit(bins)))
+    form = ", ".join(f"`{k}` {kind[k]}" for k in keys)
+    blocks = materialize(dealt.sortWithinPartitions(*keys).mapInPandas(_packed(keys, keep), f"{form}, block binary"))
+    x, y = (blocks.select(*[F.col(k).alias(f"{side}_{k}") for k in keys], F.col("block").alias(side)) for side in "xy")
+    same = F.col("x_band") == F.col("y_band")
+    near = (same & (F.col("x_slot") <= F.col("y_slot"))) | (F.col("x_band") + 1 == F.col("y_band"))
+    for g in group:
+        near &= F.col(f"x_{g}") == F.col(f"y_{g}")
+    pairs = x.join(y.hint("shuffle_replicate_nl"), near)
+    inside = same & (F.col("x_slot") == F.col("y_slot"))
+    return pairs.select(inside.alias("inside"), "x", "y").mapInPandas(_compared_blocks(threshold, forest), schema)
+
+
 def _met(classes: DataFrame, threshold: float, group: Sequence[str], keep: Sequence[str] = (), forest: bool = False) -> DataFrame:
     kind = dict(classes.dtypes)
     schema = f"a {kind['cls']}, b {kind['cls']}, j double" + "".join(f", {side}_{c} {kind[c]}" for side in "ab" for c in keep)
-    blocks = _blocks(classes, list(group), threshold, keep)
-    return blocks.groupBy(*group, "band", "x", "y").applyInPandas(_compared(threshold, keep, forest), schema)
+    group = list(group)
+    for g in group:
+        classes = classes.filter(F.col(g).isNotNull())
+    held = classes.groupBy(*group).agg(F.sum(F.col("n").cast("long")).alias("grams"), F.count(F.lit(1)).alias("rows"))
+    held = held.withColumn("large", (F.col("grams") > BLOCK_GRAMS) | (F.col("rows") > BLOCK_ROWS))
+    large = F.col("large")
+    total = held.agg(
+        F.count_if(large).alias("large"), F.count_if(~large).alias("small"),
+        F.sum(F.when(large, F.greatest(F.col("grams") / BLOCK_GRAMS, F.col("rows") / BLOCK_ROWS))).alias("blocks"),
+    ).first()
+    found = []
+    if total.large:
+        of_large = classes
+        if total.small:  # no more rows than all sets fill blocks
+            of_large = classes.join(F.broadcast(held.filter(large).select(*group)), group, "left_semi")
+            classes = classes.join(F.broadcast(held.filter(large).select(*group)), group, "left_anti")
+        found.append(_met_blocks(of_large, threshold, group, keep, forest, schema, max(LEAST_BINS, math.ceil(total.blocks))))
+    if total.small or not total.large:
+        blocks = _blocks(classes, group, threshold, keep)
+        found.append(blocks.groupBy(*group, "band", "x", "y").applyInPandas(_compared(threshold, keep, forest), schema))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
 def class_pairs(
