@@ -260,3 +260,13 @@ def test_clusters_of_large_and_small_groups(spark, monkeypatch, rows):
     known = spark.createDataFrame([("s002",), ("y0",), ("s010",), ("none",)], "sid string")
     rest = {k: v for k, (_, v) in large.items() if k not in ("s002", "y0", "s010")}
     assert {r.sid: (r.rep, r.jaccard) for r in J.duplicate_candidates(df.drop("g"), known).collect()} == _brute(rest, 0.9)
+
+
+def test_known_items_leave_by_their_ids(spark, monkeypatch):
+    """Their join had gone below the grams and shuffled whole texts."""
+    given = []
+    monkeypatch.setattr(J, "stored", lambda df, f=J.stored: given.append(df) or f(df))
+    df = _items(spark, {"a": {"x", "y"}, "b": {"x", "y"}, "c": {"x", "y"}})
+    known = spark.createDataFrame([("a",)], "sid string")
+    assert [(r.rep, r.sid, r.jaccard) for r in J.duplicate_candidates(df, known).collect()] == [("b", "c", 1.0)]
+    assert "Join" not in given[0]._jdf.queryExecution().optimizedPlan().toString()

@@ -67,9 +67,9 @@ def no_text_sessions(sessions: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def _classes(
-    items: DataFrame, group: Sequence[str], arrays: Sequence[str]
+    items: DataFrame, group: Sequence[str], arrays: Sequence[str], known: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Items with their class, and one row per class; grams become 64-bit hashes.
+    """Items (those not ``known``) with their class, and one row per class; grams become 64-bit hashes.
 
     Texts are turned into gram sets once and stored in order, which packs well; both results are read from that.
     Sets are shuffled once, the rest works on ids.
@@ -84,6 +84,8 @@ def _classes(
     for a in arrays:
         keyed = keyed.filter(F.col(f"n_{a}") > 0)
     members = keyed.select("sid", "created_at", *group, "class_key")
+    if known is not None:
+        members = materialize(members.join(known.select("sid").distinct(), "sid", "left_anti"))
     named = members.groupBy("class_key").agg(F.min("sid").alias("cls"), F.count(F.lit(1)).alias("copies"))
     sets = keyed.groupBy("class_key").agg(F.first(F.struct(*group, *arrays)).alias("c"))
     columns = [F.col(f"c.{c}").alias(c) for c in [*group, *arrays]]
@@ -92,10 +94,12 @@ def _classes(
 
 
 def duplicate_clusters(
-    items: DataFrame, threshold: float = DUP_THRESHOLD, group: Sequence[str] = (), parity: bool = False
+    items: DataFrame, threshold: float = DUP_THRESHOLD, group: Sequence[str] = (), parity: bool = False, known: DataFrame | None = None
 ) -> DataFrame:
     """(group, rep, sid, jaccard) for every member of a cluster of two or more but its representative.
 
+    Items that are ``known`` (sid) are left out.
+
     ``items`` has sid, created_at, grams (and ``head_grams`` when ``parity``:
     pairs must then also pass the prefilter on the first characters).  The
     representative is the earliest by (created_at, sid).  ``jaccard`` is null
@@ -103,7 +107,7 @@ def duplicate_clusters(
     """
     group = list(group)
     arrays = ["grams", "head_grams"] if parity else ["grams"]
-    members, classes = _classes(items, group, arrays)
+    members, classes = _classes(items, group, arrays, known)
     classes = classes.drop("copies")
     extra = _passes_prefilter if parity else None
     comps = similar.class_clusters(classes, threshold, group, extra)
@@ -134,7 +138,7 @@ def duplicate_clusters(
 
 def duplicate_candidates(items: DataFrame, known: DataFrame, threshold: float = DUP_THRESHOLD) -> DataFrame:
     """Duplicate clusters among the sessions that are not ``known`` (sid)."""
-    return duplicate_clusters(items.join(known.select("sid").distinct(), "sid", "left_anti"), threshold)
+    return duplicate_clusters(items, threshold, known=known)
 
 
 def _passes_prefilter(a: Column, b: Column) -> Column:
