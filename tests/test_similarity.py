@@ -270,3 +270,14 @@ def test_known_items_leave_by_their_ids(spark, monkeypatch):
     known = spark.createDataFrame([("a",)], "sid string")
     assert [(r.rep, r.sid, r.jaccard) for r in J.duplicate_candidates(df, known).collect()] == [("b", "c", 1.0)]
     assert "Join" not in given[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_large_groups_send_no_copies(spark, monkeypatch):
+    from oracle import compare, connect
+    from tracewell.plans import similar
+    from tracewell.workloads import ORACLES, QUERIES
+
+    sf, name = "/root/testdata/sf0.001", "J4_filtered_clusters"
+    monkeypatch.setattr(similar, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(similar, "_blocks", lambda *a, **b: pytest.fail("sets were sent to every block of three bands"))
+    assert compare(spark, connect(sf), sf, name, QUERIES[name], ORACLES[name]).startswith("ok")
