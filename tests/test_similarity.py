@@ -281,3 +281,23 @@ def test_large_groups_send_no_copies(spark, monkeypatch):
     monkeypatch.setattr(similar, "BLOCK_ROWS", 40)
     monkeypatch.setattr(similar, "_blocks", lambda *a, **b: pytest.fail("sets were sent to every block of three bands"))
     assert compare(spark, connect(sf), sf, name, QUERIES[name], ORACLES[name]).startswith("ok")
+
+
+def test_pairs_of_large_groups_send_no_copies(spark, monkeypatch):
+    from tracewell.plans import similar
+
+    monkeypatch.setattr(similar, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(similar, "_blocks", lambda *a, **b: pytest.fail("sets were sent to every block of three bands"))
+    sets = {k: (f"g{g}", {f"w{x}" for x in v}) for k, (g, v) in _like_sets(random.Random(3), 60, 2).items()}
+    sets |= {f"t{i}": sets[f"s{i:03d}"] for i in range(0, 60, 4)}
+    holders = {}
+    for k in sorted(sets):
+        holders.setdefault((sets[k][0], frozenset(sets[k][1])), []).append(k)
+    want = set()
+    for (g, x), a in holders.items():
+        for (h, y), b in holders.items():
+            if g == h and a[0] < b[0] and (j := _jac(x, y)) >= 0.8:
+                want.add((a[0], b[0], len(a), len(b), round(j, 3), "duplicate" if j >= 0.9 else "band"))
+    df = spark.createDataFrame([(k, "", g, sorted(v)) for k, (g, v) in sets.items()], "sid string, created_at string, source string, grams array<string>")
+    got = [(r.a, r.b, r.a_copies, r.b_copies, r.jaccard, r.kind) for r in J.similar_pairs(df, group=["source"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 5 and any(x[2] + x[3] > 2 for x in want)
